@@ -70,13 +70,18 @@ def flatten_contractions(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return (hung.where(F.col("v") != F.col("m")).select(*key, F.col("v").alias("u"), F.col("m").alias("v"))
                 .unionByName(least.select(*key, "u", F.col("m").alias("v"))).distinct())
 
-    previous = None
+    def settled(e: DataFrame) -> bool:
+        """All stars: no node hangs twice, no root hangs anywhere."""
+        roles = (e.select(*key, F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root"))
+                 .unionByName(e.select(*key, F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+                 .groupBy(*key, "n").agg(F.sum("child").alias("child"), F.max("root").alias("root")))
+        return roles.where((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("root") > 0))).isEmpty()
+
+    flat = cut_lineage(flat.distinct())
     for _ in range(max_rounds):
         flat = cut_lineage(small_star(large_star(flat)))
-        state = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*key, "u", "v").cast("decimal(38,0)"))).first()
-        if state == previous:
+        if settled(flat):
             break
-        previous = state
     else:
         raise RuntimeError("components did not settle")
     roots = flat.select(*key, F.col("v").alias("note_idx"), F.col("v").alias("parent_idx"))
