@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,27 @@ def local_session(cpus: int | None = None, app: str = "scorelake") -> SparkSessi
     return spark
 
 
+_local_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without one (tests) gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="scorelake-"))
+    return _local_folder[0]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it names none (tests, local runs) is a
-    temporary folder set."""
+    """Write a table to the shared folder and read it back. Unlike a checkpoint,
+    a written table also has its real size, so later joins are planned by what
+    is there and not by estimates that multiply round after round."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        if named:
-            sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="scorelake-ckpt-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

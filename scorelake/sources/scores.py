@@ -84,11 +84,9 @@ def parse_score(path: str, text: str) -> list[tuple]:
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, text in zip(batch["path"], batch["text"]):
-            out = pd.DataFrame(parse_score(path, text), columns=_NAMES)
-            for c in ("ps", "octave"):
-                out[c] = out[c].astype("Int32")
-            yield out
+        rows = [row for path, text in zip(batch["path"], batch["text"]) for row in parse_score(path, text)]
+        out = pd.DataFrame(rows, columns=_NAMES)
+        yield out.astype({"ps": "Int32", "octave": "Int32"})
 
 
 def parse_scores(texts: DataFrame) -> DataFrame:
