@@ -1,0 +1,134 @@
+"""The best labelling of a chain of onsets."""
+
+from __future__ import annotations
+
+import json
+from itertools import combinations
+from math import comb
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scorelake.functions.fold import blocked_fold
+from scorelake.operators.learn import max_kept
+
+BLOCK_ONSETS = 512
+# Fixed value: most label vectors considered per onset.
+LABEL_CAP = 32768
+
+
+def labels(n: int, kept: int, cap: int = LABEL_CAP) -> list[int]:
+    """Keep-vectors of an onset as bit sets, in numeric order: at most ``kept``
+    notes, at most ``cap`` vectors."""
+    kept = max(0, min(kept, n))
+    bits = n
+    if sum(comb(n, j) for j in range(kept + 1)) > cap:
+        bits = next(m for m in range(n + 1) if sum(comb(m, j) for j in range(min(kept, m) + 1)) >= cap)
+    found = sorted(sum(1 << b for b in c) for j in range(kept + 1) for c in combinations(range(bits), j))
+    return found[:cap]
+
+
+def _bit(sets: np.ndarray, place: int) -> np.ndarray:
+    return (sets >> place) & 1
+
+
+def _onset(e: dict, cap: int) -> dict:
+    notes = sorted(e["notes"], key=lambda x: x["place"]) if e["notes"] is not None else []
+    sets = np.array(labels(len(notes), int(e["limit"]), cap), dtype=np.int64)
+    value, pcs = np.zeros(len(sets)), np.zeros(len(sets), dtype=np.int64)
+    for k, x in enumerate(notes):
+        on = _bit(sets, k)
+        value += on * float(x["utility"])
+        pcs |= on << int(x["pc"])
+    return {"at": float(e["onset_ql"]), "sets": sets, "value": value, "pcs": pcs,
+            "edges": [(int(x["before"]), int(x["now"])) for x in (e["edges"] if e["edges"] is not None else [])]}
+
+
+def _advance(prev: dict, u: np.ndarray, cur: dict, w: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Best total of each label of an onset and the label before it. Earlier
+    labels that look the same from here are reduced to the best of them."""
+    span = cur["at"] - prev["at"] or 0.25
+    looks = np.stack([prev["sets"] != 0, prev["pcs"], *[_bit(prev["sets"], a) for a, _ in cur["edges"]]], axis=1).astype(np.int64)
+    kinds, kind = np.unique(looks, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    order = np.lexsort((np.arange(len(u)), -u, kind))
+    best = order[np.unique(kind[order], return_index=True)[1]]
+    total = np.empty(len(cur["sets"]))
+    back = np.empty(len(cur["sets"]), dtype=np.int64)
+    for lo in range(0, len(total), 1024):
+        sets, pcs = cur["sets"][lo:lo + 1024], cur["pcs"][lo:lo + 1024]
+        joint = w[0] * kinds[:, 0:1] * (sets != 0)[None, :]
+        for k, (_, now) in enumerate(cur["edges"]):
+            joint = joint + w[1] * kinds[:, 2 + k:3 + k] * _bit(sets, now)[None, :]
+        joint = joint + w[2] * np.bitwise_count(kinds[:, 1:2] ^ pcs[None, :])
+        score = joint / span + u[best][:, None]
+        # Of equal totals the first label counts.
+        top = score.max(axis=0)
+        first = np.where(score == top[None, :], best[:, None], np.iinfo(np.int64).max).min(axis=0)
+        total[lo:lo + 1024], back[lo:lo + 1024] = top, first
+    return total + cur["value"], back
+
+
+def _forward(elements: list[dict], state: str, w, cap: int):
+    prev = u = None
+    if state:
+        s = json.loads(state)
+        prev = {"at": s["at"], "sets": np.array(s["sets"], dtype=np.int64), "pcs": np.array(s["pcs"], dtype=np.int64)}
+        u = np.array(s["u"])
+    trail = []
+    for e in elements:
+        cur = _onset(e, cap)
+        if prev is None:
+            u, back = cur["value"].copy(), None
+        else:
+            u, back = _advance(prev, u, cur, w)
+        trail.append((e, cur, back, prev))
+        prev = cur
+    # Only differences matter; rounding lets equal beginnings be recognised.
+    u = np.round(u - u.max(), 9)
+    return trail, u, json.dumps({"at": prev["at"], "sets": prev["sets"].tolist(), "pcs": prev["pcs"].tolist(), "u": u.tolist()})
+
+
+def decode_chain(onsets: DataFrame, w_onset: float, w_voice: float, w_pc: float, cap: int = LABEL_CAP) -> DataFrame:
+    """``(piece_id, onset_no, kept)``: the labelling with the greatest potential,
+    as the places of the kept notes of each onset.
+
+    ``onsets`` has onset_no, onset_ql, ``notes`` (place, pc, utility), ``edges``
+    (before, now) and ``limit``. The totals run forwards over blocks, then the
+    choices backwards over the same blocks."""
+    w = (w_onset, w_voice, w_pc)
+    rows = onsets.withColumn("block", F.floor(F.col("onset_no") / BLOCK_ONSETS))
+
+    def forward(elements: list[dict], state: str) -> tuple[list[dict], str]:
+        after = _forward(elements, state, w, cap)[2]
+        return [{"block": int(elements[0]["block"]), "state_in": state}], after
+
+    def backward(elements: list[dict], state: str) -> tuple[list[dict], str]:
+        elements = sorted(elements, key=lambda e: e["onset_no"])
+        begin = next((e["state_in"] for e in elements if e["state_in"] is not None), "")
+        trail, u, _ = _forward(elements, begin or "", w, cap)
+        last = trail[-1][1]["sets"]
+        at = int(np.argmax(u)) if not state else int(np.flatnonzero(last == int(state))[0])
+        out = []
+        for e, cur, back, prev in reversed(trail):
+            chosen = int(cur["sets"][at])
+            out.append({"onset_no": int(e["onset_no"]), "kept": [k for k in range(64) if chosen >> k & 1]})
+            at = int(back[at]) if back is not None else -1
+        return out, str(int(trail[0][3]["sets"][at])) if at >= 0 and trail[0][3] is not None else ""
+    begins = blocked_fold(rows, ["piece_id"], ["onset_no"], forward, "block long, state_in string")
+    first = rows.groupBy("piece_id", "block").agg(F.min("onset_no").alias("onset_no"))
+    told = rows.join(begins.join(first, ["piece_id", "block"]).select("piece_id", "onset_no", "state_in"), ["piece_id", "onset_no"], "left")
+    return blocked_fold(told, ["piece_id"], ["onset_no"], backward, "onset_no long, kept array<int>", reverse=True)
+
+
+def chain_onsets(onsets: DataFrame, table: DataFrame, utility: Column, counts: DataFrame, members: DataFrame) -> DataFrame:
+    """Input of ``decode_chain``: all onsets, also those whose notes are all
+    contracted, with the utilities of the notes and the limit per onset."""
+    notes = members.groupBy("piece_id", "onset_no").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("place").cast("int").alias("place"), F.col("pc").cast("int").alias("pc"), utility.cast("double").alias("utility")))).alias("scored"))
+    limits = counts.select("piece_id", "measure_idx", "onset_tick", max_kept(F.col("output_count")).alias("limit"))
+    edges = table.select("piece_id", "onset_no", "edges")
+    return (onsets.join(edges, ["piece_id", "onset_no"], "left").join(notes, ["piece_id", "onset_no"], "left").join(limits, ["piece_id", "measure_idx", "onset_tick"], "left")
+            .select("piece_id", F.col("onset_no").cast("long").alias("onset_no"), "onset_ql", F.col("scored").alias("notes"), "edges",
+                    F.coalesce("limit", F.lit(0)).alias("limit")))

@@ -212,11 +212,16 @@ def decode_ordering(notes: DataFrame, fitted: Model, columns: list[str], counts:
 # --- chains of onsets ------------------------------------------------------
 
 
+def onset_numbers(notes: DataFrame) -> DataFrame:
+    """The dense number of each sounding onset in its piece."""
+    return with_row_number(notes.where(~F.col("is_rest")).select(*ONSET, "onset_ql").distinct(),
+                           ["piece_id"], ["measure_idx"], ["onset_tick"], "onset_no")
+
+
 def onset_members(notes: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Uncontracted notes with their group, the dense number of their onset in
-    the piece, and their place in the onset."""
-    onsets = with_row_number(notes.where(~F.col("is_rest")).select(*ONSET, "onset_ql").distinct(),
-                             ["piece_id"], ["measure_idx"], ["onset_tick"], "onset_no")
+    """Uncontracted notes with their group, the number of their onset, and their
+    place in the onset."""
+    onsets = onset_numbers(notes)
     live = notes.join(mapping.where(~F.col("is_contracted")).select("piece_id", "note_idx", "group_idx"), ["piece_id", "note_idx"])
     placed = live.withColumn("place", F.row_number().over(Window.partitionBy(*ONSET).orderBy("note_idx")) - 1)
     return placed.join(onsets.select(*ONSET, "onset_no"), ONSET)

@@ -1,0 +1,39 @@
+"""Queries that search for a best fingering or labelling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scorelake.operators import chain as ch
+from scorelake.operators import features as ft
+from scorelake.operators import hands as hd
+from scorelake.operators import learn as ln
+from scorelake.operators import optimise as op
+from scorelake.plans.hand_queries import frame
+from scorelake.plans.learn_queries import chain
+from scorelake.plans.registry import joined, register
+from scorelake.session import cut_lineage
+from scorelake.sources.views import notes
+
+
+def thinned(s, d):
+    """Frames thinned to two hands, with a first fingering."""
+    f = frame(s, d)
+    thin = hd.kept(hd.thin_frames(f)).select("event_id", "ps")
+    rows = f.drop("ps").join(thin, "event_id")
+    return hd.initial_fingering(hd.split_hands(rows))
+
+
+register("optimise_fingering", lambda s, d: op.optimise_fingering(thinned(s, d)).select(
+    "piece_id", "frame_no", "event_id", "ps", "hand", "finger", "deleted"))
+
+
+def _decode(s, d):
+    members, links = chain(s, d)
+    members = cut_lineage(members.select("piece_id", "measure_idx", "onset_tick", "onset_no", "onset_ql", "place", "group_idx", "pc", "ps", "dur_ql"))
+    table = ln.onset_table(members, links)
+    onsets = ch.chain_onsets(ln.onset_numbers(notes(s, d)), table, F.col("ps") * 0.125 - 7.5 + F.col("dur_ql"), ft.output_count_by_onset(notes(s, d)), members)
+    return ch.decode_chain(onsets, -1.0, -0.5, -0.25).select("piece_id", "onset_no", joined("kept").alias("kept"))
+
+
+register("decode_chain", _decode)
