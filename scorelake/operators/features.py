@@ -199,7 +199,7 @@ def onset_rates(notes: DataFrame) -> DataFrame:
     return (onsets.withColumn("span", span).withColumn("rate", F.col("in_count") / F.col("span")).drop("__n"))
 
 
-def _blur(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _blur(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Blurred rate at the onsets of one time bucket."""
     import math
 

@@ -342,7 +342,7 @@ def count_regression(pairs: DataFrame) -> DataFrame:
 
 
 def _median_bucket(radius: float):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         pdf = pdf.sort_values("onset_ql")
         start = pdf["onset_ql"].to_numpy()
