@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.session import cut_lineage
+from scorelake.session import cut_lineage, spread
 
 Step = Callable[[list[dict], str], tuple[list[dict], str]]
 
@@ -51,7 +51,8 @@ def blocked_fold(rows: DataFrame, keys: list[str], order: list[str], step: Step,
     pending = blocks.select(*keys, "block", F.lit(start).alias("__state"))
     runs, used, round_no = None, None, 0
     while True:
-        done = cut_lineage(rows.join(pending, [*keys, "block"]).groupBy(*keys, "block").applyInPandas(run, schema)
+        due = spread(rows.join(pending, [*keys, "block"]), *keys, "block")
+        done = cut_lineage(due.groupBy(*keys, "block").applyInPandas(run, schema)
                            .withColumn("round", F.lit(round_no)))
         runs = done if runs is None else runs.unionByName(done)
         now = pending.join(done.select(*keys, "block", "state_out"), [*keys, "block"])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.ordered import with_neighbours, with_running_max
 from scorelake.functions.pitch import MIDDLE_C
+from scorelake.session import spread
 from scorelake.sources.views import BAR, ONSET, VOICE
 
 PART_BAR = [*BAR, "part_idx"]
@@ -210,17 +211,17 @@ def _blur(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     end = start + pdf["span"].to_numpy()
     rate = pdf["rate"].to_numpy()
     home = pdf[pdf["home"]]
-    erf = np.vectorize(math.erf, otypes=[float])
     out = np.empty(len(home))
+    scale = BLUR_SIGMA * math.sqrt(2)
     for i, centre in enumerate(home["onset_ql"].to_numpy()):
         a = np.searchsorted(end, centre - BLUR_REACH, side="right")
         b = np.searchsorted(start, centre + BLUR_REACH, side="left")
-        left = np.maximum(start[a:b] - centre, -BLUR_REACH)
-        # Clipped on the right only for onsets from the centre on, as fitted.
-        right = end[a:b] - centre
-        right = np.where(start[a:b] >= centre, np.minimum(right, BLUR_REACH), right)
-        scale = BLUR_SIGMA * math.sqrt(2)
-        out[i] = float(np.sum(rate[a:b] * 0.5 * (erf(right / scale) - erf(left / scale))))
+        # The spans tile the time, so neighbours share a border; only the outer
+        # ones can reach beyond the window.
+        border = np.append(start[a:b], end[b - 1]) - centre
+        border = np.clip(border, -BLUR_REACH, BLUR_REACH)
+        share = np.diff([math.erf(x / scale) for x in border.tolist()]) / 2
+        out[i] = float(np.dot(rate[a:b], share))
     return pd.DataFrame({"piece_id": home["piece_id"], "measure_idx": home["measure_idx"],
                          "onset_tick": home["onset_tick"], "in_count": home["in_count"],
                          "span": home["span"], "rate": home["rate"], "blurred": out})
@@ -233,9 +234,9 @@ def output_count_by_onset(notes: DataFrame) -> DataFrame:
     own = F.floor(F.col("onset_ql") / BLUR_REACH)
     first = F.floor((F.col("onset_ql") - BLUR_REACH) / BLUR_REACH)
     last = F.floor((F.col("onset_ql") + F.col("span") + BLUR_REACH) / BLUR_REACH)
-    spread = (rates.withColumn("bucket", F.explode(F.sequence(first, last)))
+    copies = (rates.withColumn("bucket", F.explode(F.sequence(first, last)))
               .withColumn("home", F.col("bucket") == own))
-    blurred = spread.groupBy("piece_id", "bucket").applyInPandas(
+    blurred = spread(copies, "piece_id", "bucket").groupBy("piece_id", "bucket").applyInPandas(
         _blur, "piece_id int, measure_idx int, onset_tick long, in_count long, span double, "
                "rate double, blurred double")
     base = F.col("blurred") + SMOOTHING

@@ -149,11 +149,12 @@ def thin_frames(frame_rows: DataFrame) -> DataFrame:
 def split_hands(frame_rows: DataFrame, span: int = SPAN) -> DataFrame:
     """One hand if the frame spans at most ``span``; else the notes within
     ``span`` of the lowest go left, the others right."""
-    ends = frame_rows.groupBy(*FRAME).agg(F.min("ps").alias("__lo"), F.max("ps").alias("__hi"))
-    one = F.col("__hi") - F.col("__lo") <= span
-    left = F.when(one, F.col("__lo") < MIDDLE_C).otherwise(F.col("ps") - F.col("__lo") <= span)
-    return (frame_rows.join(ends, FRAME, "left").withColumn("hand", F.when(left, "L").otherwise("R"))
-            .drop("__lo", "__hi"))
+    # A frame without repeats is small, so it may be one window; the fingering
+    # and the frame rows that follow use the same partitioning.
+    w = Window.partitionBy(*FRAME)
+    low, high = F.min("ps").over(w), F.max("ps").over(w)
+    left = F.when(high - low <= span, low < MIDDLE_C).otherwise(F.col("ps") - low <= span)
+    return frame_rows.withColumn("hand", F.when(left, "L").otherwise("R"))
 
 
 FINGERS = 5

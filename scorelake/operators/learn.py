@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.ordered import with_neighbours, with_row_number, with_running_max
 from scorelake.operators import features as ft
-from scorelake.session import cut_lineage
+from scorelake.session import cut_lineage, spread
 from scorelake.sources.views import BAR, ONSET, VOICE
 
 FEATURES = ["active_rhythm", "sustained_rhythm", "bass_line", "entrance_effect", "onset_after_rest",
@@ -365,10 +365,10 @@ def median_filter(rates: DataFrame, radius: float) -> DataFrame:
     """The value at which the time inside ``radius`` around each onset, added up
     from the left, reaches the radius."""
     own = F.floor(F.col("onset_ql") / radius)
-    spread = (rates.withColumn("bucket", F.explode(F.sequence(
+    copies = (rates.withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("onset_ql") - radius) / radius), F.floor((F.col("onset_ql") + F.col("span") + radius) / radius))))
         .withColumn("home", F.col("bucket") == own))
-    return spread.groupBy("piece_id", "bucket").applyInPandas(
+    return spread(copies, "piece_id", "bucket").groupBy("piece_id", "bucket").applyInPandas(
         _median_bucket(radius), "piece_id int, measure_idx int, onset_tick long, median_rate double")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.ordered import (with_lookahead, with_neighbours, with_row_number,
                                          with_running_max, with_running_sum)
 from scorelake.operators.graph import flatten_contractions
-from scorelake.session import cut_lineage
+from scorelake.session import cut_lineage, spread
 from scorelake.sources.views import VOICE
 
 SIZE = 4
@@ -214,7 +214,7 @@ WEIGHTS = {"note_names": 1.0, "rhythms": 1.0, "contour": 1.0, "interval_vector":
 
 def motif_grams(notes: DataFrame) -> DataFrame:
     """All steps from notes to keyed groups."""
-    items = motif_items(notes)
+    items = cut_lineage(motif_items(notes))
     return extend_ties(drop_chordal_grams(notegrams(items)), items).withColumn("gram_key", gram_key(F.col("notes")))
 
 
@@ -330,10 +330,9 @@ def _merges(matrix: np.ndarray) -> list[tuple[float, int, int]]:
     chain: list[int] = []
 
     def nearest(i: int) -> int:
-        row = np.where(live, d[i], np.inf)
-        row[i] = np.inf
-        ties = np.flatnonzero(row == row.min())
-        return int(min(ties, key=lambda j: (min(i, j), max(i, j))))
+        # The first of equal ones is also first by name: dead rows and the
+        # diagonal are infinite.
+        return int(np.argmin(d[i]))
     while live.sum() > 1:
         if not chain:
             chain = [int(np.flatnonzero(live)[0])]
@@ -345,6 +344,7 @@ def _merges(matrix: np.ndarray) -> list[tuple[float, int, int]]:
             both = np.maximum(d[a], d[b])
             d[a], d[:, a] = both, both
             d[a, a] = np.inf
+            d[b], d[:, b] = np.inf, np.inf
             live[b] = False
             chain = chain[:-2]
         else:
@@ -409,7 +409,7 @@ def _nearest_in_blocks(grams: DataFrame, block: int) -> DataFrame:
                     for key, v in zip(out, (rows["piece_id"].iloc[0], c, low, p)):
                         out[key].append(v)
         return pd.DataFrame(out)
-    found = cells.select("piece_id", "i", "j", "is_row", "cluster", *names).groupBy("piece_id", "i", "j").applyInPandas(
+    found = spread(cells.select("piece_id", "i", "j", "is_row", "cluster", *names), "piece_id", "i", "j").groupBy("piece_id", "i", "j").applyInPandas(
         best, "piece_id int, cluster long, height double, partner long")
     order = F.struct("height", F.least("cluster", "partner"), F.greatest("cluster", "partner"))
     return found.groupBy("piece_id", "cluster").agg(F.min("height").alias("height"), F.min_by("partner", order).alias("partner"))
@@ -471,7 +471,7 @@ def cluster_grams(groups: DataFrame, task_groups: int = TASK_GROUPS) -> DataFram
     sizes = numbered.groupBy("piece_id").agg(F.count(F.lit(1)).alias("__n"))
     tagged = numbered.join(sizes, "piece_id")
     names = ["piece_id", "gram_no", *WEIGHTS]
-    labels = tagged.where(F.col("__n") <= task_groups).select(*names).groupBy("piece_id").applyInPandas(_cluster_piece, _CLUSTERS)
+    labels = spread(tagged.where(F.col("__n") <= task_groups).select(*names), "piece_id").groupBy("piece_id").applyInPandas(_cluster_piece, _CLUSTERS)
     large = tagged.where(F.col("__n") > task_groups).select(*names)
     if not sizes.where(F.col("__n") > task_groups).isEmpty():
         labels = labels.unionByName(_cluster_blocks(large, max(task_groups // 2, 2)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import harmony as hm
 from scorelake.functions.ordered import with_neighbours, with_row_number
 from scorelake.functions.pitch import accidental_shift, letter_pc, letter_step
+from scorelake.session import cut_lineage
 from scorelake.sources.views import BAR
 
 EVENT = [*BAR, "event_tick"]
@@ -156,8 +157,8 @@ def matched_events(events: DataFrame) -> DataFrame:
     make the bar's candidates; fitting candidates replace an event's own match;
     an event without any, but more than one name, takes partial matches, which
     become candidates too."""
-    smeared = smear_events(events)
-    exact = match_exact(smeared)
+    smeared = cut_lineage(smear_events(events))
+    exact = cut_lineage(match_exact(smeared))
     own = exact.where("matched").groupBy(*EVENT).agg(F.array_sort(F.collect_set("chord")).alias("own"))
     first = match_candidates(smeared, bar_candidates(exact)).join(own, EVENT, "left")
     none = F.array().cast("array<string>")
@@ -165,6 +166,7 @@ def matched_events(events: DataFrame) -> DataFrame:
     tried = first.withColumns({"partial": partial, "found": F.size("fitting") > 0})
     tried = tried.withColumn("matched", F.when(F.col("found"), F.col("fitting")).otherwise(
         F.array_sort(F.array_union(F.coalesce("own", none), "partial"))))
+    tried = cut_lineage(tried)
     more = tried.groupBy(*BAR).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("partial")))).alias("more"))
     both = (bar_candidates(exact).join(more, BAR, "full")
             .select(*BAR, F.array_union(F.coalesce("candidates", none), F.coalesce("more", none)).alias("candidates")))

@@ -20,6 +20,8 @@ def local_session(cpus: int | None = None, app: str = "scorelake") -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # One shuffle partition per core already; merging them would only idle cores.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,6 +29,13 @@ def local_session(cpus: int | None = None, app: str = "scorelake") -> SparkSessi
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys ahead of grouped Python work, in as many partitions as
+    the session shuffles into. Adaptive merging goes by bytes and would put a
+    little data with much work into a single task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 _local_folder: list[str] = []
 
 

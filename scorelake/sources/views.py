@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from scorelake.functions.ordered import with_row_number
 from scorelake.functions.pitch import SHARP_NAMES, quantise
 
+# Columns of the event table; naming them saves a pass over the file footers.
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 VOICE = ["piece_id", "part_idx", "voice"]
 BAR = ["piece_id", "measure_idx"]
 ONSET = ["piece_id", "measure_idx", "onset_tick"]
@@ -22,7 +24,7 @@ VOICE_ORDER = ["onset_tick", "sounding", "ps_order", "event_id"]
 
 def notes(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:
     """One row per note or rest; ``indexed`` adds ``note_idx``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     step = F.floor((F.hour("ts") * 60 + F.minute("ts")) / 90)
     raw_ps = (36 + F.round(F.col("value") * 100).cast("long") % 49).cast("int")
     dur = (F.when(F.col("event_type") == "click", 0.25).when(F.col("event_type") == "view", 0.5)
