@@ -95,8 +95,8 @@ def roll_slots(notes: DataFrame, quantum: int = 16, layers: int = 5, bar_ql: flo
     hi = F.least(F.floor((F.col("offset_ql") + F.col("dur_ql")) * quantum / bar_ql), F.lit(quantum))
     spread = (notes.where(~F.col("is_rest") & (hi > lo))
               .withColumn("slot", F.explode(F.sequence(lo, hi - 1))))
-    # Keep the first few candidates of each slot before the final ranking: a
-    # bounded sketch per group, combined on the map side.
+    # With a fixed bound on the rank, Spark drops the rows beyond it before the
+    # shuffle as well.
     w = Window.partitionBy("piece_id", "measure_idx", "part_idx", "slot").orderBy("onset_tick", "event_id")
     return (spread.withColumn("layer", F.row_number().over(w) - 1).where(F.col("layer") < layers)
             .select("piece_id", "part_idx", "measure_idx", "slot", "layer", "event_id", "ps"))

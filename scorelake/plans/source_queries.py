@@ -1,6 +1,7 @@
 """Source and sink queries on texts that Spark derives from the tables.
 
-Each derived document covers one bar, so no document grows with the data.
+Each derived document covers at most 256 neighbouring rows of one bar, so no
+document grows with the data.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from scorelake.sources import runs, scores, texts
 from scorelake.sources.views import BAR, notes, sounding
 
 
+def sheet():
+    return F.floor(F.col("event_id") / 256).alias("sheet")
+
+
 def bar_documents(s, d):
-    """Every bar of every part as a MusicXML text, notes placed by moving the
+    """Every bar of every part as MusicXML texts, notes placed by moving the
     cursor forward and back."""
     n = notes(s, d).withColumn("at", (F.col("offset_ql") * 4).cast("int")).withColumn("len", (F.col("dur_ql") * 4).cast("int"))
     sharp = F.col("name").contains("#")
@@ -28,16 +33,16 @@ def bar_documents(s, d):
     xml = F.concat(ahead, F.lit("<note>"), body, F.lit("<duration>"), F.col("len").cast("string"), F.lit("</duration>"), tie,
                    F.lit("<voice>"), F.col("voice"), F.lit("</voice></note><backup><duration>"),
                    (F.col("at") + F.col("len")).cast("string"), F.lit("</duration></backup>"))
-    docs = n.groupBy("piece_id", "measure_idx", "part_idx").agg(F.array_sort(F.collect_list(F.struct("event_id", xml.alias("x")))).alias("x"))
+    docs = n.groupBy("piece_id", "measure_idx", "part_idx", sheet()).agg(F.array_sort(F.collect_list(F.struct("event_id", xml.alias("x")))).alias("x"))
     text = F.concat(F.lit('<score-partwise><part id="P"><measure number="1"><attributes><divisions>4</divisions></attributes>'),
                     F.array_join(F.transform("x", lambda e: e["x"]), ""), F.lit("</measure></part></score-partwise>"))
-    return docs.select(F.concat_ws("/", "piece_id", "measure_idx", "part_idx").alias("path"), text.alias("text"))
+    return docs.select(F.concat_ws("/", "piece_id", "measure_idx", "part_idx", "sheet").alias("path"), text.alias("text"))
 
 
 register("read_scores", lambda s, d: scores.parse_scores(bar_documents(s, d)).select(
     "piece", "note_idx", "voice", "onset_tick", "dur_tick", "is_rest", "ps", "pc", "octave", "name", "tie"), with_sql("""
-SELECT concat_ws('/', piece_id, measure_idx, part_idx) AS piece,
-  ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, part_idx ORDER BY event_id) - 1 AS note_idx, voice,
+SELECT concat_ws('/', piece_id, measure_idx, part_idx, event_id // 256) AS piece,
+  ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, part_idx, event_id // 256 ORDER BY event_id) - 1 AS note_idx, voice,
   (offset_ql * 1024)::BIGINT AS onset_tick, dur_tick, is_rest, ps, pc, octave, name, tie FROM notes"""))
 
 register("read_pairs", lambda s, d: scores.read_pairs(s.read.parquet(f"{d}/events.parquet").select(F.concat(
@@ -47,18 +52,18 @@ SELECT event_type AS in_path, CASE WHEN event_id % 4 > 0 THEN user_id::VARCHAR E
 
 
 def corpus_documents(s, d):
-    """Each part's bar as a file with one section."""
+    """Each part's bar as files with one section."""
     c = corpus(s, d).withColumn("line", F.concat_ws("_", "root", "quality", F.col("inversion").cast("string")))
-    docs = c.groupBy("piece_id", "part_idx", "measure_idx", "tonic", "mode").agg(
+    docs = c.groupBy("piece_id", "part_idx", "measure_idx", sheet(), "tonic", "mode").agg(
         F.array_sort(F.collect_list(F.struct("onset_tick", "event_id", "line"))).alias("l"))
     text = F.concat_ws("\n", F.lit("file\ttitle\tcomposer"), F.concat_ws("\t", "tonic", "mode", F.size("l").cast("string")),
                        F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    return docs.select(F.concat_ws("/", "piece_id", "part_idx", "measure_idx").alias("path"), text.alias("text"))
+    return docs.select(F.concat_ws("/", "piece_id", "part_idx", "measure_idx", "sheet").alias("path"), text.alias("text"))
 
 
 register("read_harmony_corpus", lambda s, d: texts.read_harmony_corpus(corpus_documents(s, d)), with_sql(CORPUS_SQL, """
-SELECT concat_ws('/', piece_id, part_idx, measure_idx) AS path, 0 AS section,
-  (ROW_NUMBER() OVER (PARTITION BY piece_id, part_idx, measure_idx ORDER BY onset_tick, event_id) - 1)::INT AS pos,
+SELECT concat_ws('/', piece_id, part_idx, measure_idx, event_id // 256) AS path, 0 AS section,
+  (ROW_NUMBER() OVER (PARTITION BY piece_id, part_idx, measure_idx, event_id // 256 ORDER BY onset_tick, event_id) - 1)::INT AS pos,
   tonic, mode, root, quality, inversion FROM corp"""))
 
 
