@@ -35,14 +35,18 @@ def note_features(notes: DataFrame, division: float = 0.5) -> DataFrame:
     doubled = heard.groupBy(*ONSET, "name").agg((F.count(F.lit(1)) >= 2).alias("vertical_doubling"))
     tops = heard.groupBy(*ONSET).agg(F.max("ps").alias("__top"))
     items = ft.voice_items(notes).withColumn("sounding", ~F.col("is_rest"))
-    items = with_neighbours(items, VOICE, ["measure_idx"], ft.ITEM_ORDER, ["is_rest", "item_dur"], prev="__p", next="__n")
-    entry = ~F.col("is_rest") & F.coalesce(F.col("__p.is_rest"), F.lit(True))
+    # Neighbours in the part; those of another voice only count for
+    # ``onset_after_rest``.
+    items = with_neighbours(items, ["piece_id", "part_idx"], ["voice", "measure_idx"], ft.ITEM_ORDER,
+                            ["voice", "is_rest", "item_dur"], prev="__p", next="__n")
+    mine = lambda side: F.coalesce(F.col(f"{side}.voice") == F.col("voice"), F.lit(False))
+    entry = ~F.col("is_rest") & (~mine("__p") | F.col("__p.is_rest"))
     items = with_running_max(items, VOICE, ["measure_idx"], ft.ITEM_ORDER, {"__entry": F.when(entry, F.col("item_onset"))})
-    differs = lambda side: F.coalesce(F.col(f"{side}.is_rest") | (F.col(f"{side}.item_dur") != F.col("item_dur")), F.lit(False))
+    differs = lambda side: mine(side) & (F.col(f"{side}.is_rest") | (F.col(f"{side}.item_dur") != F.col("item_dur")))
     flow = items.where(~F.col("is_rest")).select(
         *VOICE, "measure_idx", "onset_tick", (F.col("item_onset") - F.col("__entry")).alias("entrance_effect"),
-        entry.alias("onset_after_rest"),
-        (F.col("__p").isNull() | differs("__p") | differs("__n")).alias("rhythm_variety"))
+        F.coalesce(F.col("__p.is_rest"), F.lit(True)).alias("onset_after_rest"),
+        (~mine("__p") | differs("__p") | differs("__n")).alias("rhythm_variety"))
     return (flags.join(names, [*cell, "name"], "left").join(doubled, [*ONSET, "name"], "left")
             .join(tops, ONSET, "left").join(flow, [*VOICE, "measure_idx", "onset_tick"], "left")
             .withColumn("highest_pitch", F.col("ps") == F.col("__top")).drop("__top")

@@ -11,6 +11,7 @@ from scorelake.operators import graph as gr
 from scorelake.operators import learn as ln
 from scorelake.operators import metrics as mt
 from scorelake.plans.align_queries import (ADJ_SQL, ALIGN_SQL, CN_SQL, HAND_SQL, contract_sql, contracted, mapping)
+from scorelake.plans.feature_queries import COUNTS, ITEMS
 from scorelake.plans.registry import OUT_SQL, joined, register, rounded, with_sql
 from scorelake.plans.tonal_queries import training
 from scorelake.session import cut_lineage
@@ -24,7 +25,21 @@ def labelled(s, d):
     return feats.join(hands, "event_id").withColumn("align", F.col("hand") > 0)
 
 
-register("note_features", lambda s, d: ln.note_features(notes(s, d)).select("event_id", *ln.FEATURES))
+register("note_features", lambda s, d: ln.note_features(notes(s, d)).select("event_id", *ln.FEATURES), with_sql(COUNTS, ITEMS, """
+near AS (SELECT *, LAG(is_rest) OVER v AS p_rest, LAG(dur) OVER v AS p_dur, LEAD(is_rest) OVER v AS n_rest, LEAD(dur) OVER v AS n_dur,
+           COALESCE(LAG(is_rest) OVER (PARTITION BY piece_id, part_idx ORDER BY voice, onset_tick, NOT is_rest), TRUE) AS after_rest
+         FROM items WINDOW v AS (PARTITION BY piece_id, part_idx, voice ORDER BY onset_tick, NOT is_rest)),
+flow AS (SELECT *, MAX(CASE WHEN NOT is_rest AND COALESCE(p_rest, TRUE) THEN onset_ql END) OVER
+           (PARTITION BY piece_id, part_idx, voice ORDER BY onset_tick, NOT is_rest ROWS UNBOUNDED PRECEDING) AS entry FROM near),
+freq AS (SELECT piece_id, part_idx, voice, measure_idx, name, COUNT(*) AS k FROM heard GROUP BY ALL),
+tops AS (SELECT *, k > 1 AND k = MAX(k) OVER (PARTITION BY piece_id, part_idx, voice, measure_idx) AS occurrence FROM freq)""", """
+SELECT event_id, active_rhythm, sustained_rhythm, bass_line, h.onset_ql - entry AS entrance_effect, after_rest AS onset_after_rest,
+  (p_rest IS NULL OR p_rest OR p_dur <> dur OR COALESCE(n_rest OR n_dur <> dur, FALSE)) AS rhythm_variety,
+  offset_ql % 0.5 < 1e-3 AS strong_beats, occurrence,
+  COUNT(*) OVER (PARTITION BY piece_id, measure_idx, onset_tick, name) >= 2 AS vertical_doubling,
+  ps = MAX(ps) OVER (PARTITION BY piece_id, measure_idx, onset_tick) AS highest_pitch, ABS(ps - 60) AS pitch_distance
+FROM heard h JOIN flags USING (piece_id, measure_idx, part_idx) JOIN flow USING (piece_id, part_idx, voice, onset_tick, is_rest)
+JOIN tops USING (piece_id, part_idx, voice, measure_idx, name)"""))
 register("assemble", lambda s, d: ln.assemble(labelled(s, d), ln.FEATURES, "hand").select(
     "event_id", joined(vector_to_array("features")).alias("features"), "label"))
 
