@@ -6,6 +6,9 @@ minimiser's bucket, about three bytes for each byte of text instead of twenty. I
 windows are compared word for word, and every window that a smaller doc_id holds too is reported.
 Repeats inside one document are found on the document itself, so a bucket only compares ids.
 
+A first pass counts the minimisers; super-k-mers whose minimiser occurs once hold no repeated window
+and stay where they are (a filter of bounded size tells most of them).
+
 Runs of words that are very frequent in the corpus (found in bounded memory) are the last choice for
 a minimiser, so no bucket gathers the surroundings of a common passage. Windows made of such runs
 only are not sent to a bucket: their lowest id is found by an aggregate that is combined before the
@@ -35,7 +38,10 @@ RUN = 4
 KEEP = 1 << 14
 #: Bytes of windows made of frequent runs that are looked up at once.
 LOOKUP_BYTES = 32 << 20
+#: Bits of the filter that thins the documents to be moved (2 MB), and the most bits of that which thins
+#: the super-k-mers (64 MB). When more keys than bits are set they let all pass: more is moved, nothing is lost.
 FILTER_BITS = 1 << 24
+SHARED_BITS = 1 << 29
 
 _TOP = np.uint64(1 << 63)
 
@@ -81,6 +87,16 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def window_hashes(w: Words, window: int) -> np.ndarray:
+    """A hash of the window that starts at each word, from those of its runs; equal windows have equal ones."""
+    grams = gram_hashes(w.hashes, RUN)
+    n = len(w.hashes) - window + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for k in [*range(0, window - RUN, RUN), window - RUN]:
+        h = mix(h + grams[k:k + len(h)]) if len(h) else h
+    return h
+
+
 def minimisers(w: Words, hot: np.ndarray, window: int) -> np.ndarray:
     """The minimiser of the window that starts at each word (of the whole buffer)."""
     grams = gram_hashes(w.hashes, RUN)
@@ -93,19 +109,20 @@ def minimisers(w: Words, hot: np.ndarray, window: int) -> np.ndarray:
     return window_minimum(order, window - RUN + 1)
 
 
-def repeated(w: Words, a: int, n: int, window: int) -> np.ndarray:
-    """Which windows of the document (words a to a + n - 1) start earlier in it too."""
+def repeated(w: Words, h: np.ndarray, a: int, n: int, window: int) -> np.ndarray:
+    """Which windows of the document (words a to a + n - 1) start earlier in it too. ``h``: ``window_hashes``."""
     count = n - window + 1
     out = np.zeros(max(count, 0), bool)
     if count < 2:
         return out
-    h = gram_hashes(w.hashes[a:a + n], window)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    if not same.any():
+    h = h[a:a + count]
+    in_order = np.sort(h)
+    twice = in_order[1:][in_order[1:] == in_order[:-1]]
+    if not len(twice):
         return out
+    at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
     seen: dict[bytes, int] = {}
-    for i in np.sort(order[np.append(same, False) | np.append(False, same)]):
+    for i in np.flatnonzero(twice[at] == h).tolist():
         text = w.text(a + i, a + i + window)
         if text in seen:
             out[i] = True
@@ -123,31 +140,53 @@ def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PIECES = "mini long, id long, row long, start int, packed binary"
 
 
-def _pieces(docs: DataFrame, hot, window: int) -> DataFrame:
-    """Super-k-mers: maximal runs of windows with one minimiser, without windows that repeat in their document."""
+def _super_kmers(batch, hot: np.ndarray, window: int):
+    """Maximal runs of windows of a document with one minimiser, without windows that repeat in their
+    document or consist of frequent runs: the words, and arrays of the row, minimiser, first and last window."""
+    ids = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+    for first, w in word_runs(batch.column("text")):
+        low = minimisers(w, hot, window)
+        if not len(low):
+            continue
+        h = window_hashes(w, window)
+        use = low < _TOP
+        part = np.full(len(low), -1)
+        for k in range(len(w.first) - 1):
+            a, n = int(w.first[k]), int(w.first[k + 1] - w.first[k])
+            if n >= window and ids[first + k]:
+                part[a:a + n - window + 1] = first + k
+                use[a:a + n - window + 1] &= ~repeated(w, h, a, n, window)
+        use &= part >= 0
+        change = np.flatnonzero((low[1:] != low[:-1]) | (use[1:] != use[:-1]) | (part[1:] != part[:-1])) + 1
+        s, e = np.append(0, change), np.append(change, len(low))
+        good = use[s]
+        s, e = s[good], e[good]
+        yield w, part[s], low[s], s, e, s - w.first[part[s] - first]
+
+
+def _shared_minimisers(docs: DataFrame, hot, window: int, filter_bits: int) -> tuple[np.ndarray, int]:
+    """A filter of the minimisers of more than one super-k-mer. What has another one occurs once in the corpus."""
     def run(batch):
-        ids, rows = batch.column("id").to_pylist(), batch.column("row").to_pylist()
-        for first, w in word_runs(batch.column("text")):
-            low = minimisers(w, hot.value, window)
-            cols = [[], [], [], [], []]
-            for k in range(len(w.first) - 1):
-                a, n = int(w.first[k]), int(w.first[k + 1] - w.first[k])
-                if n < window or ids[first + k] is None:
-                    continue
-                m = low[a:a + n - window + 1]
-                use = ~repeated(w, a, n, window) & (m < _TOP)
-                cut = np.flatnonzero((m[1:] != m[:-1]) | (use[1:] != use[:-1])) + 1
-                for s, e in zip(np.append(0, cut), np.append(cut, len(m)), strict=True):
-                    if use[s]:
-                        cols[0].append(int(m[s]))
-                        cols[1].append(ids[first + k])
-                        cols[2].append(rows[first + k])
-                        cols[3].append(int(s))
-                        cols[4].append(w.text(a + s, a + e - 1 + window))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())],
-                    ["mini", "id", "row", "start", "packed"])
+        for _, _, mini, *_ in _super_kmers(batch, hot.value, window):
+            yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64))], ["mini"])
+    shared = written(in_arrow(docs, run, "mini long").groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini"))
+    bits = min(filter_bits, max(1 << 16, 16 * shared.count()))
+    return bitset(shared.select(F.pmod(F.col("mini"), F.lit(bits)).alias("p")), bits), bits
+
+
+def _pieces(docs: DataFrame, hot, shared, window: int) -> DataFrame:
+    """Super-k-mers whose minimiser may be shared, packed."""
+    def run(batch):
+        words, bits = shared.value
+        ids, rows = batch.column("id").to_numpy(zero_copy_only=False), batch.column("row").to_numpy()
+        for w, part, mini, s, e, start in _super_kmers(batch, hot.value, window):
+            keep = has_bit(words, mini % np.uint64(bits))
+            part, mini, s, e, start = part[keep], mini[keep], s[keep], e[keep], start[keep]
+            lo, hi = w.starts[s].tolist(), w.ends[e - 2 + window].tolist()
+            packed = [w.buffer[x:y] for x, y in zip(lo, hi, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mini.view(np.int64)), pa.array(ids[part].astype(np.int64)), pa.array(rows[part]), pa.array(start.astype(np.int32)), pa.array(packed, pa.binary())],
+                ["mini", "id", "row", "start", "packed"])
     return in_arrow(docs, run, PIECES)
 
 
@@ -201,6 +240,8 @@ def _bucket_spans(pieces: DataFrame, window: int) -> DataFrame:
                     mini = minis[s]
                 elif not group:
                     raise AssertionError("a bucket came apart")
+                if e - s == 1 and s > 0 and e < len(minis):
+                    continue  # alone in its bucket
                 part = b.slice(s, e - s)
                 group.extend(zip(*(part.column(c).to_pylist() for c in ("id", "row", "start", "packed")), strict=True))
             if len(out) > 20000:
@@ -242,7 +283,7 @@ KEPT = "n_words long, n_removed long, kept string"
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep: int = KEEP,
-                   lookup_bytes: int = LOOKUP_BYTES) -> DataFrame:
+                   lookup_bytes: int = LOOKUP_BYTES, filter_bits: int = SHARED_BITS) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
@@ -262,7 +303,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 continue
             common = {bytes(r.packed): r.id for r in found.toLocalIterator()}
         break
-    spans = written(_bucket_spans(_pieces(docs, hot, window), window).groupBy("id", "row").agg(
+    shared = spark.sparkContext.broadcast(_shared_minimisers(docs, hot, window, filter_bits))
+    spans = written(_bucket_spans(_pieces(docs, hot, shared, window), window).groupBy("id", "row").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")))
     bits = spark.sparkContext.broadcast(bitset(spans.select(F.pmod(F.xxhash64("id", "row"), F.lit(FILTER_BITS)).alias("p")), FILTER_BITS))
     known = spark.sparkContext.broadcast(common)
@@ -270,14 +312,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rewritten(batch):
         ids, given = batch.column("id").to_pylist(), batch.column("spans").to_pylist()
         for first, w in word_runs(batch.column("text")):
-            low = minimisers(w, hot.value, window)
+            low = minimisers(w, hot.value, window) if known.value else None
+            h = window_hashes(w, window)
             out = [[], [], [], []]
             for k in range(len(w.first) - 1):
                 a, n = int(w.first[k]), int(w.first[k + 1] - w.first[k])
                 gone = np.zeros(n, bool)
                 i = ids[first + k]
                 if n >= window:
-                    starts = repeated(w, a, n, window)
+                    starts = repeated(w, h, a, n, window)
                     if known.value and i is not None:
                         for s in np.flatnonzero((low[a:a + n - window + 1] >= _TOP) & ~starts).tolist():
                             starts[s] = known.value[w.text(a + s, a + s + window)] < i
