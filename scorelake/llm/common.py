@@ -128,19 +128,31 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class Frequent:
-    """The most frequent of a stream of hashes, in bounded memory: whatever makes up more
-    than ``1 / keep`` of the stream is among them, with a count too low by less than that."""
+    """The most frequent of a stream of hashes, in bounded memory. Runs of ``CHUNK`` hashes are counted;
+    those that occur once in a run are left out, and the rarest when more than ``keep`` are held. A hash that
+    makes up several times ``1 / keep`` of the stream is among them, with a count that may be somewhat low."""
+
+    CHUNK = 1 << 22
 
     def __init__(self, keep: int):
-        self.keep, self.keys, self.counts, self.seen = keep, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.keep, self.keys, self.counts, self.seen, self.held, self.size = keep, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
 
     def add(self, hashes: np.ndarray) -> None:
-        if not len(hashes):
+        self.held.append(hashes)
+        self.size += len(hashes)
+        if self.size >= self.CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        if not self.size:
             return
-        self.seen += len(hashes)
-        keys, counts = np.unique(hashes, return_counts=True)
-        keys, where = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([self.counts, counts]), len(keys)).astype(np.int64)
+        new = np.sort(np.concatenate(self.held))
+        self.seen += self.size
+        self.held, self.size = [], 0
+        at = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+        n = np.diff(np.append(at, len(new)))
+        keys, where = np.unique(np.concatenate([self.keys, new[at][n > 1]]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([self.counts, n[n > 1]]), len(keys)).astype(np.int64)
         if len(keys) > self.keep:
             floor = np.partition(counts, len(counts) - self.keep - 1)[len(counts) - self.keep - 1]
             counts = counts - floor
@@ -156,6 +168,7 @@ def frequent(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         for b in batches:
             for h in hashes(b):
                 top.add(h)
+        top.count()
         strong = top.counts * keep >= top.seen
         keys, counts = top.keys[strong], top.counts[strong]
         yield pa.RecordBatch.from_arrays(
@@ -164,10 +177,10 @@ def frequent(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     found = written(df.mapInArrow(run, "key long, n long, seen long"))
     total = found.agg(F.sum("seen")).first()[0] or 0
     rows = (found.where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
-            .where(F.col("n") * keep >= F.lit(2 * total)).orderBy(F.desc("n"), "key").limit(keep).collect())
-    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
+            .where(F.col("n") * keep >= F.lit(2 * total)).toArrow())  # their number is below keep / 2
+    keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(keys)
-    return keys[order], np.array([r.n for r in rows], np.int64)[order]
+    return keys[order], counts[order]
 
 
 def bitset(positions: DataFrame, bits: int) -> np.ndarray:
