@@ -92,8 +92,8 @@ def thin_frame(pitches: list[int], span: int = SPAN) -> list[tuple[int, bool]]:
     """New pitch and deleted flag for the sorted notes of one frame.
 
     While the lowest pitch class repeats above, the note below the repeat goes.
-    If that leaves more than two clusters, everything below a gap of an octave
-    or more is raised by whole octaves, widest gap first, until two remain."""
+    If that leaves more than two clusters, everything below each gap of an octave
+    or more is raised by whole octaves, widest gap first."""
     new, gone = list(pitches), [False] * len(pitches)
 
     def clusters() -> int:
@@ -113,8 +113,6 @@ def thin_frame(pitches: list[int], span: int = SPAN) -> list[tuple[int, bool]]:
                 break
             for i in live[:k + 1]:
                 new[i] += gap - gap % 12
-            if clusters() <= 2:
-                break
     return list(zip(new, gone))
 
 

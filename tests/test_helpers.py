@@ -34,7 +34,9 @@ def test_thin_frame():
     # Three octaves of C: the two lower ones go until two clusters remain.
     assert hd.thin_frame([36, 60, 84]) == [(36, True), (60, False), (84, False)]
     # No doubling: the note below the widest gap comes up.
-    assert hd.thin_frame([36, 61, 80]) == [(60, False), (61, False), (80, False)]
+    # Every gap of an octave or more counts, also once two clusters are left.
+    assert hd.thin_frame([24, 37, 62, 87]) == [(84, False), (85, False), (86, False), (87, False)]
+    assert hd.thin_frame([36, 61, 80]) == [(72, False), (73, False), (80, False)]
 
 
 def test_voices():
