@@ -40,7 +40,7 @@ STAGES = [
     ("mixing", mix_to_weights),
 ]
 
-#: The classifier of the first stage can't be said in SQL; tests hold the pipeline against brute force.
+#: The classifier of the first stage can't be said in SQL; the tests hold each operator against brute force or cases.
 ORACLE_SQL = None
 
 
