@@ -1,8 +1,10 @@
 """Edges between notes and the contraction of notes.
 
-Edge operators pair notes of one onset or one bar. Run them on contracted notes
-(one per bar, onset and pitch), where an onset holds at most as many notes as
-there are pitches; the edges of a contracted score are exactly those.
+Edge operators pair notes of one onset or one bar. For a contracted score run
+them on ``pitch_cells``, one row per bar, onset and pitch, so that an onset holds
+at most as many rows as there are pitches, and rename the edges to groups with
+``map_structure``. A cell carries the longest and the shortest length of its
+notes, so that its edges and their greatest features are those of all notes.
 """
 
 from __future__ import annotations
@@ -136,6 +138,15 @@ def contracted_notes(notes: DataFrame) -> DataFrame:
     return first.select(*ONSET, "ps", "note_idx", "__n.*")
 
 
+def pitch_cells(notes: DataFrame) -> DataFrame:
+    """One row per bar, onset and pitch, under the index of its first note, with
+    the greatest length of its notes (``dur_tick``, ``dur_ql``) and the least one
+    above zero (``low_ql``)."""
+    return _members(notes).groupBy(*ONSET, "ps").agg(
+        F.min("note_idx").alias("note_idx"), F.max("dur_tick").alias("dur_tick"), F.max("dur_ql").alias("dur_ql"),
+        F.min(F.when(F.col("dur_ql") > 0, F.col("dur_ql"))).alias("low_ql"), F.lit(False).alias("is_rest"))
+
+
 # --- edges ----------------------------------------------------------------
 
 
@@ -157,10 +168,14 @@ def simultaneous_notes(notes: DataFrame, slot_ticks: int = 256) -> DataFrame:
 
 
 def onset_notes(notes: DataFrame) -> DataFrame:
-    """Pairs with equal onset, with pitches and lengths of both."""
+    """Pairs with equal onset, with pitches and lengths (of cells, the greatest and the least) of both."""
     heard = _members(notes)
-    a = heard.select(*ONSET, F.col("note_idx").alias("u"), F.col("ps").alias("ps_u"), F.col("dur_ql").alias("dur_u"))
-    b = heard.select(*ONSET, F.col("note_idx").alias("v"), F.col("ps").alias("ps_v"), F.col("dur_ql").alias("dur_v"))
+    low = F.col("low_ql" if "low_ql" in notes.columns else "dur_ql")
+
+    def side(x: str) -> DataFrame:
+        return heard.select(*ONSET, F.col("note_idx").alias(x), F.col("ps").alias(f"ps_{x}"),
+                            F.col("dur_ql").alias(f"dur_{x}"), low.alias(f"low_{x}"))
+    a, b = side("u"), side("v")
     return a.join(b, ONSET).where(F.col("u") < F.col("v")).drop("measure_idx", "onset_tick")
 
 
@@ -175,10 +190,10 @@ def onset_bad_interval_notes(notes: DataFrame) -> DataFrame:
 
 
 def onset_duration_varying_notes(notes: DataFrame) -> DataFrame:
-    """Onset pairs of different lengths with log2 of their ratio."""
-    long, short = F.greatest("dur_u", "dur_v"), F.least("dur_u", "dur_v")
-    return (onset_notes(notes).where((F.col("dur_u") != F.col("dur_v")) & (short > 0))
-            .select("piece_id", "u", "v", F.log2(long / short).alias("log_ratio")))
+    """Onset pairs of different lengths with log2 of their ratio (of cells, the greatest between their notes)."""
+    ratio = F.greatest(F.col("dur_u") / F.col("low_v"), F.col("dur_v") / F.col("low_u"))
+    return (onset_notes(notes).where((F.col("low_u") > 0) & (F.col("low_v") > 0) & (ratio > 1))
+            .select("piece_id", "u", "v", F.log2(ratio).alias("log_ratio")))
 
 
 def adjacent_notes(notes: DataFrame) -> DataFrame:

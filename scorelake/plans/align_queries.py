@@ -251,21 +251,42 @@ def contracted(s, d):
 CN_SQL = """
 cn AS (SELECT * EXCLUDE (k) FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, onset_tick, ps ORDER BY note_idx) AS k FROM heard) WHERE k = 1)"""
-PAIR_SQL = """
-pairs AS (SELECT a.piece_id, a.note_idx AS u, b.note_idx AS v, a.ps AS ps_u, b.ps AS ps_v, a.dur_ql AS dur_u, b.dur_ql AS dur_v
-  FROM cn a JOIN cn b ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx AND a.onset_tick = b.onset_tick AND a.note_idx < b.note_idx)"""
-
-register("simultaneous_notes", lambda s, d: gr.simultaneous_notes(contracted(s, d)), with_sql(CN_SQL, """
-SELECT a.piece_id, a.note_idx AS u, b.note_idx AS v FROM cn a JOIN cn b
-ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx AND a.note_idx < b.note_idx
-AND a.onset_tick < b.onset_tick + b.dur_tick AND b.onset_tick < a.onset_tick + a.dur_tick"""))
-register("onset_notes", lambda s, d: gr.onset_notes(contracted(s, d)).select("piece_id", "u", "v"),
-         with_sql(CN_SQL, PAIR_SQL, "SELECT piece_id, u, v FROM pairs"))
-register("onset_bad_interval_notes", lambda s, d: gr.onset_bad_interval_notes(contracted(s, d)),
-         with_sql(CN_SQL, PAIR_SQL, "SELECT piece_id, u, v FROM pairs WHERE (ps_u - ps_v + 120) % 12 IN (1, 2, 6, 10, 11)"))
-register("onset_duration_varying_notes", lambda s, d: gr.onset_duration_varying_notes(contracted(s, d)).withColumn(
-    "log_ratio", rounded("log_ratio")), with_sql(CN_SQL, PAIR_SQL, """
-SELECT piece_id, u, v, ROUND(ABS(LOG2(dur_u / dur_v)), 6) AS log_ratio FROM pairs WHERE dur_u <> dur_v"""))
+
+
+def cells(s, d):
+    return gr.pitch_cells(notes(s, d, indexed=True))
+
+
+def between_groups(s, d, edges, columns=("one",)):
+    """Edges under group numbers, with the greatest feature of each pair of groups."""
+    return gr.map_structure(edges.withColumn("one", F.lit(1.0)), mapping(s, d), list(columns))
+
+
+# The twins pair all notes that sound, and only then rename and take the maximum.
+GROUP_SQL = """
+g AS (SELECT heard.*, group_idx FROM heard JOIN mapping USING (piece_id, note_idx)),
+same_onset AS (SELECT a.piece_id, LEAST(a.group_idx, b.group_idx) AS u, GREATEST(a.group_idx, b.group_idx) AS v,
+    a.ps AS ps_u, b.ps AS ps_v, a.dur_ql AS dur_u, b.dur_ql AS dur_v
+  FROM g a JOIN g b ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx AND a.onset_tick = b.onset_tick
+    AND a.note_idx < b.note_idx AND a.group_idx <> b.group_idx),
+e1 AS (SELECT DISTINCT a.piece_id, LEAST(a.group_idx, b.group_idx) AS u, GREATEST(a.group_idx, b.group_idx) AS v
+  FROM g a JOIN g b ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx AND a.note_idx < b.note_idx AND a.group_idx <> b.group_idx
+    AND a.onset_tick < b.onset_tick + b.dur_tick AND b.onset_tick < a.onset_tick + a.dur_tick),
+e2 AS (SELECT DISTINCT piece_id, u, v FROM same_onset),
+e3 AS (SELECT DISTINCT piece_id, u, v FROM same_onset
+  WHERE (ps_u - ps_v + 120) % 12 IN (1, 2, 6, 10, 11)),
+e4 AS (SELECT piece_id, u, v, MAX(ABS(LOG2(dur_u / dur_v))) AS log_ratio FROM same_onset WHERE dur_u <> dur_v GROUP BY ALL)"""
+KEYS = ("piece_id", "u", "v")
+
+register("simultaneous_notes", lambda s, d: between_groups(s, d, gr.simultaneous_notes(cells(s, d))).select(*KEYS),
+         contract_sql(GROUP_SQL, "SELECT * FROM e1"))
+register("onset_notes", lambda s, d: between_groups(s, d, gr.onset_notes(cells(s, d))).select(*KEYS),
+         contract_sql(GROUP_SQL, "SELECT * FROM e2"))
+register("onset_bad_interval_notes", lambda s, d: between_groups(s, d, gr.onset_bad_interval_notes(cells(s, d))).select(*KEYS),
+         contract_sql(GROUP_SQL, "SELECT * FROM e3"))
+register("onset_duration_varying_notes", lambda s, d: between_groups(
+    s, d, gr.onset_duration_varying_notes(cells(s, d)), ["log_ratio"]).withColumn("log_ratio", rounded("log_ratio")),
+    contract_sql(GROUP_SQL, "SELECT piece_id, u, v, ROUND(log_ratio, 6) AS log_ratio FROM e4"))
 
 ADJ_SQL = """
 items AS (SELECT DISTINCT piece_id, part_idx, voice, onset_tick, is_rest FROM notes),
@@ -292,18 +313,29 @@ WHERE x.group_idx <> y.group_idx GROUP BY ALL"""))
 
 
 def _edge_features(s, d):
-    cn = contracted(s, d)
+    cell, m = cells(s, d), mapping(s, d)
+
+    def grouped(edges, *columns):
+        return gr.map_structure(edges.withColumn("one", F.lit(1.0)), m, list(columns)), list(columns)
     return gr.edge_features([
-        (gr.simultaneous_notes(cn).withColumn("one", F.lit(1.0)), ["one"]),
-        (gr.onset_bad_interval_notes(cn).withColumn("one", F.lit(1.0)), ["one"]),
-        (gr.onset_duration_varying_notes(cn), ["log_ratio"]),
-    ]).withColumn("s2_log_ratio", rounded("s2_log_ratio"))
-
-
-register("edge_features", _edge_features, with_sql(CN_SQL, PAIR_SQL, """
-e AS (SELECT a.piece_id, a.note_idx AS u, b.note_idx AS v, 1.0 AS f0, 0.0 AS f1, 0.0 AS f2 FROM cn a JOIN cn b
-  ON a.piece_id = b.piece_id AND a.measure_idx = b.measure_idx AND a.note_idx < b.note_idx
-  AND a.onset_tick < b.onset_tick + b.dur_tick AND b.onset_tick < a.onset_tick + a.dur_tick
-  UNION ALL SELECT piece_id, u, v, 0, 1, 0 FROM pairs WHERE (ps_u - ps_v + 120) % 12 IN (1, 2, 6, 10, 11)
-  UNION ALL SELECT piece_id, u, v, 0, 0, ABS(LOG2(dur_u / dur_v)) FROM pairs WHERE dur_u <> dur_v)""", """
-SELECT piece_id, u, v, MAX(f0)::DOUBLE AS s0_one, MAX(f1)::DOUBLE AS s1_one, ROUND(MAX(f2)::DOUBLE, 6) AS s2_log_ratio FROM e GROUP BY ALL"""))
+        grouped(gr.simultaneous_notes(cell), "one"),
+        grouped(gr.onset_notes(cell), "one"),
+        grouped(gr.onset_bad_interval_notes(cell), "one"),
+        grouped(gr.onset_duration_varying_notes(cell), "log_ratio"),
+        grouped(gr.adjacent_notes(notes(s, d, indexed=True)), "one", "log_d", "log_d_sq"),
+    ]).select("piece_id", "u", "v", "s0_one", "s1_one", "s2_one", rounded("s3_log_ratio").alias("s3_log_ratio"),
+              "s4_one", rounded("s4_log_d").alias("s4_log_d"), rounded("s4_log_d_sq").alias("s4_log_d_sq"))
+
+
+register("edge_features", _edge_features, contract_sql(
+    ADJ_SQL.replace("items AS (SELECT DISTINCT piece_id, part_idx, voice, onset_tick, is_rest FROM notes),\n", ""), GROUP_SQL, """
+e5 AS (SELECT a.piece_id, LEAST(x.group_idx, y.group_idx) AS u, GREATEST(x.group_idx, y.group_idx) AS v,
+    MAX(one) AS one, MAX(log_d) AS log_d, MAX(log_d_sq) AS log_d_sq
+  FROM adj a JOIN mapping x ON x.piece_id = a.piece_id AND x.note_idx = a.u JOIN mapping y ON y.piece_id = a.piece_id AND y.note_idx = a.v
+  WHERE x.group_idx <> y.group_idx GROUP BY ALL),
+e AS (SELECT piece_id, u, v FROM e1 UNION SELECT piece_id, u, v FROM e2 UNION SELECT piece_id, u, v FROM e5)""", """
+SELECT e.piece_id, e.u, e.v, (e1.u IS NOT NULL)::INT::DOUBLE AS s0_one, (e2.u IS NOT NULL)::INT::DOUBLE AS s1_one,
+  (e3.u IS NOT NULL)::INT::DOUBLE AS s2_one, ROUND(COALESCE(log_ratio, 0), 6) AS s3_log_ratio, COALESCE(one, 0) AS s4_one,
+  ROUND(COALESCE(log_d, 0), 6) AS s4_log_d, ROUND(COALESCE(log_d_sq, 0), 6) AS s4_log_d_sq
+FROM e LEFT JOIN e1 USING (piece_id, u, v) LEFT JOIN e2 USING (piece_id, u, v) LEFT JOIN e3 USING (piece_id, u, v)
+  LEFT JOIN e4 USING (piece_id, u, v) LEFT JOIN e5 USING (piece_id, u, v)"""))
