@@ -48,7 +48,7 @@ def contract_by_pitch_onset(notes: DataFrame) -> DataFrame:
             .select("piece_id", "u", F.col("note_idx").alias("v")))
 
 
-def flatten_contractions(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def flatten_contractions(edges: DataFrame) -> DataFrame:
     """Connected components as ``(piece_id, note_idx, parent_idx)`` with the
     smallest member as parent, for all notes that have an edge.
 
@@ -79,13 +79,9 @@ def flatten_contractions(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
                  .groupBy(*key, "n").agg(F.sum("child").alias("child"), F.max("root").alias("root")))
         return roles.where((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("root") > 0))).isEmpty()
 
-    flat = cut_lineage(flat.distinct())
-    for _ in range(max_rounds):
+    flat = cut_lineage(small_star(large_star(flat.distinct())))
+    while not settled(flat):
         flat = cut_lineage(small_star(large_star(flat)))
-        if settled(flat):
-            break
-    else:
-        raise RuntimeError("components did not settle")
     roots = flat.select(*key, F.col("v").alias("note_idx"), F.col("v").alias("parent_idx"))
     return (flat.select(*key, F.col("u").alias("note_idx"), F.col("v").alias("parent_idx"))
             .unionByName(roots).distinct())
@@ -129,13 +125,15 @@ def map_structure(edges: DataFrame, mapping: DataFrame, columns: list[str],
         *[aggregator(F.col(c)).alias(c) for c in columns])
 
 
-def contracted_notes(notes: DataFrame) -> DataFrame:
-    """One note per bar, onset and pitch: the first in score order."""
-    heard = _members(notes)
-    others = [c for c in heard.columns if c not in (*ONSET, "ps", "note_idx")]
-    first = heard.groupBy(*ONSET, "ps").agg(
-        F.min("note_idx").alias("note_idx"), F.min_by(F.struct(*others), "note_idx").alias("__n"))
-    return first.select(*ONSET, "ps", "note_idx", "__n.*")
+def contracted_rows(notes: DataFrame, mapping: DataFrame, columns: list[str],
+                    aggregator: Callable[[Column], Column] = F.max) -> DataFrame:
+    """One row per group, under its ``group_idx`` as ``note_idx`` and at the onset of
+    its first note, with the aggregated columns of all its notes."""
+    keyed = _members(notes).join(mapping.select("piece_id", "note_idx", "group_idx"), ["piece_id", "note_idx"])
+    return (keyed.groupBy("piece_id", "group_idx")
+            .agg(F.min_by(F.struct("measure_idx", "onset_tick"), "note_idx").alias("__at"),
+                 *[aggregator(F.col(c)).alias(c) for c in columns])
+            .select("piece_id", "__at.*", F.col("group_idx").alias("note_idx"), *columns))
 
 
 def pitch_cells(notes: DataFrame) -> DataFrame:

@@ -244,15 +244,6 @@ FROM heard JOIN mapping USING (piece_id, note_idx)"""))
 # --- structures, on contracted notes ---------------------------------------
 
 
-def contracted(s, d):
-    return gr.contracted_notes(notes(s, d, indexed=True))
-
-
-CN_SQL = """
-cn AS (SELECT * EXCLUDE (k) FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, onset_tick, ps ORDER BY note_idx) AS k FROM heard) WHERE k = 1)"""
-
-
 def cells(s, d):
     return gr.pitch_cells(notes(s, d, indexed=True))
 

@@ -10,7 +10,7 @@ from scorelake.operators import features as ft
 from scorelake.operators import graph as gr
 from scorelake.operators import learn as ln
 from scorelake.operators import metrics as mt
-from scorelake.plans.align_queries import (ADJ_SQL, ALIGN_SQL, CN_SQL, HAND_SQL, contract_sql, contracted, mapping)
+from scorelake.plans.align_queries import (ADJ_SQL, ALIGN_SQL, HAND_SQL, contract_sql, mapping)
 from scorelake.plans.feature_queries import COUNTS, ITEMS
 from scorelake.plans.registry import OUT_SQL, joined, register, rounded, with_sql
 from scorelake.plans.tonal_queries import training
@@ -89,13 +89,17 @@ _ORDER = ["ps", "dur_ql", "offset_ql"]
 
 
 def keep_labelled(s, d):
-    return al.align_pitch_class_onset(contracted(s, d), out_notes(s, d))
+    """Contracted groups with their greatest features, kept if any of their notes is."""
+    rows = al.align_pitch_class_onset(notes(s, d, indexed=True).where(~F.col("is_rest")), out_notes(s, d))
+    return gr.contracted_rows(rows, mapping(s, d), [*_ORDER, "align"])
 
 
-register("ordering_pairs", lambda s, d: ln.ordering_pairs(keep_labelled(s, d), _ORDER, "align"), with_sql(
-    OUT_SQL, ALIGN_SQL, CN_SQL, """
-lab AS (SELECT cn.*, align FROM cn JOIN (SELECT event_id, align FROM aligned) USING (event_id)),
-pr AS (SELECT k.piece_id, k.note_idx AS k, x.note_idx AS d, k.ps - x.ps AS ps, k.dur_ql - x.dur_ql AS dur_ql, k.offset_ql - x.offset_ql AS offset_ql
+register("ordering_pairs", lambda s, d: ln.ordering_pairs(keep_labelled(s, d), _ORDER, "align"), contract_sql(
+    OUT_SQL, ALIGN_SQL, """
+lab AS (SELECT piece_id, group_idx, ARG_MIN(measure_idx, note_idx) AS measure_idx, ARG_MIN(onset_tick, note_idx) AS onset_tick,
+    MAX(ps) AS ps, MAX(dur_ql) AS dur_ql, MAX(offset_ql) AS offset_ql, BOOL_OR(align) AS align
+  FROM heard JOIN mapping USING (piece_id, note_idx) JOIN (SELECT event_id, align FROM aligned) USING (event_id) GROUP BY ALL),
+pr AS (SELECT k.piece_id, k.group_idx AS k, x.group_idx AS d, k.ps - x.ps AS ps, k.dur_ql - x.dur_ql AS dur_ql, k.offset_ql - x.offset_ql AS offset_ql
        FROM lab k JOIN lab x ON k.piece_id = x.piece_id AND k.measure_idx = x.measure_idx AND k.onset_tick = x.onset_tick WHERE k.align AND NOT x.align)""", """
 SELECT piece_id, k, d, ps::DOUBLE AS ps, dur_ql, offset_ql, 1 AS label FROM pr
 UNION ALL SELECT piece_id, k, d, -ps::DOUBLE, 0 - dur_ql, 0 - offset_ql, 0 FROM pr"""))
@@ -103,15 +107,18 @@ UNION ALL SELECT piece_id, k, d, -ps::DOUBLE, 0 - dur_ql, 0 - offset_ql, 0 FROM
 
 def _ordering(s, d):
     rows = cut_lineage(keep_labelled(s, d).select(*ONSET, "note_idx", "align", *_ORDER))
-    cols = _ORDER[:2]
-    fitted = ln.train_ordering(ln.ordering_pairs(rows, cols, "align"), cols)
-    return ln.decode_ordering(rows, fitted, cols, ft.output_count_by_onset(notes(s, d))).select("piece_id", "note_idx", "keep")
+    fitted = ln.train_ordering(ln.ordering_pairs(rows, _ORDER, "align"), _ORDER)
+    return ln.decode_ordering(rows, fitted, _ORDER, ft.output_count_by_onset(notes(s, d))).select("piece_id", "note_idx", "keep")
 
 
 register("onset_ordering", _ordering)
 register("keep_highest", lambda s, d: ln.keep_highest(
-    contracted(s, d), F.col("ps") * 0.5 + F.col("dur_ql"), F.lit(2)).select("piece_id", "note_idx", "keep"), with_sql(CN_SQL, """
-SELECT piece_id, note_idx, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, onset_tick ORDER BY ps * 0.5 + dur_ql DESC, note_idx) <= 2 AS keep FROM cn"""))
+    gr.contracted_rows(notes(s, d, indexed=True), mapping(s, d), ["ps", "dur_ql"]), F.col("ps") * 0.5 + F.col("dur_ql"),
+    F.lit(2)).select("piece_id", "note_idx", "keep"), contract_sql("""
+grp AS (SELECT piece_id, group_idx, ARG_MIN(measure_idx, note_idx) AS measure_idx, ARG_MIN(onset_tick, note_idx) AS onset_tick,
+    MAX(ps) AS ps, MAX(dur_ql) AS dur_ql FROM heard JOIN mapping USING (piece_id, note_idx) GROUP BY ALL)""", """
+SELECT piece_id, group_idx AS note_idx, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, onset_tick
+  ORDER BY ps * 0.5 + dur_ql DESC, group_idx) <= 2 AS keep FROM grp"""))
 
 # --- onset chain ----------------------------------------------------------
 
