@@ -8,10 +8,8 @@ frame.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorelake.functions.ordered import with_neighbours, with_row_number, with_running_max
 from scorelake.functions.pitch import MIDDLE_C
@@ -80,65 +78,42 @@ def hand_clusters(groups: DataFrame, span: int = SPAN) -> DataFrame:
 # --- thinning of frames that need more than two hands ----------------------
 
 
-def count_clusters(pitches, span: int = SPAN) -> int:
-    n, low = 0, None
-    for p in sorted(set(pitches)):
-        if low is None or p - low > 2 * span - 1:
-            n, low = n + 1, p
-    return n
+def thinned(pitches: Column, span: int = SPAN) -> Column:
+    """New pitch and deleted flag for the sorted pitches of a frame, as an array of ``ps`` and ``deleted``.
 
+    A note goes if the one above it is of the lowest note's pitch class; from the lowest such note up, as
+    many go as it takes to come down to two clusters. If all of them are not enough, every gap of an octave
+    or more among those that stay is closed by whole octaves: a note rises by the octaves of all gaps above it."""
+    n = F.size(pitches)
+    # Positions that may go. The lowest note's position is 0.
+    repeats = F.filter(F.transform(pitches, lambda p, i: F.when(
+        F.pmod(F.get(pitches, i + 1), F.lit(12)) == F.pmod(F.get(pitches, F.lit(0)), F.lit(12)), i)), lambda i: i.isNotNull())
 
-def thin_frame(pitches: list[int], span: int = SPAN) -> list[tuple[int, bool]]:
-    """New pitch and deleted flag for the sorted notes of one frame.
+    def left(k: Column) -> Column:
+        return F.filter(pitches, lambda p, i: ~F.array_contains(F.slice(repeats, 1, k), i))
+    enough = F.filter(F.sequence(F.lit(0), F.size(repeats)), lambda k: cluster_count(left(k), span) <= 2)
+    gone = F.slice(repeats, 1, F.coalesce(F.get(enough, F.lit(0)), F.size(repeats)))
+    live = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.array_contains(gone, i))
+    wide = F.size(enough) == 0
 
-    While the lowest pitch class repeats above, the note below the repeat goes.
-    If that leaves more than two clusters, everything below each gap of an octave
-    or more is raised by whole octaves, widest gap first."""
-    new, gone = list(pitches), [False] * len(pitches)
-
-    def clusters() -> int:
-        return count_clusters([p for p, g in zip(new, gone) if not g], span)
-    if clusters() > 2:
-        for i in range(1, len(new)):
-            if new[i] % 12 == new[0] % 12:
-                gone[i - 1] = True
-                if clusters() <= 2:
-                    break
-    if clusters() > 2:
-        live = [i for i, g in enumerate(gone) if not g]
-        gaps = sorted(((new[b] - new[a], k) for k, (a, b) in enumerate(zip(live, live[1:]))),
-                      key=lambda g: (-g[0], g[1]))
-        for gap, k in gaps:
-            if gap < 12:
-                break
-            for i in live[:k + 1]:
-                new[i] += gap - gap % 12
-    return list(zip(new, gone))
-
-
-_THINNED = T.ArrayType(T.StructType([T.StructField("ps", T.IntegerType()), T.StructField("deleted", T.BooleanType())]))
-
-
-@F.pandas_udf(_THINNED)
-def _thin_udf(frames: pd.Series) -> pd.Series:
-    return pd.Series([[{"ps": int(p), "deleted": g} for p, g in thin_frame([int(x) for x in f])] for f in frames])
+    def rise(i: Column) -> Column:
+        above = F.filter(live, lambda x: x >= i)
+        gaps = F.zip_with(above, F.slice(above, 2, n), lambda a, b: F.get(pitches, b) - F.get(pitches, a))
+        return F.aggregate(gaps, F.lit(0), lambda total, g: total + F.coalesce(g - g % 12, F.lit(0)))
+    return F.transform(pitches, lambda p, i: F.struct(
+        F.when(wide & ~F.array_contains(gone, i), p + rise(i)).otherwise(p).cast("int").alias("ps"),
+        F.array_contains(gone, i).alias("deleted")))
 
 
 def thin_frames(frame_rows: DataFrame) -> DataFrame:
-    """``thin_low_doublings`` and ``fold_octaves`` on every frame; only frames
-    with more than two clusters go through Python."""
-    members = F.array_sort(F.collect_list(F.struct("ps", "event_id", "dur_tick")))
-    frames = frame_rows.groupBy(*FRAME).agg(members.alias("m"))
-    pitches = F.transform("m", lambda x: x["ps"])
-    crowded = cluster_count(F.array_distinct(pitches)) > 2
-    hard = (frames.where(crowded).withColumn("t", _thin_udf(pitches))
-            .select(*FRAME, F.explode(F.arrays_zip("m", "t")).alias("z"))
+    """``thinned`` on every frame; frames of at most two clusters stay as they are."""
+    members = F.array_sort(F.collect_list(F.struct(F.col("ps").cast("int").alias("ps"), "event_id", "dur_tick")))
+    frames = frame_rows.groupBy(*FRAME).agg(members.alias("m")).withColumn("p", F.col("m.ps"))
+    same = F.transform("p", lambda p: F.struct(p.alias("ps"), F.lit(False).alias("deleted")))
+    done = frames.withColumn("t", F.when(cluster_count(F.col("p")) > 2, thinned(F.col("p"))).otherwise(same))
+    return (done.select(*FRAME, F.explode(F.arrays_zip("m", "t")).alias("z"))
             .select(*FRAME, "z.m.event_id", F.col("z.m.dur_tick").alias("dur_tick"),
                     F.col("z.m.ps").alias("old_ps"), "z.t.ps", "z.t.deleted"))
-    easy = (frames.where(~crowded).select(*FRAME, F.explode("m").alias("z"))
-            .select(*FRAME, "z.event_id", "z.dur_tick", F.col("z.ps").alias("old_ps"), "z.ps",
-                    F.lit(False).alias("deleted")))
-    return hard.unionByName(easy)
 
 
 # --- hands and fingers ----------------------------------------------------

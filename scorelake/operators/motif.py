@@ -231,48 +231,34 @@ def encoded(groups: DataFrame) -> DataFrame:
     return groups.select("*", *[ENCODERS[e](F.col("notes")).alias(e) for e in WEIGHTS])
 
 
-def _codes(columns: list[pd.Series]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Right-aligned integer codes and lengths for several columns of symbol
-    lists with one common alphabet."""
-    alphabet: dict[str, int] = {}
-    width = max((len(s) for col in columns for s in col), default=0)
-    out = []
-    for col in columns:
-        codes = np.zeros((len(col), width), dtype=np.int32)
-        sizes = np.array([len(s) for s in col], dtype=np.int64)
-        for i, s in enumerate(col):
-            for j, symbol in enumerate(s):
-                codes[i, width - len(s) + j] = alphabet.setdefault(symbol, len(alphabet) + 1)
-        out.append((codes, sizes))
-    return out
-
-
-def align_distance(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """(length - score) / length of the best global alignment: a match scores 1,
-    all else 0, and of equal scores the longest alignment counts. ``a`` and
-    ``b`` are right-aligned codes that broadcast against each other in all but
-    the last axis."""
-    width = a.shape[-1]
+def _numbered(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol lists as rows of numbers, equal for equal symbols. Short rows are filled up with numbers of
+    no symbol, other ones on either side."""
+    names = {s: k for k, s in enumerate(sorted({s for col in (left, right) for x in col for s in x}))}
+
+    def rows(col: pd.Series, fill: int) -> np.ndarray:
+        width = max((len(x) for x in col), default=0)
+        return np.array([[names[s] for s in x] + [fill] * (width - len(x)) for x in col], np.int64).reshape(len(col), width)
+    return rows(left, -1), rows(right, -2)
+
+
+def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of rows that broadcast against each other."""
     shape = np.broadcast_shapes(a.shape[:-1], b.shape[:-1])
-    start_a = np.broadcast_to(width - n_a, shape)
-    start_b = np.broadcast_to(width - n_b, shape)
-    result = np.zeros(shape, dtype=np.int32)
-    below = [np.full(shape, width - j, dtype=np.int32) for j in range(width + 1)]
-    def keep(row, i):
-        for j in range(width + 1):
-            hit = (start_a == i) & (start_b == j)
-            if hit.any():
-                result[hit] = row[j][hit]
-    keep(below, width)
-    for i in reversed(range(width)):
-        row: list = [None] * (width + 1)
-        row[width] = np.full(shape, width - i, dtype=np.int32)
-        for j in reversed(range(width)):
-            match = np.where(a[..., i] == b[..., j], 256, 0).astype(np.int32)
-            row[j] = np.maximum(np.maximum(below[j], row[j + 1]), below[j + 1] + match) + 1
-        keep(row, i)
-        below = row
-    score, length = result >> 8, result & 255
+    best = np.zeros((b.shape[-1] + 1, *shape), np.int64)
+    for x in np.moveaxis(a, -1, 0):
+        hit = best[:-1] + (x == np.moveaxis(b, -1, 0))
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], hit), axis=0)
+    return best[-1]
+
+
+def align_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(length - score) / length of the best global alignment: a match scores 1, all else 0, and of equal
+    scores the longest alignment counts. So the matches are a longest common subsequence, and every other
+    symbol stands alone."""
+    sizes = (a >= 0).sum(axis=-1) + (b >= 0).sum(axis=-1)
+    score = common_length(a, b)
+    length = sizes - score
     return np.where(length > 0, (length - score) / np.maximum(length, 1), 0.0)
 
 
@@ -281,10 +267,10 @@ def dissimilarity(left: pd.DataFrame, right: pd.DataFrame, grid: bool) -> np.nda
     row or, with ``grid``, every left row against every right row."""
     total: np.ndarray | float = 0.0
     for name, weight in WEIGHTS.items():
-        (a, n_a), (b, n_b) = _codes([left[name], right[name]])
+        a, b = _numbered(left[name], right[name])
         if grid:
-            a, n_a, b, n_b = a[:, None, :], n_a[:, None], b[None, :, :], n_b[None, :]
-        total = total + 1.0 / (align_distance(a, n_a, b, n_b) * weight + 0.1)
+            a, b = a[:, None, :], b[None, :, :]
+        total = total + 1.0 / (align_distance(a, b) * weight + 0.1)
     return np.asarray(1.0 / total)
 
 

@@ -255,20 +255,13 @@ def legato_durations(handed: DataFrame, notes: DataFrame, bar_ql: float = 4.0) -
             .where(F.col("dur_ql") > 1e-2).select(*keys, "offset_ql", "dur_ql", "pitches"))
 
 
-def close_chord(pitches: list[int], fold_up: bool, reach: int = 12) -> list[int]:
-    """Fold the lowest note up, or the highest down, by octaves until the chord
-    fits the reach."""
-    pss = set(pitches)
-    while len(pss) > 1 and max(pss) - min(pss) > reach:
-        old = min(pss) if fold_up else max(pss)
-        pss.discard(old)
-        pss.add(old + 12 if fold_up else old - 12)
-    return sorted(pss)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _close_udf(pitches: pd.Series, fold_up: pd.Series) -> pd.Series:
-    return pd.Series([close_chord([int(p) for p in c], bool(u)) for c, u in zip(pitches, fold_up)])
+def close_chord(pitches: Column, fold_up: Column, reach: int = 12) -> Column:
+    """Notes farther than the reach from the outer note that stays (the highest, if folding up) move
+    towards it by as many octaves as they need. The outer note never moves, so each note is settled alone."""
+    low, high = F.array_min(pitches), F.array_max(pitches)
+    octaves = lambda far: F.greatest(F.ceil(far / 12), F.lit(0)).cast("int") * 12
+    moved = F.transform(pitches, lambda p: F.when(fold_up, p + octaves(high - reach - p)).otherwise(p - octaves(p - low - reach)))
+    return F.array_sort(F.array_distinct(moved))
 
 
 def playable_chords(chords: DataFrame) -> DataFrame:
@@ -277,9 +270,7 @@ def playable_chords(chords: DataFrame) -> DataFrame:
     tones = chords.select(*STAFF, F.explode("pitches").alias("ps")).distinct()
     mid = tones.groupBy(*STAFF).agg((F.percentile("ps", F.lit(0.5)) > 60).alias("__up"))
     joined = chords.join(mid, STAFF, "left").withColumn("__up", F.coalesce("__up", F.lit(False)))
-    wide = F.array_max("pitches") - F.array_min("pitches") > 12
-    folded = joined.where(wide).withColumn("pitches", _close_udf(F.col("pitches"), F.col("__up")))
-    return folded.unionByName(joined.where(~F.coalesce(wide, F.lit(False)))).drop("__up")
+    return joined.withColumn("pitches", close_chord(F.col("pitches"), F.col("__up"))).drop("__up")
 
 
 def contracted_score(notes: DataFrame, mapping: DataFrame, bar_ql: float = 4.0) -> DataFrame:

@@ -54,7 +54,29 @@ walk AS (
    GROUP BY w.piece_id, w.onset_tick, w.n))""", """
 SELECT piece_id, onset_tick, MAX(n)::INT AS clusters FROM walk GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
 
-register("thin_frames", lambda s, d: hd.thin_frames(hd.frame_notes(groups(s, d))).select("event_id", "old_ps", "ps", "deleted"))
+THIN_SQL = """
+placed AS (SELECT *, ROW_NUMBER() OVER w - 1 AS pos, LEAD(ps) OVER w AS above, FIRST(ps) OVER w AS lowest FROM frame
+           WINDOW w AS (PARTITION BY piece_id, onset_tick ORDER BY ps, event_id, dur_tick)),
+nth AS (SELECT *, CASE WHEN above % 12 = lowest % 12 THEN COUNT(*) FILTER (above % 12 = lowest % 12) OVER (
+                       PARTITION BY piece_id, onset_tick ORDER BY pos) END AS nth FROM placed),
+tries AS (SELECT piece_id, onset_tick, UNNEST(range(0, n + 1)) AS k FROM (SELECT piece_id, onset_tick, COUNT(nth) AS n FROM nth GROUP BY ALL)),
+heard_k AS (SELECT n.piece_id, n.onset_tick, k, ps FROM nth n JOIN tries USING (piece_id, onset_tick) WHERE nth IS NULL OR nth > k),
+walk AS (
+  SELECT piece_id, onset_tick, k, MIN(ps) AS low, 1 AS n FROM heard_k GROUP BY ALL
+  UNION ALL
+  SELECT * FROM (SELECT w.piece_id, w.onset_tick, w.k, MIN(t.ps) AS low, w.n + 1 AS n
+   FROM walk w JOIN heard_k t ON t.piece_id = w.piece_id AND t.onset_tick = w.onset_tick AND t.k = w.k AND t.ps - w.low > 13
+   GROUP BY w.piece_id, w.onset_tick, w.k, w.n)),
+counts AS (SELECT piece_id, onset_tick, k, MAX(n) AS n FROM walk GROUP BY ALL),
+chosen AS (SELECT piece_id, onset_tick, COALESCE(MIN(k) FILTER (n <= 2), MAX(k)) AS k, MIN(n) > 2 AS wide FROM counts GROUP BY ALL),
+flagged AS (SELECT n.*, wide, COALESCE(nth <= k, FALSE) AS deleted FROM nth n JOIN chosen USING (piece_id, onset_tick)),
+gaps AS (SELECT *, LEAD(ps) OVER (PARTITION BY piece_id, onset_tick, deleted ORDER BY pos) - ps AS gap FROM flagged),
+risen AS (SELECT *, SUM(COALESCE(gap - gap % 12, 0)) OVER (PARTITION BY piece_id, onset_tick, deleted ORDER BY pos
+                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rise FROM gaps)"""
+register("thin_frames", lambda s, d: hd.thin_frames(hd.frame_notes(groups(s, d))).select("event_id", "old_ps", "ps", "deleted"),
+         with_sql(GROUP_SQL, THIN_SQL, """
+SELECT event_id, ps::INT AS old_ps, (ps + CASE WHEN wide AND NOT deleted THEN rise ELSE 0 END)::INT AS ps, deleted FROM risen""")
+         .replace("WITH ", "WITH RECURSIVE ", 1))
 
 
 def frame(s, d):
@@ -225,5 +247,21 @@ SELECT * FROM (
          end_ql - CASE WHEN is_first AND silent THEN 0.0::DOUBLE ELSE offset_ql END AS dur_ql, pitches FROM timed
   UNION ALL SELECT piece_id, measure_idx, hand, 0.0::DOUBLE, offset_ql, '' FROM timed WHERE is_first AND NOT silent AND ABS(offset_ql) > 1e-4)
 WHERE dur_ql > 1e-2"""))
+PLAYABLE_SQL = """
+body AS (SELECT * FROM (
+  SELECT piece_id, measure_idx, hand, CASE WHEN is_first AND silent THEN 0.0::DOUBLE ELSE offset_ql END AS offset_ql,
+         end_ql - CASE WHEN is_first AND silent THEN 0.0::DOUBLE ELSE offset_ql END AS dur_ql, pitches FROM timed
+  UNION ALL SELECT piece_id, measure_idx, hand, 0.0::DOUBLE, offset_ql, '' FROM timed WHERE is_first AND NOT silent AND ABS(offset_ql) > 1e-4)
+  WHERE dur_ql > 1e-2),
+tones AS (SELECT *, UNNEST(CASE WHEN pitches = '' THEN [NULL] ELSE string_split(pitches, ',') END)::INT AS ps FROM body),
+up AS (SELECT piece_id, measure_idx, hand, MEDIAN(ps) > 60 AS up FROM (SELECT DISTINCT piece_id, measure_idx, hand, ps FROM tones WHERE ps IS NOT NULL) GROUP BY ALL),
+outer_tones AS (SELECT t.*, COALESCE(up, FALSE) AS up, MIN(ps) OVER c AS low, MAX(ps) OVER c AS high
+  FROM tones t LEFT JOIN up USING (piece_id, measure_idx, hand) WINDOW c AS (PARTITION BY piece_id, measure_idx, hand, offset_ql, dur_ql)),
+folds AS (SELECT *, UNNEST(range(0, 12)) AS k FROM outer_tones),
+moved AS (SELECT piece_id, measure_idx, hand, offset_ql, dur_ql, ps, CASE WHEN up THEN MIN(ps + 12 * k) FILTER (ps + 12 * k >= high - 12)
+                 ELSE MAX(ps - 12 * k) FILTER (ps - 12 * k <= low + 12) END AS now FROM folds GROUP BY piece_id, measure_idx, hand, offset_ql, dur_ql, ps, up)"""
 register("playable_chords", lambda s, d: st.playable_chords(st.legato_durations(
-    st.median_hand(sounding(notes(s, d))), notes(s, d))).withColumn("pitches", joined("pitches")))
+    st.median_hand(sounding(notes(s, d))), notes(s, d))).withColumn("pitches", joined("pitches")),
+    with_sql(MEDIAN_SQL, LEGATO_SQL, PLAYABLE_SQL, """
+SELECT piece_id, measure_idx, hand, offset_ql, dur_ql, COALESCE(array_to_string(list_sort(list(DISTINCT now) FILTER (now IS NOT NULL)), ','), '') AS pitches
+FROM moved GROUP BY ALL"""))

@@ -5,6 +5,7 @@ from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
 from scorelake.operators import analysis as an
@@ -29,14 +30,30 @@ def test_match_octaves_is_cheapest():
         assert sum((i - o) ** 2 for i, o in pairs) == best
 
 
-def test_thin_frame():
-    assert hd.thin_frame([60, 64, 67]) == [(60, False), (64, False), (67, False)]
-    # Three octaves of C: the two lower ones go until two clusters remain.
-    assert hd.thin_frame([36, 60, 84]) == [(36, True), (60, False), (84, False)]
-    # No doubling: the note below the widest gap comes up.
-    # Every gap of an octave or more counts, also once two clusters are left.
-    assert hd.thin_frame([24, 37, 62, 87]) == [(84, False), (85, False), (86, False), (87, False)]
-    assert hd.thin_frame([36, 61, 80]) == [(72, False), (73, False), (80, False)]
+def test_thin_frame(spark):
+    frames = {  # No doubling above two clusters; one that goes; gaps closed, also once two clusters are left.
+        (60, 64, 67): [(60, False), (64, False), (67, False)], (36, 60, 84): [(36, True), (60, False), (84, False)],
+        (24, 37, 62, 87): [(84, False), (85, False), (86, False), (87, False)], (36, 61, 80): [(72, False), (73, False), (80, False)],
+        (36, 36, 61, 85): [(36, True), (84, False), (85, False), (85, False)]}
+    rows = [(1, k, p, i, i) for k, f in enumerate(frames) for i, p in enumerate(f)]
+    df = spark.createDataFrame(rows, "piece_id int, onset_tick long, ps int, event_id long, dur_tick long")
+    got = hd.thin_frames(df).orderBy("onset_tick", "event_id").collect()
+    for k, (_, want) in enumerate(frames.items()):
+        assert [(r.ps, r.deleted) for r in got if r.onset_tick == k] == want
+
+
+def test_close_chord_against_single_folds(spark):
+    def fold(pitches, up):
+        left = set(pitches)
+        while left and max(left) - min(left) > 12:
+            p = min(left) if up else max(left)
+            left = (left - {p}) | {p + 12 if up else p - 12}
+        return sorted(left)
+    rnd = random.Random(3)
+    rows = [([], True), ([60], False)] + [(sorted(rnd.sample(range(20, 100), rnd.randint(1, 6))), rnd.random() < 0.5) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p array<int>, up boolean")
+    for r in df.select("p", "up", st.close_chord(F.col("p"), F.col("up")).alias("c")).collect():
+        assert r.c == fold(r.p, r.up)
 
 
 def test_voices():
@@ -50,29 +67,23 @@ def test_voices():
     quiet = st.bar_voices([(0.0, 4.0, (50,)), (0.0, 1.0, (60,)), (2.0, 3.0, (62,))], 4.0)
     kept = st.drop_excess_voices(quiet, 4.0)
     assert sum(not e[3] for es in kept.values() for e in es) == 2
-    assert st.close_chord([48, 60, 72], fold_up=True) == [60, 72]
-    assert st.close_chord([48, 64, 72], fold_up=False) == [48, 52, 60]
-
-
-def _align(a, b):
-    if not a or not b:
-        return 0, len(a) + len(b)
-    hit = int(a[0] == b[0])
-    options = []
-    for (s, n), extra in ((_align(a[1:], b), 0), (_align(a, b[1:]), 0), (_align(a[1:], b[1:]), hit)):
-        options.append((s + extra, n + 1))
-    return max(options)
 
 
 def test_align_distance():
+    """Against all ways to match symbols in order."""
     rnd = random.Random(2)
     left = [[rnd.choice("xyz") for _ in range(rnd.randint(0, 4))] for _ in range(30)]
-    right = [[rnd.choice("xyz") for _ in range(rnd.randint(0, 4))] for _ in range(30)]
-    (a, na), (b, nb) = mo._codes([pd.Series(left), pd.Series(right)])
-    got = mo.align_distance(a[:, None, :], na[:, None], b[None, :, :], nb[None, :])
+    right = [[rnd.choice("xyz") for _ in range(rnd.randint(0, 5))] for _ in range(30)]
+    a, b = mo._numbered(pd.Series(left), pd.Series(right))
+    got = mo.align_distance(a[:, None, :], b[None, :, :])
     for i, x in enumerate(left):
         for j, y in enumerate(right):
-            score, length = _align(x, y)
+            values = []  # (matches, length) of the alignments; unmatched symbols may also stand in pairs.
+            for n in range(min(len(x), len(y)) + 1):
+                for p in combinations(range(len(x)), n):
+                    for q in combinations(range(len(y)), n):
+                        values.append((sum(x[s] == y[t] for s, t in zip(p, q)), len(x) + len(y) - n))
+            score, length = max(values)
             assert got[i, j] == ((length - score) / length if length else 0.0)
 
 
