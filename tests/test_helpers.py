@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
 from scorelake.operators import analysis as an
-from scorelake.operators import chain as ch
 from scorelake.operators import hands as hd
 from scorelake.operators import motif as mo
 from scorelake.operators import staves as st
@@ -112,11 +111,6 @@ def test_dictionary():
     assert rows["G", "Minor", "bII6"] == ("C", "E-", "A-")
 
 
-def test_labels():
-    assert ch.labels(3, 2) == [0, 1, 2, 3, 4, 5, 6]
-    assert ch.labels(30, 3, 100) == [i for i in range(2 ** 12) if i.bit_count() <= 3][:100]
-
-
 def test_best_key_prefers_weight():
     entries = [{"measure_idx": 0, "event_tick": 0, "flows": [
         ("C,E,G", {"C,Major": ("B,D,G", 1.0, "I", "V"), "G,Major": ("B,D,G", 2.0, "IV", "I")})]},

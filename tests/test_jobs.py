@@ -3,9 +3,7 @@
 import json
 import math
 import random
-from itertools import product
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -13,13 +11,10 @@ from pyspark.sql import functions as F
 from scorelake.functions.fold import blocked_fold
 from scorelake.functions.ordered import with_lookahead, with_neighbours, with_row_number, with_running_max
 from scorelake.operators import analysis as an
-from scorelake.operators import chain as ch
 from scorelake.operators import features as ft
 from scorelake.operators import graph as gr
-from scorelake.operators import hands as hd
 from scorelake.operators import learn as ln
 from scorelake.operators import motif as mo
-from scorelake.operators import optimise as op
 from scorelake.operators import tonal as tn
 from scorelake.sources import runs, scores, texts
 from scorelake.sources.views import motif_notes, notes, sounding
@@ -180,52 +175,6 @@ def test_chord_repair():
     assert second["chords"] == [["A", "C", "F"]] and second["outside"] == []
 
 
-def test_decode_chain_against_enumeration(spark, monkeypatch):
-    monkeypatch.setattr(ch, "BLOCK_ONSETS", 2)
-    rnd = random.Random(4)
-    for seed in range(2):
-        onsets = []
-        for k in range(6):
-            n = rnd.randint(0, 3)
-            notes_ = [(p, rnd.randint(0, 11), rnd.uniform(-2, 2)) for p in range(n)]
-            before = len(onsets[-1][3]) if onsets else 0
-            edges = [(a, b) for a in range(before) for b in range(n) if rnd.random() < 0.3]
-            onsets.append((1, k, k * 0.5, notes_, edges, 2))
-        df = spark.createDataFrame(onsets, "piece_id int, onset_no long, onset_ql double, notes array<struct<place:int,pc:int,utility:double>>, "
-                                   "edges array<struct<before:int,now:int>>, limit int")
-        got = {r.onset_no: set(r.kept) for r in ch.decode_chain(df, -1.0, -0.5, -0.25).collect()}
-
-        def value(choice):
-            total = 0.0
-            for k, keep in enumerate(choice):
-                total += sum(u for p, _, u in onsets[k][3] if p in keep)
-                if k:
-                    was = choice[k - 1]
-                    pcs = lambda j: {x[1] for x in onsets[j][3] if x[0] in choice[j]}
-                    total += (-1.0 * bool(was and keep) - 0.5 * sum(a in was and b in keep for a, b in onsets[k][4])
-                              - 0.25 * len(pcs(k - 1) ^ pcs(k))) / 0.5
-            return total
-        options = [[{p for p in range(len(o[3])) if s >> p & 1} for s in ch.labels(len(o[3]), 2)] for o in onsets]
-        best = max(value(c) for c in product(*options))
-        assert value([got[k] for k in range(6)]) == pytest.approx(best)
-
-
-def test_fingering_search_is_sequential(spark, sf, monkeypatch):
-    frames = hd.initial_fingering(hd.split_hands(hd.frame_notes(hd.onset_groups(notes(spark, sf))))).cache()
-    monkeypatch.setattr(op, "BLOCK", 16)
-    got = op.optimise_fingering(frames, max_passes=2)
-    got = {(r.frame_no, r.event_id): (r.hand, r.finger, r.deleted) for r in got.collect()}
-    state = {int(r["frame_no"]): {"onset_ql": r["onset_ql"], "failed": False, "notes": [n.asDict() for n in r["notes"]]}
-             for r in op.fingering_frames(frames).collect()}
-    for _ in range(2):
-        costs = {i: op.cost(state[i - 1], state[i], state[i + 1]) for i in state if i - 1 in state and i + 1 in state}
-        mean = float(np.mean(list(costs.values())))
-        for i in sorted((i for i, c in costs.items() if c >= mean and not state[i]["failed"]), key=lambda i: (-costs[i], i)):
-            state[i]["failed"] = not op.improve(state, i)
-    want = {(i, n["event_id"]): (n["hand"], n["finger"], n["deleted"]) for i, f in state.items() for n in f["notes"]}
-    assert got == want
-
-
 def test_hot_piece_keeps_all_rows(spark, sf):
     """A third of all rows in one piece, in one voice."""
     base = notes(spark, sf).drop("note_idx")
