@@ -6,10 +6,8 @@ start and length.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorelake.functions.pitch import MIDDLE_C
 from scorelake.sources.views import BAR
@@ -56,148 +54,117 @@ def clip_covering_ties(chords: DataFrame, bar_ql: float = 4.0, slot_ql: float =
             .drop("__covers", "any_tie"))
 
 
-# One entry of a voice: start, end, pitches, is_rest.
-Entry = tuple[float, float, tuple[int, ...], bool]
-
-
-def first_fit(spans: list[tuple[float, float]]) -> list[int]:
-    """Voice of each span, sorted by (start, end): the first voice whose last
-    span has ended. Same as sweeping for one voice after another."""
-    ends: list[float] = []
-    voices = []
-    for start, end in spans:
-        v = next((k for k, e in enumerate(ends) if start >= e), len(ends))
-        if v == len(ends):
-            ends.append(end)
-        else:
-            ends[v] = end
-        voices.append(v)
-    return voices
-
-
-def bar_voices(chords: list[tuple[float, float, tuple[int, ...]]], bar_ql: float) -> dict[int, list[Entry]]:
-    """Voices of a bar with their gaps filled by rests."""
-    voices: dict[int, list[Entry]] = {}
-    for (s, e, pitches), v in zip(chords, first_fit([(s, e) for s, e, _ in chords])):
-        voices.setdefault(v, []).append((s, e, pitches, False))
-    for v, entries in voices.items():
-        at, full = 0.0, []
-        for entry in entries:
-            if entry[0] - at >= TINY:
-                full.append((at, entry[0], (), True))
-            full.append(entry)
-            at = entry[1]
-        if bar_ql - at >= TINY:
-            full.append((at, bar_ql, (), True))
-        voices[v] = full
-    return voices
-
-
-def _add(entry: Entry, pitches: tuple[int, ...]) -> Entry:
-    return entry[0], entry[1], tuple(sorted({*entry[2], *pitches})), False
-
-
-def drop_excess_voices(voices: dict[int, list[Entry]], bar_ql: float) -> dict[int, list[Entry]]:
-    """Beyond two voices the most silent are given up; of two, those silent for
-    half the bar or more. A given-up chord joins the entry of equal start and
-    nearest length in another voice; without one it stays."""
-    silent = {v: sum(e - s for s, e, _, rest in es if rest) for v, es in voices.items()}
-    if len(voices) > 2:
-        order = sorted(voices, key=lambda v: (silent[v], v), reverse=True)
-        excess = set(order[:len(voices) - 2])
-    elif len(voices) == 2:
-        excess = {v for v in voices if silent[v] >= bar_ql / 2}
-    else:
-        return voices
-    out = {v: list(es) for v, es in voices.items() if v not in excess}
-    for v in sorted(excess):
-        for entry in voices[v]:
-            if entry[3]:
-                continue
-            hosts = [(abs((h[1] - h[0]) - (entry[1] - entry[0])), w, k)
-                     for w, es in voices.items() if w not in excess
-                     for k, h in enumerate(es) if h[0] == entry[0]]
-            if hosts:
-                _, w, k = min(hosts)
-                out[w][k] = _add(out[w][k], entry[2])
-            else:
-                out.setdefault(v, []).append(entry)
-    return out
-
-
-def fold_nested_voices(voices: dict[int, list[Entry]]) -> dict[int, list[Entry]]:
-    """Fold a voice into another when all its onsets are onsets or rests of the
-    other; the one with fewer onsets is folded."""
-    onsets = {v: {e[0] for e in es if not e[3]} for v, es in voices.items()}
-    starts = {v: {e[0] for e in es} for v, es in voices.items()}
-    live = {v: list(es) for v, es in voices.items()}
-    order = sorted(voices)
-    for i, first in enumerate(order):
-        for second in order[i + 1:]:
-            if first not in live or second not in live:
-                continue
-            a, b = (second, first) if len(onsets[first]) > len(onsets[second]) else (first, second)
-            if onsets[a] <= starts[b]:
-                place = {e[0]: k for k, e in enumerate(live[b])}
-                for entry in live.pop(a):
-                    if not entry[3]:
-                        live[b][place[entry[0]]] = _add(live[b][place[entry[0]]], entry[2])
-    return live
-
-
-_ENTRIES = T.ArrayType(T.StructType([
-    T.StructField("voice_no", T.IntegerType()), T.StructField("offset_ql", T.DoubleType()),
-    T.StructField("end_ql", T.DoubleType()), T.StructField("pitches", T.ArrayType(T.IntegerType())),
-    T.StructField("is_rest", T.BooleanType())]))
-
-
-def _entries_udf(bar_ql: float, limit: bool, nest: bool):
-    @F.pandas_udf(_ENTRIES)
-    def run(bars: pd.Series) -> pd.Series:
-        out = []
-        for bar in bars:
-            voices = bar_voices([(x["s"], x["e"], tuple(int(p) for p in x["p"])) for x in bar], bar_ql)
-            if limit:
-                voices = drop_excess_voices(voices, bar_ql)
-            if nest:
-                voices = fold_nested_voices(voices)
-            out.append([{"voice_no": v, "offset_ql": s, "end_ql": e, "pitches": list(p), "is_rest": r}
-                        for v, es in sorted(voices.items()) for s, e, p, r in es])
-        return pd.Series(out)
-    return run
-
-
-def staff_entries(chords: DataFrame, bar_ql: float = 4.0, limit: bool = True, nest: bool = True) -> DataFrame:
-    """Voices of every bar and hand, one shuffle: chords are gathered per staff
-    bar, where they are distinct by start and end, and arranged there.
-    ``limit`` brings them to two voices, ``nest`` folds nested voices."""
-    item = F.struct(F.col("offset_ql").alias("s"), F.col("end_ql").alias("e"), F.col("pitches").alias("p"))
-    bars = chords.groupBy(*STAFF).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    arranged = bars.withColumn("e", F.explode(_entries_udf(bar_ql, limit, nest)("c")))
-    return arranged.select(*STAFF, "e.*")
+ENTRY = ["voice_no", "offset_ql", "end_ql", "pitches", "is_rest"]
+
+
+def first_fit(spans: Column) -> Column:
+    """Voices (from 0) of spans ``s``, ``e`` sorted by both: the first voice whose last span has ended."""
+    state = F.struct(F.array().cast("array<double>").alias("ends"), F.array().cast("array<int>").alias("voices"))
 
+    def place(acc: Column, x: Column) -> Column:
+        free = F.filter(F.transform(acc["ends"], lambda e, k: F.when(e <= x["s"], k)), lambda k: k.isNotNull())
+        v = F.coalesce(F.get(free, F.lit(0)), F.size(acc["ends"]))
+        longer = F.concat(acc["ends"], F.array_repeat(x["e"], F.when(F.size(free) == 0, 1).otherwise(0)))
+        return F.struct(F.transform(longer, lambda e, k: F.when(k == v, x["e"]).otherwise(e)).alias("ends"),
+                        F.concat(acc["voices"], F.array(v)).alias("voices"))
+    return F.aggregate(spans, state, place, lambda acc: acc["voices"])
 
-def voice_partition(chords: DataFrame) -> DataFrame:
-    """Voices of non-overlapping chords per bar and hand, rests included."""
-    return staff_entries(chords, limit=False, nest=False)
+
+def voice_partition(chords: DataFrame, bar_ql: float = 4.0) -> DataFrame:
+    """Voices of non-overlapping chords per bar and hand, rests included. Chords are gathered per staff
+    bar, where they are distinct by start and end."""
+    item = F.struct(F.col("offset_ql").alias("s"), F.col("end_ql").alias("e"), F.col("pitches").cast("array<int>").alias("p"))
+    bars = chords.groupBy(*STAFF).agg(F.array_sort(F.collect_list(item)).alias("c"))
+    rows = bars.select(*STAFF, F.explode(F.arrays_zip("c", first_fit(F.col("c")).alias("v"))).alias("z"))
+    voiced = rows.select(*STAFF, F.col("z.v").alias("voice_no"), F.col("z.c.s").alias("offset_ql"),
+                         F.col("z.c.e").alias("end_ql"), F.col("z.c.p").alias("pitches"), F.lit(False).alias("is_rest"))
+    entry = lambda a, b, p, r: F.struct(a.alias("offset_ql"), b.alias("end_ql"), p.alias("pitches"), F.lit(r).alias("is_rest"))
+    none = F.array().cast("array<int>")
+    gap = lambda g: F.when(g["e"] - g["s"] >= TINY, entry(g["s"], g["e"], none, True))
+    before, after = _gaps(bar_ql)
+    voiced = voiced.withColumn("before", before).withColumn("after", after)
+    before, after = F.col("before"), F.col("after")
+    return voiced.select(*STAFF, "voice_no", F.explode(F.array_compact(F.array(
+        entry(F.col("offset_ql"), F.col("end_ql"), F.col("pitches"), False), gap(before), gap(after)))).alias("n")).select(*STAFF, "voice_no", "n.*")
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Entries that share voice, start and end as one: their pitches; a rest only if all are rests."""
+    return rows.groupBy(*STAFF, "voice_no", "offset_ql", "end_ql").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pitches")))).alias("pitches"),
+        F.bool_and("is_rest").alias("is_rest")).select(*STAFF, *ENTRY)
 
 
 def limit_voices(chords: DataFrame, bar_ql: float = 4.0) -> DataFrame:
-    return staff_entries(chords, bar_ql, nest=False)
+    """At most two voices where chords find a place: of more, the most silent are given up (of equal ones the
+    later); of two, those silent for half the bar. A given-up chord joins the entry of equal start and nearest length
+    in a voice that stays (of equal ones the first); without one it stays in its voice."""
+    bar = Window.partitionBy(*STAFF)
+    silence = F.sum(F.when(F.col("is_rest"), F.col("end_ql") - F.col("offset_ql")).otherwise(0.0))
+    rows = voice_partition(chords, bar_ql).withColumn("silent", silence.over(Window.partitionBy(*STAFF, "voice_no")))
+    rows = rows.withColumn("rank", F.dense_rank().over(bar.orderBy(F.desc("silent"), F.desc("voice_no")))).withColumn("n", F.max("rank").over(bar))
+    rows = rows.withColumn("excess", F.when(F.col("n") > 2, F.col("rank") <= F.col("n") - 2).otherwise(
+        (F.col("n") == 2) & (F.col("silent") >= bar_ql / 2)))
+    place = F.when(~F.col("excess"), F.struct("voice_no", "end_ql"))
+    rows = rows.withColumn("places", F.collect_list(place).over(Window.partitionBy(*STAFF, "offset_ql"))).where("not (excess and is_rest)")
+    length = F.col("end_ql") - F.col("offset_ql")
+    host = F.array_min(F.transform("places", lambda h: F.struct(
+        F.abs((h["end_ql"] - F.col("offset_ql")) - length).alias("far"), h["voice_no"].alias("voice_no"), h["end_ql"].alias("end_ql"))))
+    rows = rows.withColumn("host", F.when(F.col("excess"), host))
+    return _settled(rows.select(*STAFF, F.coalesce("host.voice_no", "voice_no").alias("voice_no"), "offset_ql",
+                                F.coalesce("host.end_ql", "end_ql").alias("end_ql"), "pitches", "is_rest"))
+
+
+def nested_targets(voices: Column) -> Column:
+    """For the voices of a bar (``v``, ``on``: starts of chords, ``at``: all starts; in order), the voice each
+    ends up in. Pairs are tried in order; of two, the one with fewer chords joins the other if all its
+    chords start where that one has an entry."""
+    numbers = F.sequence(F.lit(0), F.size(voices) - 1)
+    pairs = F.flatten(F.transform(numbers, lambda i: F.transform(
+        F.filter(numbers, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    start = F.transform(voices, lambda x: F.struct(x["v"].alias("to"), x["v"].alias("v"), x["on"].alias("on"), x["at"].alias("at")))
+
+    def meet(acc: Column, p: Column) -> Column:
+        x, y = F.get(acc, p["i"]), F.get(acc, p["j"])
+        turn = F.size(x["on"]) > F.size(y["on"])
+        one, other = F.when(turn, y).otherwise(x), F.when(turn, x).otherwise(y)
+        fits = ((x["to"] == x["v"]) & (y["to"] == y["v"]) & (F.size(F.array_except(one["on"], other["at"])) == 0))
+        joined = F.transform(acc, lambda z: F.struct(
+            F.when(z["to"] == one["v"], other["v"]).otherwise(z["to"]).alias("to"), z["v"].alias("v"),
+            F.when(z["v"] == other["v"], F.array_union(z["on"], one["on"])).otherwise(z["on"]).alias("on"), z["at"].alias("at")))
+        return F.when(fits, joined).otherwise(acc)
+    return F.aggregate(pairs, start, meet, lambda acc: F.transform(acc, lambda z: F.struct(z["v"].alias("v"), z["to"].alias("to"))))
 
 
 def merge_nested_voices(chords: DataFrame, bar_ql: float = 4.0) -> DataFrame:
-    return staff_entries(chords, bar_ql)
+    """``limit_voices``, then voices folded into others by ``nested_targets``. The rests of a folded voice go."""
+    bars = limit_voices(chords, bar_ql).groupBy(*STAFF).agg(F.collect_list(F.struct(*ENTRY)).alias("e"))
+    starts = lambda found: F.array_distinct(F.transform(found, lambda x: x["offset_ql"]))
+    voices = F.transform(F.array_sort(F.array_distinct("e.voice_no")), lambda v: F.struct(
+        v.alias("v"), starts(F.filter("e", lambda x: (x["voice_no"] == v) & ~x["is_rest"])).alias("on"),
+        starts(F.filter("e", lambda x: x["voice_no"] == v)).alias("at")))
+    rows = bars.withColumn("voices", voices).withColumn("targets", nested_targets(F.col("voices"))).select(
+        *STAFF, "targets", F.explode("e").alias("x")).select(*STAFF, "x.*", F.get(F.filter(
+            "targets", lambda t: t["v"] == F.col("x.voice_no")), F.lit(0))["to"].alias("to"))
+    own = F.col("to") == F.col("voice_no")
+    end = F.max(F.when(own, F.col("end_ql"))).over(Window.partitionBy(*STAFF, "to", "offset_ql"))
+    rows = rows.withColumn("host_end", end).where(own | ~F.col("is_rest"))
+    return _settled(rows.select(*STAFF, F.col("to").alias("voice_no"), "offset_ql",
+                                F.when(own, F.col("end_ql")).otherwise(F.col("host_end")).alias("end_ql"), "pitches", "is_rest"))
+
+
+def _gaps(bar_ql: float) -> tuple[Column, Column]:
+    """Spans of silence before an entry of a voice and, for the last one, after it."""
+    w = Window.partitionBy(*STAFF, "voice_no").orderBy("offset_ql", "end_ql")
+    before = F.coalesce(F.lag("end_ql").over(w), F.lit(0.0))
+    last = F.lead("offset_ql").over(w).isNull()
+    return (F.struct(before.alias("s"), F.col("offset_ql").alias("e")),
+            F.struct(F.when(last, F.col("end_ql")).alias("s"), F.lit(float(bar_ql)).alias("e")))
 
 
 def fill_rests(voiced: DataFrame, bar_ql: float = 4.0) -> DataFrame:
     """Gaps of each voice in its measure as rest rows."""
-    w = Window.partitionBy(*STAFF, "voice_no").orderBy("offset_ql", "end_ql")
-    before = F.coalesce(F.lag("end_ql").over(w), F.lit(0.0))
-    last = F.lead("offset_ql").over(w).isNull()
-    gaps = voiced.withColumn("g", F.array(
-        F.struct(before.alias("s"), F.col("offset_ql").alias("e")),
-        F.struct(F.when(last, F.col("end_ql")).alias("s"), F.lit(float(bar_ql)).alias("e"))))
+    gaps = voiced.withColumn("g", F.array(*_gaps(bar_ql)))
     return (gaps.select(*STAFF, "voice_no", F.explode("g").alias("g"))
             .where(F.col("g.e") - F.col("g.s") >= TINY)
             .select(*STAFF, "voice_no", F.col("g.s").alias("offset_ql"), F.col("g.e").alias("end_ql")))
@@ -205,7 +172,7 @@ def fill_rests(voiced: DataFrame, bar_ql: float = 4.0) -> DataFrame:
 
 def reduced_staves(notes: DataFrame, bar_ql: float = 4.0) -> DataFrame:
     """The whole way from kept notes to the entries of two staves."""
-    return staff_entries(clip_covering_ties(merge_to_chords(notes), bar_ql), bar_ql)
+    return merge_nested_voices(clip_covering_ties(merge_to_chords(notes), bar_ql), bar_ql)
 
 
 # --- the simpler two-hand layout ------------------------------------------

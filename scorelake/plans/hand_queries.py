@@ -196,24 +196,45 @@ def voiced(s, d):
     return st.voice_partition(clipped(s, d))
 
 
-register("voice_partition", lambda s, d: voiced(s, d).withColumn("pitches", joined("pitches")))
-
-
-def one_voice(s, d):
-    """A stand-in voicing both engines can make: a voice per chord length."""
-    return clipped(s, d).withColumn("voice_no", (F.col("dur_ql") * 4).cast("int"))
-
-
-register("fill_rests", lambda s, d: st.fill_rests(one_voice(s, d)), with_sql(CHORD_SQL, """
-v AS (SELECT *, (dur_ql * 4)::INT AS voice_no FROM clipped),
-g AS (SELECT *, COALESCE(LAG(end_ql) OVER w, 0) AS before, LEAD(offset_ql) OVER w AS next_start FROM v
-      WINDOW w AS (PARTITION BY piece_id, measure_idx, hand, voice_no ORDER BY offset_ql, end_ql))""", """
-SELECT piece_id, measure_idx, hand, voice_no, before AS offset_ql, offset_ql AS end_ql FROM g WHERE offset_ql - before >= 1e-4
-UNION ALL
-SELECT piece_id, measure_idx, hand, voice_no, end_ql, 4.0::DOUBLE FROM g WHERE next_start IS NULL AND 4.0 - end_ql >= 1e-4"""))
-
-
-register("limit_voices", lambda s, d: st.limit_voices(clipped(s, d)).withColumn("pitches", joined("pitches")))
+VOICE_SQL = """
+seqd AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, hand ORDER BY offset_ql, end_ql, pitches) AS n FROM clipped),
+fit AS (
+  SELECT piece_id, measure_idx, hand, n, 0::BIGINT AS v, [end_ql] AS ends FROM seqd WHERE n = 1
+  UNION ALL
+  SELECT piece_id, measure_idx, hand, n, v, [CASE WHEN i = v THEN end_ql ELSE ends[i + 1] END for i in range(0, greatest(len(ends), v + 1))]
+  FROM (SELECT c.*, ends, COALESCE(list_min([i for i in range(0, len(ends)) if ends[i + 1] <= c.offset_ql]), len(ends)) AS v
+        FROM fit f JOIN seqd c ON c.piece_id = f.piece_id AND c.measure_idx = f.measure_idx AND c.hand = f.hand AND c.n = f.n + 1)),
+voiced AS (SELECT piece_id, measure_idx, hand, v::INT AS voice_no, offset_ql, end_ql, pitches FROM seqd JOIN fit USING (piece_id, measure_idx, hand, n)),
+gaps AS (SELECT *, COALESCE(LAG(end_ql) OVER w, 0) AS before, LEAD(offset_ql) OVER w AS next_start FROM voiced
+         WINDOW w AS (PARTITION BY piece_id, measure_idx, hand, voice_no ORDER BY offset_ql, end_ql)),
+rests AS (
+  SELECT piece_id, measure_idx, hand, voice_no, before AS offset_ql, offset_ql AS end_ql FROM gaps WHERE offset_ql - before >= 1e-4
+  UNION ALL SELECT piece_id, measure_idx, hand, voice_no, end_ql, 4.0::DOUBLE FROM gaps WHERE next_start IS NULL AND 4.0 - end_ql >= 1e-4),
+entries AS (SELECT *, FALSE AS is_rest FROM voiced UNION ALL SELECT *, '', TRUE FROM rests)"""
+LIMIT_SQL = """
+loud AS (SELECT piece_id, measure_idx, hand, voice_no, SUM(CASE WHEN is_rest THEN end_ql - offset_ql ELSE 0 END) AS silent FROM entries GROUP BY ALL),
+judged AS (SELECT *, COUNT(*) OVER b AS voices, ROW_NUMBER() OVER (b ORDER BY silent DESC, voice_no DESC) AS r FROM loud
+           WINDOW b AS (PARTITION BY piece_id, measure_idx, hand)),
+rows AS (SELECT e.*, (voices > 2 AND r <= voices - 2) OR (voices = 2 AND silent >= 2) AS excess
+         FROM entries e JOIN judged USING (piece_id, measure_idx, hand, voice_no)),
+near AS (
+  SELECT x.*, h.voice_no AS h_voice, h.end_ql AS h_end, ROW_NUMBER() OVER (PARTITION BY x.piece_id, x.measure_idx, x.hand, x.voice_no, x.offset_ql, x.end_ql
+           ORDER BY ABS((h.end_ql - h.offset_ql) - (x.end_ql - x.offset_ql)), h.voice_no, h.end_ql) AS choice
+  FROM rows x LEFT JOIN rows h ON NOT h.excess AND h.piece_id = x.piece_id AND h.measure_idx = x.measure_idx AND h.hand = x.hand AND h.offset_ql = x.offset_ql
+  WHERE x.excess AND NOT x.is_rest),
+settled AS (
+  SELECT piece_id, measure_idx, hand, voice_no, offset_ql, end_ql, pitches, is_rest FROM rows WHERE NOT excess
+  UNION ALL SELECT piece_id, measure_idx, hand, COALESCE(h_voice, voice_no), offset_ql, COALESCE(h_end, end_ql), pitches, FALSE FROM near WHERE choice = 1),
+tones AS (SELECT * EXCLUDE (pitches), UNNEST(CASE WHEN pitches = '' THEN [NULL] ELSE string_split(pitches, ',') END)::INT AS ps FROM settled)"""
+register("voice_partition", lambda s, d: voiced(s, d).withColumn("pitches", joined("pitches")),
+         with_sql(CHORD_SQL, VOICE_SQL, "SELECT * FROM entries").replace("WITH ", "WITH RECURSIVE ", 1))
+register("fill_rests", lambda s, d: st.fill_rests(voiced(s, d).where("not is_rest")),
+         with_sql(CHORD_SQL, VOICE_SQL, "SELECT * FROM rests").replace("WITH ", "WITH RECURSIVE ", 1))
+register("limit_voices", lambda s, d: st.limit_voices(clipped(s, d)).withColumn("pitches", joined("pitches")),
+         with_sql(CHORD_SQL, VOICE_SQL, LIMIT_SQL, """
+SELECT piece_id, measure_idx, hand, voice_no, offset_ql, end_ql, BOOL_AND(is_rest) AS is_rest,
+       COALESCE(array_to_string(list_sort(list(DISTINCT ps) FILTER (ps IS NOT NULL)), ','), '') AS pitches
+FROM tones GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1))
 register("merge_nested_voices", lambda s, d: st.merge_nested_voices(clipped(s, d)).withColumn("pitches", joined("pitches")))
 register("contracted_score", lambda s, d: st.contracted_score(sounding(notes(s, d, True)), mapping(s, d)).withColumn(
     "pitches", joined("pitches")))

@@ -55,17 +55,25 @@ def test_close_chord_against_single_folds(spark):
         assert r.c == fold(r.p, r.up)
 
 
-def test_voices():
-    spans = [(0.0, 1.0), (0.0, 4.0), (1.0, 2.0), (3.0, 4.0)]
-    assert st.first_fit(spans) == [0, 1, 0, 0]
-    voices = st.bar_voices([(s, e, (60 + i,)) for i, (s, e) in enumerate(spans)], 4.0)
-    assert [e for e in voices[0] if e[3]] == [(2.0, 3.0, (), True)]
-    # The second voice starts only where the first does, so it folds in.
-    folded = st.fold_nested_voices(voices)
-    assert list(folded) == [0] and folded[0][0] == (0.0, 1.0, (60, 61), False)
-    quiet = st.bar_voices([(0.0, 4.0, (50,)), (0.0, 1.0, (60,)), (2.0, 3.0, (62,))], 4.0)
-    kept = st.drop_excess_voices(quiet, 4.0)
-    assert sum(not e[3] for es in kept.values() for e in es) == 2
+def test_voices(spark):
+    """One bar each: a nested voice, a chord without a place in the other voice, three voices."""
+    bars = {1: [(0.0, 1.0, [60]), (0.0, 4.0, [61]), (1.0, 2.0, [62]), (3.0, 4.0, [63])],
+            2: [(0.0, 4.0, [50]), (0.0, 1.0, [60]), (2.0, 3.0, [62])],
+            3: [(0.0, 2.0, [50]), (0.0, 3.0, [55]), (0.0, 4.0, [57]), (2.0, 4.0, [52])]}
+    df = spark.createDataFrame([(1, b, "R", s, e, p) for b, c in bars.items() for s, e, p in c],
+                               "piece_id int, measure_idx int, hand string, offset_ql double, end_ql double, pitches array<int>")
+
+    def rows(entries, bar):
+        return sorted((r.voice_no, r.offset_ql, r.end_ql, tuple(r.pitches)) for r in entries.where(F.col("measure_idx") == bar).collect())
+    parts, limited, merged = st.voice_partition(df), st.limit_voices(df), st.merge_nested_voices(df)
+    assert rows(parts, 1) == [(0, 0.0, 1.0, (60,)), (0, 1.0, 2.0, (62,)), (0, 2.0, 3.0, ()), (0, 3.0, 4.0, (63,)), (1, 0.0, 4.0, (61,))]
+    assert rows(limited, 1) == rows(parts, 1)
+    assert rows(merged, 1) == [(0, 0.0, 1.0, (60, 61)), (0, 1.0, 2.0, (62,)), (0, 2.0, 3.0, ()), (0, 3.0, 4.0, (63,))]
+    # The first voice is silent for half the bar; its second chord starts where the other voice has no entry.
+    assert rows(limited, 2) == rows(merged, 2) == [(0, 2.0, 3.0, (62,)), (1, 0.0, 4.0, (50, 60))]
+    # The voice silent for a beat joins the chord of nearest length, in the first voice of equal ones.
+    assert rows(limited, 3) == [(0, 0.0, 2.0, (50, 55)), (0, 2.0, 4.0, (52,)), (2, 0.0, 4.0, (57,))]
+    assert rows(merged, 3) == [(0, 0.0, 2.0, (50, 55, 57)), (0, 2.0, 4.0, (52,))]
 
 
 def test_align_distance():
