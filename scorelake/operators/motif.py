@@ -238,14 +238,14 @@ def _numbered(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray
 
     def rows(col: pd.Series, fill: int) -> np.ndarray:
         width = max((len(x) for x in col), default=0)
-        return np.array([[names[s] for s in x] + [fill] * (width - len(x)) for x in col], np.int64).reshape(len(col), width)
+        return np.array([[names[s] for s in x] + [fill] * (width - len(x)) for x in col], np.int32).reshape(len(col), width)
     return rows(left, -1), rows(right, -2)
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of rows that broadcast against each other."""
     shape = np.broadcast_shapes(a.shape[:-1], b.shape[:-1])
-    best = np.zeros((b.shape[-1] + 1, *shape), np.int64)
+    best = np.zeros((b.shape[-1] + 1, *shape), np.int32)
     for x in np.moveaxis(a, -1, 0):
         hit = best[:-1] + (x == np.moveaxis(b, -1, 0))
         best[1:] = np.maximum.accumulate(np.maximum(best[1:], hit), axis=0)
