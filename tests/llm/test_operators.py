@@ -161,6 +161,34 @@ def test_nearest_equals_brute_force(spark):
     assert nndescent.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
 
 
+def recall_of_nearest(spark, x, **options):
+    """Share of the 20 largest inner products that are found, over every 20th row."""
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for row in nndescent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, **options).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hit = 0
+    for q in range(0, len(x), 20):
+        with np.errstate(over="ignore"):
+            s = x @ (x[q] / np.abs(x[q]).max())
+        s[q] = -np.inf
+        hit += len({int(v) for v in np.lexsort((np.arange(len(x)), -s))[:20]} & got[q])
+    return hit / (20 * len(range(0, len(x), 20)))
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "one long", "huge"])
+def test_nearest_with_unequal_lengths(spark, kind):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 16))
+    if kind == "lognormal":
+        x *= r.lognormal(0.0, 1.0, 3000)[:, None]
+    elif kind == "one long":
+        x[7] *= 1e4
+    else:
+        x[7] *= 1e200
+    assert recall_of_nearest(spark, x, chunk=128, sample=128) >= 0.9
+
+
 def test_main_text(spark):
     page = ("<html><body><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head</h1><p>First &amp; "
             + "long running text, " * 5 + "<b>bold</b>end.<script>var x='</p>';</script><div class=comments><p>" + "silly " * 30 + "</div></article><footer>foot</footer>")
