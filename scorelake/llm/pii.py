@@ -129,23 +129,36 @@ AT_LOOSE = re.compile(r"(?<=[A-Za-z0-9_])(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)(?=[A-Za
 DOT_SIGN = re.compile(rf"(?i)(?<=[a-z0-9]){_DOT_SIGN}(?=[a-z0-9])")
 DOT_LOOSE = re.compile(r"(?<=[A-Za-z0-9])[ \t]+\.[ \t]*(?=[a-z0-9])")
 
-MARKED = re.compile(rf"{_OPEN}[ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*{_SHUT}")
-NUMBERS = re.compile(rf"[\s,(-]{_D}{_GAP}(?:double |triple )?{_D}\b|[\s,(-](?:double|triple)[ \t-]+{_D}\b")
+_HINTS = (
+    # AT_MARKED, DOT_SIGN, and AT_WORD and BETWEEN, which need a disguised dot.
+    rf"{_OPEN}[ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*{_SHUT}", rf"[_-](?:{_AT}|{_DOT})[_-]", rf"[ \t]{_DOT}[ \t]",
+    # SPELLED; BESIDE.
+    rf"\b{_D}(?:{_GAP}(?:(?:double|triple)[ \t-]+)?{_D}|[ \t-]+[0-9])",
+    # PLUS.
+    r"plus[ \t]+[0-9]")
+#: For ASCII texts in lower case, and for others.
+HINTS = [re.compile(h) for h in _HINTS], [re.compile(f"(?i){h}") for h in _HINTS]
 
 
 def suspicious(text: str) -> bool:
-    """Cheap tests; a text that passes none of them holds no disguise."""
-    low = f" {text.lower()}"
-    return bool(("@" in low and (" @" in low or "@ " in low or "\t@" in low or "@\t" in low))
-                or any(w in low for w in ("dot", "d o t", "punkt", "punto", "point")) and re.search(rf"[ \t_-]{_DOT}[ \t_-]", low)
-                or "plus" in low and re.search(r"plus[ \t]+[0-9]", low)
-                or MARKED.search(low) or NUMBERS.search(low)
-                or (not text.isascii() and STRANGE.search(text)))
+    """Cheap tests. Each rewriting pattern and each view implies one of them, so a text that passes none holds no disguise."""
+    ascii_ = text.isascii()
+    if not ascii_ and (STRANGE.search(text) or "·" in text):  # the dot: GAPS
+        return True
+    if "@" in text and re.search(r"[ \t][@.]|@[ \t]", text):  # AT_LOOSE; the view of DOT_LOOSE
+        return True
+    low = text.lower() if ascii_ else text
+    return any(h.search(low) for h in HINTS[not ascii_])
+
+
+def _low(text: str) -> str:
+    """Lower case, as the patterns see it: they take these for an s and an i too."""
+    return text.translate({0x17F: "s", 0x130: "i", 0x131: "i"}).lower()
 
 
 def _spelled(m: re.Match) -> str:
     out, times = [], 1
-    for w in re.findall(r"\w+", m[0].lower()):
+    for w in re.findall(r"\w+", _low(m[0])):
         if w in ("double", "triple"):
             times = 2 if w == "double" else 3
         else:
@@ -155,7 +168,7 @@ def _spelled(m: re.Match) -> str:
 
 
 def _digit(m: re.Match) -> str:
-    return _DIGITS[re.search(r"\w+", m[0].lower())[0]]
+    return _DIGITS[re.search(r"\w+", _low(m[0]))[0]]
 
 
 class Mapped:

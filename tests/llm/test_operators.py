@@ -76,6 +76,26 @@ def test_disguised_identifiers(text, found):
         assert pii.listed([s for s in every if s not in base]) == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ("write john_at_example.com soon", "email:6:25"), ("write john-at-example.com soon", "email:6:25"), ("ring +1 212 five 55 0100 soon", "phone:5:24"),
+    ("write john@mail .com soon", "email:6:20"), ("write john @mail.com soon", "email:6:20"), ("write john at mail dot com soon", "email:6:26"),
+    ("write john@mail(dot)com soon", "email:6:23"), ("ring plus 12125550100 soon", "phone:5:21"), ("pay 4111·1111·1111·1111 soon", "card:4:23"),
+    ("pay \"four one one one one one one one one one one one one one one one\"", "card:5:69")])
+def test_each_disguise_alone(text, found):
+    base, every = pii.spans(text)
+    assert pii.listed([s for s in every if s not in base]) == found
+
+
+def test_gate_leaves_no_disguise_out(monkeypatch):
+    r = random.Random(8)
+    parts = ["john", "mail", "com", "@", ".", " ", " ", "_", "-", "at", "dot", "[", "]", "(", ")", "\t", "plus", "+", "1", "212", "55", "five", "Two",
+             "double", ",", "·", "x", "\n", "192.168", "4111", "ſix", "Punkt", "\""]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(3, 16))) for _ in range(20000)]
+    gated = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "suspicious", lambda t: True)
+    assert [t for t, g in zip(texts, gated, strict=True) if pii.spans(t) != g] == []
+
+
 def test_pii_edges(spark):
     rows = pii.find(docs(spark, ODD + [(9, "a@b.co " * 3)]), with_masked=True).collect()
     assert len(rows) == len(ODD) + 1
