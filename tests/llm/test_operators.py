@@ -146,6 +146,22 @@ def test_jaccard_near_copies_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs(spark, texts)).collect()} == comp
 
 
+def test_jaccard_repeated_ids_with_different_texts(spark):
+    near = lambda t, k: f"{t} new{k}"
+    texts = [(5, A), (5, B), (9, near(B, 9)), (11, near(A, 11))]
+    # Another id is the lowest of one set and repeats the set of another.
+    c, d = words(4, 60), words(5, 60)
+    texts += [(20, c), (21, c), (21, d), (22, near(d, 22)), (30, words(6, 60)), (30, ""), (31, near(words(6, 60), 31))]
+    # Many ids of two sets each, each with a near copy.
+    for k in range(40):
+        x, y = words(100 + k, 40), words(200 + k, 40)
+        texts += [(1000 + k, x), (1000 + k, y), (2000 + k, near(x, k)), (3000 + k, near(y, k))]
+    random.Random(1).shuffle(texts)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in (5, 9, 11, 20, 21, 22, 30, 31)] == [5, 5, 5, 20, 20, 20, 30, 30]
+    assert all(got[1000 + k] == got[2000 + k] == got[3000 + k] == 1000 + k for k in range(40))
+
+
 def test_substring_edges(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, ODD), keep=64).collect())
     assert (3, 60, 60) in got and (4, 120, 60) in got and (1, 0, 0) in got and (-1, 60, 0) in got
