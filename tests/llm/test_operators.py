@@ -270,3 +270,25 @@ def test_secrets(spark):
     assert len(got) == 60 and all(got[i] == bool(i % 2) for i in range(60))
     assert "Python" not in secrets.scan(docs(spark, rows))._jdf.queryExecution().toString()
     assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_secrets_in_other_forms(spark):
+    r = random.Random(7)
+    draw = lambda signs, n: "".join(r.choice(signs) for _ in range(n))
+    hexed, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    forms = [("set token: {} here", hexed, 40), ("set token = {} here", hexed, 40), ("send Authorization: Bearer {} then", letters, 40), ("export API_KEY={} now", letters, 32),
+             ("curl --access-key={} now", hexed, 40), ("we saw {} there", "ghp_", 36), ("set secret: {} here", "abcdefghijklmnopqrstuvwxyz", 40), ("call x?auth_token={}&b=1 now", letters, 32)]
+    others = ["see commit {} of today", "the file at /usr/{}/lib was read", "checksum={} was right", "under id {} of it"]
+    rows, want = [], {}
+    for k in range(25):
+        for j, (form, signs, n) in enumerate(forms):
+            value = signs + draw(letters, n) if signs == "ghp_" else draw(signs, n)
+            rows.append((len(rows), form.format(value)))
+            want[len(rows) - 1] = (value, True)
+        for form in others:
+            value = draw(hexed, 40)
+            rows.append((len(rows), form.format(value)))
+            want[len(rows) - 1] = (value, False)
+    got = {row.doc_id: row for row in secrets.scan(docs(spark, rows)).collect()}
+    assert [(rows[i][1], v) for i, (v, yes) in want.items() if yes and (i not in got or got[i].candidate != v or not got[i].is_secret)] == []
+    assert [rows[i][1] for i, (_, yes) in want.items() if not yes and i in got and got[i].is_secret] == []
