@@ -3,8 +3,8 @@ those of the document's language by Jensen-Shannon distance. All of it is column
 
 Base rules: fewer than 20 words, or more than 30 % of the words in 8-word windows that occur twice.
 
-References: for each language, over all documents that pass the base rules, the mean share of each character
-class, and the ``COMMON`` most frequent words (ASCII letters lower-cased, runs of letters and of other characters
+References: for each language, over all documents of 20 words or more, the mean share of each character
+class, and the ``COMMON`` most frequent words (lower-cased runs of letters and of characters
 outside ASCII) with their shares. A language of fewer than ``LEAST_DOCS`` such documents, and a null one, is held
 against the documents of all languages together.
 
@@ -30,7 +30,7 @@ LEAST_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 COMMON = 100
 LEAST_DOCS = 20
 CLASS_CHARS, WORD_WORDS = 100, 50
-CLASS_LIMIT, WORD_LIMIT = 0.25, 0.12
+CLASS_LIMIT, WORD_LIMIT = 0.3, 0.1
 #: Buckets of common words in a reference; a word is looked for in its own only.
 BUCKETS = 256
 #: Languages whose references travel to all executors; with more of them the references are joined by language.
@@ -40,7 +40,6 @@ WORDS = r"[^\x20\x09-\x0D]+"
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Taken out one after the other; what is left is symbols.
 CLASSES = {"lower": "[a-z]+", "space": r"[\x20\x09-\x0D]+", "beyond": r"[^\x00-\x7F]+", "upper": "[A-Z]+", "digit": "[0-9]+", "stop": r"""[.,;:!?'"()-]+"""}
-A, Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: Column | str, pattern: str) -> Column:
@@ -53,10 +52,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def window_keys(words: str) -> Column:
-    """A hash of each window of ``WINDOW`` words."""
-    n = F.size(words)
-    keys = _let(F.col(words), lambda w: F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
-    return F.when(n >= WINDOW, keys).otherwise(F.array().cast("array<long>"))
+    """A hash of each window of ``WINDOW`` (a power of two) words, from those of its halves."""
+    def doubled(span: int) -> Callable[[Column], Column]:
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + span)))
+    keys, n, span = F.transform(words, lambda w: F.xxhash64(w)), F.size(words), 1
+    while span < WINDOW:
+        keys, span = _let(keys, doubled(span)), 2 * span
+    return F.when(n > WINDOW, F.slice(keys, 1, n - WINDOW + 1)).otherwise(F.array().cast("array<long>"))
 
 
 def repeated_words(keys: str) -> Column:
@@ -94,17 +96,17 @@ def class_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def letter_words(text: Column | str) -> Column:
-    return F.coalesce(_words(F.translate(text, A, Z), LETTERS), F.array().cast("array<string>"))
+    return F.coalesce(_words(F.lower(text), LETTERS), F.array().cast("array<string>"))
 
 
 def _slot(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def references(judged: DataFrame, lang: str = "lang", text: str = "text", common: int = COMMON) -> DataFrame:
-    """A row for each language with ``LEAST_DOCS`` documents that pass the base rules, and one with a null language for
+def references(docs: DataFrame, lang: str = "lang", text: str = "text", common: int = COMMON) -> DataFrame:
+    """A row for each language with ``LEAST_DOCS`` documents of ``LEAST_WORDS`` words, and one with a null language for
     all: ``lang``, ``class_shares``, ``words`` (buckets of common words) and ``word_shares`` (theirs)."""
-    good = judged.where(~F.col("base_failed")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    good = docs.where(F.regexp_count(text, F.lit(WORDS)) >= LEAST_WORDS).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     shares = [(F.col("classes")[k] / F.col("chars")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
     sums = written(class_counts(good, "text").select("lang", *shares).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(CLASSES) + 1)]))
@@ -171,7 +173,7 @@ def allowance(n: Column, common: int = COMMON) -> Column:
 def judge(docs: DataFrame, lang: str = "lang", text: str = "text", refs: DataFrame | None = None) -> DataFrame:
     """The columns of ``base`` and ``distances`` with ``kept``, beside those of ``docs``."""
     judged = base(docs, text)
-    refs = written(references(judged, lang, text)) if refs is None else refs
+    refs = written(references(docs, lang, text)) if refs is None else refs
     told = distances(judged, refs, lang, text)
     classes = (F.col("chars") < CLASS_CHARS) | (F.col("class_distance") <= CLASS_LIMIT)
     words = (F.col("n_letter_words") < WORD_WORDS) | (F.col("word_distance") <= WORD_LIMIT + allowance(F.col("n_letter_words")))
@@ -202,13 +204,13 @@ c5 AS (SELECT *, regexp_replace(t4, '[0-9]+', '', 'g') AS t5 FROM c4),
 c6 AS (SELECT *, regexp_replace(t5, '[.,;:!?''"()-]+', '', 'g') AS t6 FROM c5),
 shares AS (SELECT no, length(t) AS chars, unnest(range(7)) AS c, unnest([length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3),
                   length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6)]) / length(t) AS p FROM c6 WHERE length(t) > 0),
-lw AS (SELECT no, lang, base_failed, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM judged),
-tf AS (SELECT no, lang, base_failed, word, count(*) AS n FROM (SELECT no, lang, base_failed, unnest(w) AS word FROM lw) GROUP BY ALL),
-known AS (SELECT lang FROM judged WHERE NOT base_failed AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
-refc AS (SELECT lang AS ref, c, avg(p) AS q FROM shares JOIN judged USING (no) JOIN known USING (lang) WHERE NOT base_failed GROUP BY ALL
-         UNION ALL SELECT NULL, c, avg(p) FROM shares JOIN judged USING (no) WHERE NOT base_failed GROUP BY ALL),
-counts AS (SELECT lang AS ref, word, sum(n) AS n FROM tf JOIN known USING (lang) WHERE NOT base_failed GROUP BY ALL
-           UNION ALL SELECT NULL, word, sum(n) FROM tf WHERE NOT base_failed GROUP BY ALL),
+lw AS (SELECT no, lang, n_words, regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM judged),
+tf AS (SELECT no, lang, n_words, word, count(*) AS n FROM (SELECT no, lang, n_words, unnest(w) AS word FROM lw) GROUP BY ALL),
+known AS (SELECT lang FROM judged WHERE n_words >= 20 AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+refc AS (SELECT lang AS ref, c, avg(p) AS q FROM shares JOIN judged USING (no) JOIN known USING (lang) WHERE n_words >= 20 GROUP BY ALL
+         UNION ALL SELECT NULL, c, avg(p) FROM shares JOIN judged USING (no) WHERE n_words >= 20 GROUP BY ALL),
+counts AS (SELECT lang AS ref, word, sum(n) AS n FROM tf JOIN known USING (lang) WHERE n_words >= 20 GROUP BY ALL
+           UNION ALL SELECT NULL, word, sum(n) FROM tf WHERE n_words >= 20 GROUP BY ALL),
 refw AS (SELECT ref, word, q FROM (SELECT ref, word, n / sum(n) OVER (PARTITION BY ref) AS q, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS r FROM counts) WHERE r <= 100),
 refq AS (SELECT ref, sum(q) AS q FROM refw GROUP BY 1),
 own AS (SELECT no, known.lang AS ref, len(w) AS n FROM lw LEFT JOIN known USING (lang)),
@@ -220,8 +222,8 @@ wd AS (SELECT no, sqrt(greatest(h + unseen + CASE WHEN po > 0 THEN po * log2(2 *
 cd AS (SELECT no, any_value(chars) AS chars, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 0) / 2) AS class_distance
        FROM shares JOIN own USING (no) JOIN refc ON refc.ref IS NOT DISTINCT FROM own.ref AND refc.c = shares.c GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(chars < 100 OR class_distance <= 0.25, true)
-         AND coalesce(own.n < 50 OR word_distance <= 0.12 + sqrt(100 / 8 / 0.6931471805599453 / greatest(own.n, 1)), true) AS kept,
+       NOT base_failed AND coalesce(chars < 100 OR class_distance <= 0.3, true)
+         AND coalesce(own.n < 50 OR word_distance <= 0.1 + sqrt(100 / 8 / 0.6931471805599453 / greatest(own.n, 1)), true) AS kept,
        round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM judged JOIN own USING (no) LEFT JOIN cd USING (no) LEFT JOIN wd USING (no)
 """
