@@ -3,8 +3,8 @@ those of the document's language by Jensen-Shannon distance. All of it is column
 
 Base rules: fewer than 20 words, or more than 30 % of the words in 8-word windows that occur twice.
 
-References: for each language, over all documents of 20 words or more, the mean share of each character
-class, and the ``COMMON`` most frequent words (lower-cased runs of letters and of characters
+References: for each language, the mean share of each character class over all documents of
+``CLASS_CHARS`` characters, and, over all documents of ``WORD_WORDS`` words, the ``COMMON`` most frequent words (lower-cased runs of letters and of characters
 outside ASCII) with their shares. A language of fewer than ``LEAST_DOCS`` such documents, and a null one, is held
 against the documents of all languages together.
 
@@ -36,14 +36,16 @@ BUCKETS = 256
 #: Languages whose references travel to all executors; with more of them the references are joined by language.
 SENT = 2000
 
-WORDS = r"[^\x20\x09-\x0D]+"
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, and between runs of letters.
+SPACES = r"[\x20\x09-\x0D]+"
+OTHERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SYMBOLS = r"[#*$%&|<>]"
 #: Taken out one after the other; what is left is symbols.
 CLASSES = {"lower": "[a-z]+", "space": r"[\x20\x09-\x0D]+", "beyond": r"[^\x00-\x7F]+", "upper": "[A-Z]+", "digit": "[0-9]+", "stop": r"""[.,;:!?'"()-]+"""}
 
 
-def _words(text: Column | str, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _words(text: Column | str, between: str) -> Column:
+    return F.coalesce(F.array_remove(F.split(text, between), ""), F.array().cast("array<string>"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -74,29 +76,30 @@ def repeated_words(keys: str) -> Column:
 
 
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
+    """``docs`` with ``chars``, ``classes`` (characters of each class), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    df = docs.withColumn("__words", F.coalesce(_words(text, WORDS), F.array().cast("array<string>"))).withColumn("__lines", lines)
+    df = docs.withColumn("__words", _words(text, SPACES)).withColumn("__lines", lines)
     df = df.withColumn("__keys", window_keys("__words"))
-    df = df.select(*docs.columns, F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-                   long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
+    df = class_counts(df, text).select(*docs.columns, "chars", "classes", F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+                   "n_symbols",
                    long(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"), long(repeated_words("__keys")).alias("n_repeat_words"))
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
 
 def class_counts(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with ``classes``: characters of each class, and ``chars``."""
+    """``df`` with ``chars``, ``classes`` (characters of each class) and ``n_symbols``, all of which stand in the last class."""
     kept, left = df.columns, df.withColumn("__0", F.coalesce(F.col(text), F.lit("")))
     for k, pattern in enumerate(CLASSES.values()):
         left = left.withColumn(f"__{k + 1}", F.regexp_replace(f"__{k}", pattern, ""))
     n = len(CLASSES)
     counts = [F.length(f"__{k}") - F.length(f"__{k + 1}") for k in range(n)] + [F.length(f"__{n}")]
-    return left.select(*kept, F.length("__0").alias("chars"), F.array(*counts).alias("classes"))
+    return left.select(*kept, F.length("__0").cast("long").alias("chars"), F.array(*counts).alias("classes"),
+                       F.regexp_count(f"__{n}", F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
 
 
 def letter_words(text: Column | str) -> Column:
-    return F.coalesce(_words(F.lower(text), LETTERS), F.array().cast("array<string>"))
+    return _words(F.lower(text), OTHERS)
 
 
 def _slot(word: Column) -> Column:
@@ -104,13 +107,14 @@ def _slot(word: Column) -> Column:
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text", common: int = COMMON) -> DataFrame:
-    """A row for each language with ``LEAST_DOCS`` documents of ``LEAST_WORDS`` words, and one with a null language for
+    """A row for each language with ``LEAST_DOCS`` documents of ``CLASS_CHARS`` characters, and one with a null language for
     all: ``lang``, ``class_shares``, ``words`` (buckets of common words) and ``word_shares`` (theirs)."""
-    good = docs.where(F.regexp_count(text, F.lit(WORDS)) >= LEAST_WORDS).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    own = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     shares = [(F.col("classes")[k] / F.col("chars")).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    sums = written(class_counts(good, "text").select("lang", *shares).groupBy("lang").agg(
+    sums = written(class_counts(own.where(F.length("text") >= CLASS_CHARS), "text").select("lang", *shares).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(CLASSES) + 1)]))
-    counts = written(good.select("lang", F.explode(letter_words("text")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    words = own.select("lang", letter_words("text").alias("w")).where(F.size("w") >= WORD_WORDS)
+    counts = written(words.select("lang", F.explode("w").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     enough = sums.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_DOCS)).select("lang")
     both = lambda df, *keys: df.join(F.broadcast(enough) if enough.count() <= SENT else enough, "lang").unionByName(
         df.withColumn("lang", F.lit(None).cast("string")).groupBy("lang", *keys).agg(*[F.sum(c).alias(c) for c in df.columns if c not in ("lang", *keys)]))
@@ -137,15 +141,16 @@ def _distance(twice: Column) -> Column:
 
 
 def distances(df: DataFrame, refs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``df`` with ``n_letter_words``, ``chars``, ``class_distance`` and ``word_distance``."""
+    """``df`` (with ``chars`` and ``classes``) with ``n_letter_words``, ``class_distance`` and ``word_distance``."""
     kept = df.columns
     own = refs.where("lang IS NOT NULL").select(F.col("lang").alias("__lang"), F.struct("class_shares", "words", "word_shares").alias("__own"))
     whole = refs.where("lang IS NULL").select(F.struct("class_shares", "words", "word_shares").alias("__all"))
     small = refs.count() <= SENT
-    df = class_counts(df, text).withColumn("__w", letter_words(text))
+    df = df.withColumn("__w", letter_words(text))
     df = df.join(F.broadcast(own) if small else own, F.col(lang).cast("string") == F.col("__lang"), "left").join(F.broadcast(whole), how="left")  # one row
     df = df.withColumn("__ref", F.coalesce("__own", "__all"))
-    place = F.zip_with("__w", F.transform("__w", _slot), lambda w, s: F.array_position(F.col("__ref.words")[s], w).cast("int") * BUCKETS + s)
+    bucket = lambda w: F.col("__ref.words")[_slot(w)]
+    place = F.transform(F.filter("__w", lambda w: F.array_contains(bucket(w), w)), lambda w: F.array_position(bucket(w), w).cast("int") * BUCKETS + _slot(w))
     df = df.withColumn("n_letter_words", F.size("__w").cast("long"))
     share = lambda b: F.col("__ref.word_shares")[F.pmod(b, F.lit(BUCKETS))][(b / BUCKETS).cast("int") - 1]
 
@@ -153,7 +158,7 @@ def distances(df: DataFrame, refs: DataFrame, lang: str = "lang", text: str = "t
         ends = F.filter(F.transform(b, lambda x, j: F.when(F.get(b, j + 1).isNull() | (F.get(b, j + 1) != x), j)), lambda j: j.isNotNull())
         one = lambda e: lambda j, k: F.struct(((j - F.coalesce(F.get(e, k - 1), F.lit(-1))) / F.col("n_letter_words")).alias("p"), share(b[j]).alias("q"))
         return _let(ends, lambda e: F.transform(e, one(e)))
-    df = df.withColumn("__hist", _let(F.sort_array(F.filter(place, lambda b: b >= BUCKETS)), hist))
+    df = df.withColumn("__hist", _let(F.sort_array(place), hist))
     zero = F.lit(0.0)
     total = lambda of: F.aggregate("__hist", zero, lambda s, x: s + of(x))
     common = F.aggregate(F.flatten("__ref.word_shares"), zero, lambda s, x: s + x)
@@ -161,7 +166,7 @@ def distances(df: DataFrame, refs: DataFrame, lang: str = "lang", text: str = "t
     other = _half(F.greatest(1 - total(lambda x: x.p), zero), F.greatest(1 - common, zero))
     words = total(lambda x: _half(x.p, x.q)) + (common - seen) + other  # an absent word adds its share
     classes = F.aggregate(F.zip_with("classes", "__ref.class_shares", lambda c, q: _half(c / F.col("chars"), q)), zero, lambda s, x: s + x)
-    return df.select(*kept, "n_letter_words", F.col("chars").cast("long").alias("chars"), F.when(F.col("chars") > 0, _distance(classes)).alias("class_distance"),
+    return df.select(*kept, "n_letter_words", F.when(F.col("chars") > 0, _distance(classes)).alias("class_distance"),
                      F.when(F.col("n_letter_words") > 0, _distance(words)).alias("word_distance"))
 
 
@@ -204,13 +209,13 @@ c5 AS (SELECT *, regexp_replace(t4, '[0-9]+', '', 'g') AS t5 FROM c4),
 c6 AS (SELECT *, regexp_replace(t5, '[.,;:!?''"()-]+', '', 'g') AS t6 FROM c5),
 shares AS (SELECT no, length(t) AS chars, unnest(range(7)) AS c, unnest([length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3),
                   length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6)]) / length(t) AS p FROM c6 WHERE length(t) > 0),
-lw AS (SELECT no, lang, n_words, regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM judged),
-tf AS (SELECT no, lang, n_words, word, count(*) AS n FROM (SELECT no, lang, n_words, unnest(w) AS word FROM lw) GROUP BY ALL),
-known AS (SELECT lang FROM judged WHERE n_words >= 20 AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
-refc AS (SELECT lang AS ref, c, avg(p) AS q FROM shares JOIN judged USING (no) JOIN known USING (lang) WHERE n_words >= 20 GROUP BY ALL
-         UNION ALL SELECT NULL, c, avg(p) FROM shares JOIN judged USING (no) WHERE n_words >= 20 GROUP BY ALL),
-counts AS (SELECT lang AS ref, word, sum(n) AS n FROM tf JOIN known USING (lang) WHERE n_words >= 20 GROUP BY ALL
-           UNION ALL SELECT NULL, word, sum(n) FROM tf WHERE n_words >= 20 GROUP BY ALL),
+lw AS (SELECT no, lang, regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM judged),
+tf AS (SELECT no, lang, n_letters, word, count(*) AS n FROM (SELECT no, lang, len(w) AS n_letters, unnest(w) AS word FROM lw) GROUP BY ALL),
+known AS (SELECT lang FROM judged WHERE length(t) >= 100 AND lang IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
+refc AS (SELECT lang AS ref, c, avg(p) AS q FROM shares JOIN judged USING (no) JOIN known USING (lang) WHERE chars >= 100 GROUP BY ALL
+         UNION ALL SELECT NULL, c, avg(p) FROM shares JOIN judged USING (no) WHERE chars >= 100 GROUP BY ALL),
+counts AS (SELECT lang AS ref, word, sum(n) AS n FROM tf JOIN known USING (lang) WHERE n_letters >= 50 GROUP BY ALL
+           UNION ALL SELECT NULL, word, sum(n) FROM tf WHERE n_letters >= 50 GROUP BY ALL),
 refw AS (SELECT ref, word, q FROM (SELECT ref, word, n / sum(n) OVER (PARTITION BY ref) AS q, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS r FROM counts) WHERE r <= 100),
 refq AS (SELECT ref, sum(q) AS q FROM refw GROUP BY 1),
 own AS (SELECT no, known.lang AS ref, len(w) AS n FROM lw LEFT JOIN known USING (lang)),
