@@ -13,7 +13,8 @@ Verdict: a document is kept if its classes lie within ``CLASS_LIMIT`` of the ref
 or ``WORD_WORDS`` words that comparison is left out.
 
 Repeated windows are found by 64-bit hashes within one document. Nulls: a null text has no words and is not kept. Empty texts likewise. Repeated rows are
-judged row by row; ties in frequency go to the lesser word. An empty table gives no rows. Other columns are ignored.
+judged row by row; ties in frequency go to the lesser word. An empty table gives no rows. Other columns pass through, but for those
+that have the name of a result, which takes their place.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ SYMBOLS = r"[#*$%&|<>]"
 CLASSES = {"lower": "[a-z]+", "space": r"[\x20\x09-\x0D]+", "beyond": r"[^\x00-\x7F]+", "upper": "[A-Z]+", "digit": "[0-9]+", "stop": r"""[.,;:!?'"()-]+"""}
 
 
+RESULTS = {"chars", "classes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_letter_words",
+           "class_distance", "word_distance", "kept"}
+
+
 def _words(text: Column | str, between: str) -> Column:
     return F.coalesce(F.array_remove(F.split(text, between), ""), F.array().cast("array<string>"))
 
@@ -77,6 +82,7 @@ def repeated_words(keys: str) -> Column:
 
 def base(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``chars``, ``classes`` (characters of each class), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     df = docs.withColumn("__words", _words(text, SPACES)).withColumn("__lines", lines)
