@@ -1,211 +1,27 @@
-"""The order-dependent part of chord recognition: pruning, modulations, chord
-choice and its repair."""
+"""One chord for each event: chosen, extended, repaired; and what it says of the notes.
+
+A bar is a row that holds its events as an array, and is folded by column functions: the state is the chord before, or the
+event before as far as the next may still repair it. What a bar takes from the bar before is one chord. All bars are
+folded at once from no chord; then those whose chord before has become another are folded again, until none has.
+"""
 
 from __future__ import annotations
 
-import json
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
-from scorelake.functions.fold import blocked_fold
 from scorelake.functions.ordered import with_neighbours, with_running_max
+from scorelake.operators import routes as rt
 from scorelake.operators import tonal as tn
 from scorelake.session import cut_lineage
 from scorelake.sources.views import BAR
 
-BLOCK_BARS = 8
 KEYS = ["piece_id"]
 
 
-def _block() -> Column:
-    return F.floor(F.col("measure_idx") / BLOCK_BARS)
-
-
-@lru_cache
-def _chords_by_key() -> dict[tuple[str, str], frozenset[str]]:
-    out: dict = {}
-    for tonic, mode, _, root, tones in hm.chord_dictionary():
-        if root:
-            out.setdefault((tonic, mode), set()).add(hm.set_key(tones))
-    return {k: frozenset(v) for k, v in out.items()}
-
-
-@lru_cache
-def _keys_of(chord: str) -> frozenset[tuple[str, str]]:
-    return frozenset(k for k, chords in _chords_by_key().items() if chord in chords)
-
-
-def flows_between(a: str, b: str) -> bool:
-    """Whether some key has both chords."""
-    return bool(_keys_of(a) & _keys_of(b))
-
-
-# --- dead ends ------------------------------------------------------------
-
-
-def prune_step(events: list[dict], state: str) -> tuple[list[dict], str]:
-    """Backwards over events: keep the chords from which the later chord can be
-    reached. Events equal to the later one share its chords."""
-    later = json.loads(state) if state else None
-    out = []
-    for e in events:
-        chords = list(e["matched"])
-        if not chords or e["spare"]:
-            out.append({**_place(e), "matched": chords, "turned": False})
-            continue
-        if later is None:
-            later = {"was": chords, "live": chords}
-            out.append({**_place(e), "matched": chords, "turned": True})
-        elif set(chords) != set(later["was"]):
-            live = [c for c in chords if any(flows_between(c, n) for n in later["live"])]
-            later = {"was": chords, "live": live}
-            out.append({**_place(e), "matched": live, "turned": True})
-        else:
-            out.append({**_place(e), "matched": list(later["live"]), "turned": False})
-    return out, json.dumps(later) if later is not None else ""
-
-
-def _place(e: dict) -> dict:
-    return {"measure_idx": int(e["measure_idx"]), "event_tick": int(e["event_tick"])}
-
-
-def prune_dead_ends(matched: DataFrame) -> DataFrame:
-    """``matched`` without chords that lead nowhere. The last event but one is
-    spared, and so is the earliest event that differs from the one after it, as
-    nothing before it asks for its pruning."""
-    total = matched.groupBy("piece_id").agg(F.max("global_idx").alias("__last"))
-    rows = (matched.join(total, "piece_id").withColumn("spare", F.col("global_idx") == F.col("__last") - 1)
-            .select("piece_id", "measure_idx", "event_tick", "matched", "spare", _block().alias("block")))
-    pruned = blocked_fold(rows, KEYS, ["measure_idx", "event_tick"], prune_step,
-                          "measure_idx int, event_tick long, matched array<string>, turned boolean", reverse=True)
-    pruned = cut_lineage(pruned)
-    first = pruned.where("turned").groupBy("piece_id").agg(
-        F.min(F.struct("measure_idx", "event_tick")).alias("__first"))
-    joined = matched.withColumnRenamed("matched", "__was").join(
-        pruned.drop("turned"), tn.EVENT).join(first, "piece_id", "left")
-    earliest = F.struct("measure_idx", "event_tick") == F.col("__first")
-    return joined.withColumn("matched", F.when(F.coalesce(earliest, F.lit(False)), F.col("__was")).otherwise(
-        F.col("matched"))).drop("__was", "__first")
-
-
-# --- modulations ----------------------------------------------------------
-
-
-def flow_entries(matched: DataFrame, flow: DataFrame) -> DataFrame:
-    """Per matched event, the best flows to the next matched event; events with
-    one and the same chord are skipped. ``flows`` lists (chord, options), the
-    options being (key, next, weight, numerals)."""
-    live = cut_lineage(matched.where(F.size("matched") > 0).select(*tn.EVENT, "matched"))
-    pairs = with_neighbours(live, KEYS, ["measure_idx"], ["event_tick"], ["matched"], next="__n").where(F.col("__n").isNotNull())
-    same = F.col("__n.matched") == F.col("matched")
-    entries = pairs.where(~(same & (F.size("matched") == 1))).select(*tn.EVENT, "matched")
-    best = tn.best_flow(live, flow).withColumn("key", F.concat_ws(",", "tonic", "mode"))
-    options = best.groupBy(*tn.EVENT, "from_chord").agg(F.array_sort(F.collect_list(F.struct(
-        "key", "to_chord", "weight", "from_numeral", "to_numeral"))).alias("options"))
-    chords = entries.select(*tn.EVENT, F.explode("matched").alias("from_chord")).join(options, [*tn.EVENT, "from_chord"], "left")
-    return chords.groupBy(*tn.EVENT).agg(F.array_sort(F.collect_list(F.struct("from_chord", "options"))).alias("flows"))
-
-
-def _unpack(e: dict) -> dict:
-    flows = [(f["from_chord"], {o["key"]: (o["to_chord"], float(o["weight"]), o["from_numeral"], o["to_numeral"])
-                                for o in (f["options"] if f["options"] is not None else [])}) for f in e["flows"]]
-    return {**_place(e), "flows": flows, "ahead": bool(e["ahead"])}
-
-
-def path_weight(entries: list[dict], chord: str, key: str) -> float | None:
-    """Weight of following a chord through the entries in one key; None when the
-    key has no way on."""
-    weight = 0.0
-    for e in entries:
-        options = next((o for c, o in e["flows"] if c == chord), None)
-        if options is None:
-            continue
-        if key not in options:
-            return None
-        chord, w = options[key][0], options[key][1]
-        weight += w
-    return weight
-
-
-def best_key(entries: list[dict], start: int, reach: int, only: tuple | None = None) -> tuple[str, str]:
-    """(key, chord) with the greatest weight over up to ``reach`` measures from
-    an entry; fewer measures when no key lasts that long."""
-    if start >= len(entries):
-        return "", ""
-    for length in reversed(range(reach)):
-        end = start + 1
-        while end < len(entries) and entries[end]["measure_idx"] <= entries[start]["measure_idx"] + length:
-            end += 1
-        found, top = ("", ""), 0.0
-        for chord, options in ([only] if only else entries[start]["flows"]):
-            for key in options:
-                weight = path_weight(entries[start:end], chord, key)
-                if weight is not None and (weight > top or not found[0]):
-                    found, top = (key, chord), weight
-        if found[0]:
-            return found
-    return "", ""
-
-
-def modulation_step(reach: int, tolerance: float):
-    def step(elements: list[dict], state: str) -> tuple[list[dict], str]:
-        entries = [_unpack(e) for e in elements]
-        own = sum(not e["ahead"] for e in entries)
-        if state:
-            s = json.loads(state)
-            key, wanted, weight, moved = s["key"], s["next"], s["weight"], s["moved"]
-        else:
-            key, wanted = best_key(entries, 0, reach)
-            weight, moved = 0.0, False
-        out = []
-        for i, e in enumerate(entries[:own]):
-            is_last = i == len(entries) - 1
-            hit = next(((c, o) for c, o in e["flows"] if c == wanted), None)
-            if hit:
-                chord, options = hit
-                if key not in options:
-                    moved, weight, wanted = True, 0.0, None
-                    key = best_key(entries, i, reach, hit)[0]
-                if key in options:
-                    wanted, w, a, b = options[key]
-                    weight += w
-                    out.append({**_place(e), "key": key, "from_chord": chord, "to_chord": wanted,
-                                "from_numeral": a, "to_numeral": b, "weight": weight})
-                elif moved and not is_last:
-                    weight = 0.0
-                    key, wanted = best_key(entries, i + 1, reach)
-                if weight < tolerance:
-                    key = ""
-            if wanted == "" and moved and not is_last:
-                weight = 0.0
-                key, wanted = best_key(entries, i + 1, reach)
-        return out, json.dumps({"key": key, "next": wanted, "weight": weight, "moved": moved})
-    return step
-
-
-def modulations(entries: DataFrame, reach: int = 4, tolerance: float = -0.5) -> DataFrame:
-    """Chord steps along the flow: from the chord and key with most weight over
-    ``reach`` measures, with a new search on a key change, at a missing flow,
-    or when the weight falls below the tolerance."""
-    rows = cut_lineage(entries.withColumn("block", _block()))
-    ends = rows.groupBy("piece_id", "block").agg(F.min("measure_idx").alias("m"))
-    after = with_neighbours(ends, KEYS, ["block"], ["m"], ["m"], next="__n").where(F.col("__n").isNotNull())
-    # The measures a block may look into: those from its next entry on.
-    view = after.select("piece_id", F.col("block").alias("to_block"),
-                        F.explode(F.sequence(F.col("__n.m"), F.col("__n.m") + reach - 1)).alias("measure_idx"))
-    halo = rows.join(view, ["piece_id", "measure_idx"]).where(F.col("block") > F.col("to_block")).drop("block").withColumnRenamed("to_block", "block")
-    both = rows.withColumn("ahead", F.lit(False)).unionByName(halo.withColumn("ahead", F.lit(True)))
-    return blocked_fold(both, KEYS, ["measure_idx", "event_tick"], modulation_step(reach, tolerance),
-                        "measure_idx int, event_tick long, key string, from_chord string, to_chord string, "
-                        "from_numeral string, to_numeral string, weight double")
-
-
-# --- choosing one chord per event ------------------------------------------
-
-
 def with_modulation(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Adds ``now``, the latest step at or before each event (the piece's first
     one if there is none), and ``then``, the step before it."""
@@ -219,123 +35,131 @@ def with_modulation(events: DataFrame, steps: DataFrame) -> DataFrame:
     return run.join(first, "piece_id", "left").withColumn("now", F.coalesce("now", "__f")).drop("__f")
 
 
-def _tones(chord: str) -> list[str]:
-    return chord.split(",")
-
-
-def _in_event_order(chord: list[str], order: list[str]) -> list[str]:
-    return [t for t in order if t in chord] + [t for t in chord if t not in order]
+# --- choosing one chord per event ------------------------------------------
 
 
 @lru_cache
-def _sevenths() -> dict[str, list[str]]:
+def _sevenths() -> dict[str, list[tuple[str, str, int]]]:
+    """Triad -> (seventh chord on it, added tone, keys that have both as bits)."""
     out: dict = {}
-    for seventh, base in hm.seventh_bases():
-        out.setdefault(base, []).append(seventh)
+    for seventh, low in hm.seventh_bases():
+        added = sorted(set(seventh.split(",")) - set(low.split(",")))
+        if len(added) == 1:
+            out.setdefault(low, []).append((seventh, added[0], rt.key_sets()[seventh] & rt.key_sets().get(low, 0)))
     return out
 
 
-def select_chord(e: dict, previous: list[str]) -> None:
-    """Among the event's chords that the modulation names, and the previous
-    event's chord, the one with fewest tones outside; the last on a tie."""
-    now = e["now"]
-    if now is None:
-        return
-    named = [now["to_chord"], now["from_chord"]]
-    if now["measure_idx"] == e["measure_idx"] and now["event_tick"] == e["event_tick"] and now["then"]:
-        named = [now["then"]["to_chord"], now["then"]["from_chord"], *named]
-    e["key"] = now["key"]
-    if e["chords"]:
-        options = [c for c in e["chords"] for n in named if set(_tones(n)) == set(c)] + [previous]
-    else:
-        options = [_tones(n) for n in named]
-    fewest = len(e["pitches"]) + 1
-    for c in options:
-        outside = len(set(e["pitches"]) - set(c))
-        if outside <= fewest:
-            e["chords"], fewest = [_in_event_order(c, e["smeared"])], outside
-
-
-def resolve_seventh(e: dict) -> None:
-    """Add a seventh that sounds, if the key knows the step."""
-    if not e["chords"] or not e["chords"][0]:
-        return
-    chord = e["chords"][0]
-    for seventh in _sevenths().get(hm.set_key(chord), []):
-        added = set(_tones(seventh)) - set(chord)
-        key = tuple(e["key"].split(",")) if e["key"] else None
-        if added and added <= set(e["pitches"]) and key in _keys_of(hm.set_key(chord)) & _keys_of(seventh):
-            e["chords"] = [_in_event_order(_tones(seventh), e["smeared"])]
-            e["outside"] = [p for p in e["pitches"] if p not in e["chords"][0]]
-            if seventh not in e["bar"]["candidates"]:
-                e["bar"]["candidates"].append(seventh)
-            return
-
-
-def resolve_dissonance(e: dict, before: dict | None) -> None:
-    """Names outside the chord; a dissonance shared with the event before is
-    repaired there from the bar's candidates, and the chord before is borrowed
-    if that is no worse."""
-    if not e["chords"]:
-        return
-    out = lambda x, chord: [p for p in x["pitches"] if p not in chord]
-    e["outside"] = out(e, e["chords"][0])
-    if before is None or not before["chords"]:
-        return
-    shared = set(e["outside"]) & set(before["outside"])
-    if shared:
-        for c in [_tones(x) for x in e["bar"]["candidates"]]:
-            if shared <= set(c) and len(out(before, c)) <= len(before["outside"]):
-                before["chords"], before["outside"] = [c], out(before, c)
-    if len(out(e, before["chords"][0])) <= len(e["outside"]):
-        e["chords"] = list(before["chords"])
-        e["outside"] = out(e, e["chords"][0])
-
-
-def choose_step(elements: list[dict], state: str) -> tuple[list[dict], str]:
-    """Bar by bar: choose, add sevenths, repair, add sevenths again."""
-    previous = json.loads(state) if state else []
-    out: list[dict] = []
-    bars: dict[int, list[dict]] = {}
-    for x in elements:
-        bars.setdefault(int(x["measure_idx"]), []).append(x)
-    for bar in bars.values():
-        shared = {"candidates": list(bar[0]["candidates"])}
-        events = [{**_place(x), "pitches": list(x["pitches"]), "smeared": list(x["smeared"]), "now": x["now"], "key": "",
-                   "chords": [_tones(c) for c in x["matched"]], "outside": [], "bar": shared} for x in bar]
-        for i, e in enumerate(events):
-            last = events[i - 1]["chords"] if i else ([previous] if previous else [])
-            select_chord(e, last[0] if last else [])
-        for e in events:
-            resolve_seventh(e)
-        for i, e in enumerate(events):
-            resolve_dissonance(e, events[i - 1] if i else None)
-        for e in events:
-            resolve_seventh(e)
-            chord = _in_event_order(e["chords"][0], e["smeared"]) if e["chords"] and e["chords"][0] else None
-            e["final"] = chord
-            out.append({**_place(e), "key": e["key"], "chord": chord, "dissonance": e["outside"]})
-        previous = events[-1]["final"] or []
-    return out, json.dumps(previous)
+def _literal(rows: list[tuple]) -> Column:
+    return F.array(*[F.struct(F.lit(s).alias("seventh"), F.lit(a).alias("added"), F.lit(k).cast("long").alias("keys")) for s, a, k in rows])
+
+
+def _options(matched: Column, now: Column, here: Column) -> tuple[Column, Column]:
+    """The chords an event chooses from, and whether the chord before is one of them."""
+    named = F.array(now["to_chord"], now["from_chord"])
+    both = F.concat(F.array(now["then"]["to_chord"], now["then"]["from_chord"]), named)
+    named = F.when(here & now["then"].isNotNull(), both).otherwise(named)
+    own = F.size(matched) > 0
+    options = F.when(now.isNull(), F.slice(matched, 1, 1)).when(own, F.array_intersect(matched, named)).otherwise(named)
+    return options, now.isNotNull() & own
+
+
+def _outside(pitches: Column, chord: Column) -> Column:
+    return F.array_except(pitches, tn.key_tones(chord))
+
+
+def _choose(e: Column, before: Column) -> Column:
+    """The option with fewest tones outside; the last on a tie."""
+    options = F.when(e.follows, F.concat(e.options, F.array(before))).otherwise(e.options)
+    fewest = F.aggregate(options, F.struct(F.lit(None).cast("string").alias("c"), (F.size(e.pitches) + 1).alias("n")), lambda s, c: F.when(
+        F.size(_outside(e.pitches, c)) <= s.n, F.struct(c.alias("c"), F.size(_outside(e.pitches, c)).alias("n"))).otherwise(s))
+    return fewest["c"]
+
+
+def _extended(chord: Column, pitches: Column, key_no: Column, table: Column) -> Column:
+    """The first seventh chord on ``chord`` whose seventh sounds and whose key has both, or null."""
+    able = F.filter(F.element_at(table, chord), lambda x: F.array_contains(pitches, x.added) & (F.getbit(x["keys"], key_no) == 1))
+    return F.get(able, 0)["seventh"]
+
+
+def _repaired(bar: str, pool: Column) -> Column:
+    """Chord and dissonance of each event of the array: a dissonance shared with the event before is repaired there
+    from the pool, then the chord before is borrowed if that is no worse. The event before stays open until then."""
+    none = F.array().cast("array<string>")
+    told = lambda chord, out, e: F.struct(chord.alias("chord"), out.alias("out"), e.event_tick.alias("event_tick"), e.pitches.alias("pitches"),
+                                          e.key_no.alias("key_no"))
+
+    def step(s: Column, e: Column) -> Column:
+        own = F.when(e.chord.isNotNull(), _outside(e.pitches, e.chord)).otherwise(none)
+        last = s["last"]
+        meets = last.isNotNull() & last["chord"].isNotNull() & e.chord.isNotNull()
+        shared = F.array_intersect(own, last["out"])
+        better = lambda t, c: (F.size(F.array_except(shared, tn.key_tones(c))) == 0) & (F.size(_outside(last["pitches"], c)) <= t.n)
+        fixed = F.aggregate(F.when(meets & (F.size(shared) > 0), pool).otherwise(none),
+                            F.struct(last["chord"].alias("c"), F.size(last["out"]).alias("n")),
+                            lambda t, c: F.when(better(t, c), F.struct(c.alias("c"), F.size(_outside(last["pitches"], c)).alias("n"))).otherwise(t))["c"]
+        done = F.when(last.isNull(), s.done).otherwise(F.concat(s.done, F.array(told(fixed, F.when(
+            fixed.isNotNull(), _outside(last["pitches"], fixed)).otherwise(last["out"]), last))))
+        borrows = meets & (F.size(_outside(e.pitches, fixed)) <= F.size(own))
+        chord = F.when(borrows, fixed).otherwise(e.chord)
+        return F.struct(done.alias("done"), told(chord, F.when(borrows, _outside(e.pitches, fixed)).otherwise(own), e).alias("last"))
+    kind = "struct<chord:string,out:array<string>,event_tick:bigint,pitches:array<string>,key_no:int>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
+    return F.aggregate(bar, start, step, lambda s: F.concat(s.done, F.array(s["last"])))
+
+
+def _folded(bars: DataFrame) -> DataFrame:
+    """``bars`` (with the chord before as ``before``) with ``told``, the chord and dissonance of each event, and ``final``."""
+    table = F.create_map(*[x for base, rows in _sevenths().items() for x in (F.lit(base), _literal(rows))])
+    chosen = F.aggregate("events", F.struct(F.array().cast("array<string>").alias("out"), F.col("before").alias("b")), lambda s, e: F.struct(
+        F.concat(s.out, F.array(_choose(e, s.b))).alias("out"), F.coalesce(_choose(e, s.b), F.lit("")).alias("b")), lambda s: s.out)
+    df = bars.withColumn("chosen", chosen)
+    with_chord = F.zip_with("events", "chosen", lambda e, c: F.struct(
+        e.event_tick.alias("event_tick"), e.pitches.alias("pitches"), e.key_no.alias("key_no"), c.alias("chord"),
+        _extended(c, e.pitches, e.key_no, table).alias("longer")))
+    df = df.withColumn("chosen", with_chord)
+    found = F.array_except(F.filter(F.transform("chosen", lambda e: e.longer), lambda x: x.isNotNull()), F.col("pool"))
+    df = df.withColumn("all", F.concat("pool", found)).withColumn("chosen", F.transform(
+        "chosen", lambda e: e.withField("chord", F.coalesce(e.longer, e.chord))))
+    df = df.withColumn("told", _repaired("chosen", F.col("all")))
+    last = lambda e, longer: F.struct(e.event_tick.alias("event_tick"), F.coalesce(longer, F.when(e.chord != "", e.chord)).alias("chord"),
+                                      F.when(longer.isNotNull(), _outside(e.pitches, longer)).otherwise(e.out).alias("dissonance"))
+    df = df.withColumn("told", F.transform("told", lambda e: last(e, _extended(e.chord, e.pitches, e.key_no, table))))
+    return df.select(*BAR, "before", F.coalesce(F.element_at("told", -1)["chord"], F.lit("")).alias("final"), "told")
 
 
 def choose_chords(events: DataFrame) -> DataFrame:
-    """One chord per event with its key and dissonant names."""
-    rows = events.select("piece_id", "measure_idx", "event_tick", "pitches", "smeared", "matched", "candidates", "now",
-                         _block().alias("block"))
-    chosen = blocked_fold(rows, KEYS, ["measure_idx", "event_tick"], choose_step,
-                          "measure_idx int, event_tick long, key string, chord array<string>, dissonance array<string>")
-    return events.join(chosen, tn.EVENT)
+    """One chord per event with its key and dissonant names. ``events`` are those of ``with_modulation``, with ``pool``."""
+    here = F.struct(F.col("now.measure_idx"), F.col("now.event_tick")) == F.struct("measure_idx", "event_tick")
+    options, follows = _options(F.col("matched"), F.col("now"), here)
+    key_no = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in rt.key_list()]), F.col("now.key")).cast("int") - 1, F.lit(63))  # 63: of no chord
+    event = F.struct("event_tick", "pitches", options.alias("options"), follows.alias("follows"), key_no.alias("key_no"))
+    bars = cut_lineage(events.groupBy(*BAR).agg(F.array_sort(F.collect_list(event)).alias("events"), F.first("pool").alias("pool")))
+    told = cut_lineage(_folded(bars.withColumn("before", F.lit(""))))
+    while True:
+        comes = F.coalesce(F.lag("final").over(Window.partitionBy(*KEYS).orderBy("measure_idx")), F.lit(""))  # a row for each bar
+        told = told.withColumn("comes", comes)
+        late = cut_lineage(told.where(F.col("comes") != F.col("before")).select(*BAR, F.col("comes").alias("before")))
+        if late.isEmpty():
+            break
+        again = _folded(bars.join(late, BAR))
+        told = cut_lineage(told.drop("comes").join(late.select(*BAR), BAR, "left_anti").unionByName(again))
+    each = told.select(*BAR, F.explode("told").alias("t")).select(*BAR, "t.*")
+    return events.join(each, tn.EVENT).withColumn("key", F.coalesce("now.key", F.lit(""))).withColumn(
+        "chord", tn.bass_first(F.col("chord"), F.col("smeared")))
 
 
 def analyse(notes: DataFrame, flow: DataFrame, reach: int = 4, tolerance: float = -0.5) -> DataFrame:
     """Chord, key and dissonance of every event."""
     events = cut_lineage(tn.matched_events(tn.sonority_events(notes)))
-    pruned = cut_lineage(prune_dead_ends(events))
-    steps = cut_lineage(modulations(flow_entries(pruned, flow), reach, tolerance))
-    pool = pruned.groupBy(*BAR).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("matched")))).alias("candidates"))
-    ready = with_modulation(pruned, steps).join(pool, BAR, "left")
-    return choose_chords(cut_lineage(ready))
+    pruned = cut_lineage(rt.prune_dead_ends(events))
+    steps = cut_lineage(rt.modulations(*rt.flow_entries(pruned, flow), reach, tolerance))
+    return choose_chords(cut_lineage(with_modulation(pruned, steps)))
+
+
+def chosen_modulations(chosen: DataFrame, flow: DataFrame, reach: int = 4, tolerance: float = -0.5) -> DataFrame:
+    """The second search: the steps along the chords that were chosen (``chord`` of ``analyse``)."""
+    own = F.when(F.col("chord").isNull(), F.array().cast("array<string>")).otherwise(F.array(tn.chord_key(F.col("chord"))))
+    return rt.modulations(*rt.flow_entries(chosen.select(*tn.EVENT, own.alias("matched")), flow), reach, tolerance)
 
 
 def harmony_flags(notes: DataFrame, chords: DataFrame) -> DataFrame:

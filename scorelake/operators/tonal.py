@@ -156,7 +156,7 @@ def matched_events(events: DataFrame) -> DataFrame:
     """``matched``: the sorted chords each event may stand for. Exact matches
     make the bar's candidates; fitting candidates replace an event's own match;
     an event without any, but more than one name, takes partial matches, which
-    become candidates too."""
+    become candidates too. ``pool`` has all chords found in the bar, those of four tones too."""
     smeared = cut_lineage(smear_events(events))
     exact = cut_lineage(match_exact(smeared))
     own = exact.where("matched").groupBy(*EVENT).agg(F.array_sort(F.collect_set("chord")).alias("own"))
@@ -168,9 +168,11 @@ def matched_events(events: DataFrame) -> DataFrame:
         F.array_sort(F.array_union(F.coalesce("own", none), "partial"))))
     tried = cut_lineage(tried)
     more = tried.groupBy(*BAR).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("partial")))).alias("more"))
-    both = (bar_candidates(exact).join(more, BAR, "full")
-            .select(*BAR, F.array_union(F.coalesce("candidates", none), F.coalesce("more", none)).alias("candidates")))
-    again = match_candidates(tried.drop("fitting"), both)
+    read = exact.groupBy(*BAR).agg(F.array_sort(F.collect_set("chord")).alias("read"))
+    both = bar_candidates(exact).join(more, BAR, "full").join(read, BAR, "full")
+    fit = F.array_union(F.coalesce("candidates", none), F.coalesce("more", none)).alias("candidates")
+    pool = F.array_sort(F.array_union(F.coalesce("read", none), F.coalesce("more", none))).alias("pool")
+    again = match_candidates(tried.drop("fitting"), both.select(*BAR, fit, pool))
     final = F.when(F.col("found") | (F.size("fitting") > 0), F.array_sort("fitting")).otherwise(F.col("matched"))
     return again.withColumn("matched", final).drop("own", "partial", "found", "fitting")
 

@@ -104,7 +104,25 @@ def matched(s, d):
     return tn.matched_events(events(s, d))
 
 
-register("matched_events", lambda s, d: matched(s, d).select(*tn.EVENT, joined("matched", ";").alias("matched")))
+MATCHED_SQL = f"""
+cand AS (SELECT DISTINCT piece_id, measure_idx, chord FROM exact WHERE len(string_split(chord, ',')) <> 4),
+triad AS (SELECT * FROM (VALUES {_values([(t,) for t in hm.triads()])}) v(chord)),
+tone AS (SELECT chord, UNNEST(string_split(chord, ',')) AS name FROM triad),
+fit AS (SELECT e.piece_id, e.measure_idx, e.event_tick, c.chord FROM full_ev e JOIN cand c USING (piece_id, measure_idx)
+        WHERE len(list_filter(string_split(c.chord, ','), lambda x: NOT list_contains(e.smeared, x))) <= 1),
+part AS (SELECT piece_id, measure_idx, event_tick, chord
+         FROM (SELECT * FROM near ANTI JOIN fit USING (piece_id, measure_idx, event_tick)) JOIN tone USING (name)
+         JOIN (SELECT piece_id, measure_idx, event_tick FROM full_ev WHERE len(pitches) <> 1) USING (piece_id, measure_idx, event_tick)
+         GROUP BY ALL HAVING COUNT(*) >= 2),
+cand2 AS (SELECT * FROM cand UNION SELECT piece_id, measure_idx, chord FROM part),
+fit2 AS (SELECT e.piece_id, e.measure_idx, e.event_tick, c.chord FROM full_ev e JOIN cand2 c USING (piece_id, measure_idx)
+         WHERE len(list_filter(string_split(c.chord, ','), lambda x: NOT list_contains(e.smeared, x))) <= 1),
+mat AS (SELECT * FROM fit2 UNION SELECT piece_id, measure_idx, event_tick, chord FROM exact ANTI JOIN fit2 USING (piece_id, measure_idx, event_tick) WHERE matched)"""
+
+register("matched_events", lambda s, d: matched(s, d).select(*tn.EVENT, joined("matched", ";").alias("matched")), with_sql(
+    SLICE_SQL, SMEAR_SQL, DICT_SQL, MATCHED_SQL, """
+SELECT piece_id, measure_idx, event_tick, COALESCE(string_agg(chord, ';' ORDER BY chord), '') AS matched
+FROM full_ev LEFT JOIN mat USING (piece_id, measure_idx, event_tick) GROUP BY ALL"""))
 
 FLOW_SQL = f"""
 dict AS (SELECT * FROM (VALUES {_values([(t, m, n, hm.set_key(c)) for t, m, n, r, c in hm.chord_dictionary() if r])}) v(tonic, mode, numeral, chord)),

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
-from scorelake.operators import analysis as an
 from scorelake.operators import hands as hd
 from scorelake.operators import motif as mo
 from scorelake.operators import staves as st
@@ -119,16 +118,6 @@ def test_dictionary():
     assert rows["G", "Minor", "bII6"] == ("C", "E-", "A-")
 
 
-def test_best_key_prefers_weight():
-    entries = [{"measure_idx": 0, "event_tick": 0, "flows": [
-        ("C,E,G", {"C,Major": ("B,D,G", 1.0, "I", "V"), "G,Major": ("B,D,G", 2.0, "IV", "I")})]},
-        {"measure_idx": 1, "event_tick": 0, "flows": [("B,D,G", {"C,Major": ("C,E,G", 1.5, "V", "I")})]}]
-    # Over two measures only C goes on; over one, G weighs more.
-    assert an.best_key(entries, 0, 4) == ("C,Major", "C,E,G")
-    assert an.best_key(entries, 0, 1) == ("G,Major", "C,E,G")
-    assert an.best_key(entries, 2, 4) == ("", "")
-
-
 XML = """<score-partwise><part id="A">
 <measure number="1"><attributes><divisions>2</divisions><time><beats>3</beats><beat-type>4</beat-type></time>
 <transpose><diatonic>-1</diatonic><chromatic>-2</chromatic></transpose></attributes>

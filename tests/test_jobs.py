@@ -8,9 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.functions.fold import blocked_fold
 from scorelake.functions.ordered import with_lookahead, with_neighbours, with_row_number, with_running_max
-from scorelake.operators import analysis as an
 from scorelake.operators import features as ft
 from scorelake.operators import graph as gr
 from scorelake.operators import learn as ln
@@ -45,26 +43,6 @@ def test_lookahead_over_blocks(spark, monkeypatch):
     assert [[x.n for x in r.a] for r in got] == [list(range(i, min(i + 4, 50))) for i in range(50)]
 
 
-@pytest.mark.parametrize("reverse", [False, True])
-def test_blocked_fold_is_sequential(spark, reverse):
-    rnd = random.Random(5)
-    data = [(k, i // 5, i, rnd.randint(0, 9)) for k in "ab" for i in range(40)]
-
-    def step(elements, state):
-        s, out = int(state or 0), []
-        for e in elements:
-            s = (s + e["v"]) % 7 if e["v"] else 0
-            out.append({"i": int(e["i"]), "s": s})
-        return out, str(s)
-    got = blocked_fold(spark.createDataFrame(data, "k string, block long, i long, v long"), ["k"], ["i"], step,
-                       "i long, s long", reverse=reverse)
-    want = []
-    for k in "ab":
-        rows = sorted((dict(zip(("k", "block", "i", "v"), r)) for r in data if r[0] == k), key=lambda r: r["i"], reverse=reverse)
-        want += [(k, o["i"], o["s"]) for o in step(rows, "")[0]]
-    assert sorted((r.k, r.i, r.s) for r in got.collect()) == sorted(want)
-
-
 def test_components_of_a_long_chain(spark):
     edges = [(1, i, i + 1) for i in range(200)] + [(2, 5, 9), (2, 9, 7)]
     random.Random(1).shuffle(edges)
@@ -151,30 +129,6 @@ def test_encoders_on_known_groups(spark):
     assert r.key == "C,1.0;D,0.2;R,1.0;C,1.0"
 
 
-def test_analysis_does_not_depend_on_blocks(spark, sf, monkeypatch):
-    matched = tn.matched_events(tn.sonority_events(notes(spark, sf))).cache()
-    flow = tn.chord_flow(spark).cache()
-
-    def run(bars):
-        monkeypatch.setattr(an, "BLOCK_BARS", bars)
-        pruned = an.prune_dead_ends(matched)
-        steps = an.modulations(an.flow_entries(matched, flow))
-        return (sorted((r.global_idx, tuple(r.matched)) for r in pruned.collect()),
-                sorted((r.measure_idx, r.event_tick, r.key, r.from_chord, r.to_chord, r.weight) for r in steps.collect()))
-    small, whole = run(4), run(1000)
-    assert whole[1]
-    assert small == whole
-
-
-def test_chord_repair():
-    bar = {"candidates": ["C,E,G", "A,C,F"]}
-    first = {"chords": [["C", "E", "G"]], "pitches": ["C", "F", "A"], "outside": ["F", "A"], "bar": bar}
-    second = {"chords": [["C", "E", "G"]], "pitches": ["C", "F"], "outside": [], "bar": bar}
-    an.resolve_dissonance(second, first)
-    assert first["chords"] == [["A", "C", "F"]] and first["outside"] == []
-    assert second["chords"] == [["A", "C", "F"]] and second["outside"] == []
-
-
 def test_hot_piece_keeps_all_rows(spark, sf):
     """A third of all rows in one piece, in one voice."""
     base = notes(spark, sf).drop("note_idx")
