@@ -8,6 +8,7 @@ from scorelake.functions import harmony as hm
 from scorelake.operators import features as ft
 from scorelake.operators import tonal as tn
 from scorelake.plans.registry import OUT_SQL, joined, register, rounded, with_sql
+from scorelake.session import cut_lineage
 from scorelake.sources.views import notes, out_notes, sounding
 
 
@@ -146,28 +147,28 @@ register("chord_flow", lambda s, d: tn.chord_flow(s).join(
     with_sql(SLICE_SQL, SMEAR_SQL, DICT_SQL, FLOW_SQL, """
 SELECT from_chord, to_chord, tonic, mode, from_numeral, to_numeral, weight FROM flow
 WHERE from_chord IN (SELECT chord FROM exact WHERE matched)"""))
-register("best_flow", lambda s, d: tn.best_flow(triad_events(s, d), tn.chord_flow(s)), with_sql(
-    SLICE_SQL, SMEAR_SQL, DICT_SQL, FLOW_SQL, """
+register("best_flow", lambda s, d: tn.best_flow(cut_lineage(matched(s, d)), tn.chord_flow(s)), with_sql(
+    SLICE_SQL, SMEAR_SQL, DICT_SQL, MATCHED_SQL, FLOW_SQL, """
 linked AS (SELECT *, LEAD(event_tick) OVER w AS n_tick, LEAD(measure_idx) OVER w AS n_bar FROM son
            WINDOW w AS (PARTITION BY piece_id ORDER BY measure_idx, event_tick)),
 scored AS (SELECT l.piece_id, l.measure_idx, l.event_tick, f.* FROM linked l
-  JOIN exact a ON a.piece_id = l.piece_id AND a.measure_idx = l.measure_idx AND a.event_tick = l.event_tick AND a.matched
-  JOIN exact b ON b.piece_id = l.piece_id AND b.measure_idx = l.n_bar AND b.event_tick = l.n_tick AND b.matched
+  JOIN mat a ON a.piece_id = l.piece_id AND a.measure_idx = l.measure_idx AND a.event_tick = l.event_tick
+  JOIN mat b ON b.piece_id = l.piece_id AND b.measure_idx = l.n_bar AND b.event_tick = l.n_tick
   JOIN flow f ON f.from_chord = a.chord AND f.to_chord = b.chord)""", """
 SELECT * EXCLUDE (k) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, event_tick, from_chord, tonic, mode
   ORDER BY weight DESC, to_chord) AS k FROM scored) WHERE k = 1"""))
 
 
 def _sevenths(s, d):
-    chords = events(s, d).join(exact(s, d).where("matched"), tn.EVENT)
+    chords = matched(s, d).select(*tn.EVENT, "pitches", F.explode("matched").alias("chord"))
     return tn.sevenths_in_key(chords, tn.chord_flow(s)).select(*tn.EVENT, "chord", "seventh", "tonic", "mode")
 
 
-register("resolve_seventh", _sevenths, with_sql(SLICE_SQL, SMEAR_SQL, DICT_SQL, FLOW_SQL, """
+register("resolve_seventh", _sevenths, with_sql(SLICE_SQL, SMEAR_SQL, DICT_SQL, MATCHED_SQL, FLOW_SQL, """
 SELECT e.piece_id, e.measure_idx, e.event_tick, x.chord, s.chord AS seventh, f.tonic, f.mode
-FROM full_ev e JOIN exact x USING (piece_id, measure_idx, event_tick) JOIN seven s ON s.bottom = x.chord
+FROM full_ev e JOIN mat x USING (piece_id, measure_idx, event_tick) JOIN seven s ON s.bottom = x.chord
 JOIN flow f ON f.from_chord = x.chord AND f.to_chord = s.chord
-WHERE x.matched AND list_contains(pitches, list_filter(string_split(s.chord, ','), lambda t: NOT list_contains(string_split(x.chord, ','), t))[1])"""))
+WHERE list_contains(pitches, list_filter(string_split(s.chord, ','), lambda t: NOT list_contains(string_split(x.chord, ','), t))[1])"""))
 
 
 def _missing(s, d):
