@@ -5,7 +5,8 @@ down, with classes and short ids freed of digits; an id of three words or more n
 container is scored by the running text that stands in it (long blocks with little link text count, blocks of menus,
 headers, footers, notices and the like don't). The pages of a host vote in Spark with their shares of the score, and the
 host's paths are ranked by votes (by the path's number on a tie). Each page is then read again and gives the text under the
-best ranked path that holds half of what its own best container holds.
+best ranked path that holds half of what its own best container holds; a path around that container
+must add a quarter to its text.
 
 Names mark an element word by word. A class such as ``has-sidebar`` or ``layout-sidebar-right`` says what stands
 beside the text and marks nothing. A mark is doubtful if its last word names content (``search-result-page``) or if it is a
@@ -40,7 +41,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIP = frozenset("nav footer aside button select option menu dialog fieldset datalist map head".split())
 SKIP_WORD = re.compile(
     r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|masthead|"
-    r"cookies?\w*|consent|notices?|gdpr|popup\w*|modal\w*|overlay|comments?|commentlist|respond|replies|disqus\w*|social\w*|share\w*|sharing|related\w*|"
+    r"cookies?\w*|consent|notices?|gdpr|popup\w*|modal\w*|overlay|comments?|commentlist|respond|replies|disqus\w*|social\w*|share(?:s|r|bar|buttons?|links?|daddy|this)?|sharing|related\w*|"
     r"recommend\w*|newsletter\w*|subscri\w*|login|signup|search\w*|widgets?|toolbar|pagination|pager|skip-?links?|outbrain|taboola|topbar)", re.I)
 #: A class or id with one of these words tells how the page is laid out.
 LAYOUT = frozenset("has no not with without layout".split())
@@ -274,8 +275,31 @@ def best_of(scores: dict[int, tuple[float, int]]) -> int | None:
     return max(scores, key=lambda p: (scores[p][0], p)) if scores else None
 
 
-#: A host's path counts on a page if it holds this share of the page's best container.
-FAIR = 0.5
+#: A host's path counts on a page if it holds this share of the score of the page's best container; one around that, if it
+#: adds this share of running text to it.
+FAIR, ADDED = 0.5, 0.25
+
+
+def chosen(page: Page, scores: dict[int, tuple[float, int]], paths: list[int]) -> int | None:
+    """The first of the host's paths that counts on the page, or that of the page's own best container."""
+    best = best_of(scores)
+    if best is None:
+        return None
+    held = [0] * len(page.parent)
+    for e, text, links, mark, _ in page.blocks:
+        held[e] += 0 if mark else _running(text, links)
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parent[n]] += held[n]
+    around, n = set(), page.parent[scores[best][1]]
+    while n > 0:
+        around.add(n)
+        n = page.parent[n]
+    for p in paths:
+        if p in scores and scores[p][0] >= FAIR * scores[best][0]:
+            e = scores[p][1]
+            if p == best or e not in around or held[e] >= (1 + ADDED) * held[scores[best][1]]:
+                return p
+    return best
 
 
 def votes(pages: DataFrame, url: str, html: str) -> DataFrame:
@@ -319,9 +343,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for page, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True):
             found = read(page.as_py() or "")
             scores = containers(found)
-            best = best_of(scores)
-            fair = FAIR * scores[best][0] if scores else 0
-            key = next((p for p in paths or () if p in scores and scores[p][0] >= fair), best)
+            key = chosen(found, scores, paths or [])
             text = under(found, key)
             path = found.path(scores[key][1]) if scores else None
             texts.append(text or "")
