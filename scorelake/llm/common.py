@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,23 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def apart(*used: str) -> Callable:
+    """A pipeline stage to which only the columns ``used`` are known by name. All others travel under reserved names, so
+    that none meets a column of the stage, and come back as they were. A column that the stage adds gets ``mix_``
+    before its name if the documents have one of that name already."""
+    def wrap(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+        @wraps(stage)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            inner = [c if c in used else f"__kept_{k}" for k, c in enumerate(docs.columns)]
+            out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]), sf_dir)
+            taken = {c.lower() for c in docs.columns}
+            added = [c for c in out.columns if c not in inner]
+            return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)],
+                              *[F.col(c).alias(f"mix_{c}" if c.lower() in taken else c) for c in added])
+        return run
+    return wrap
+
+
 def in_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str) -> DataFrame:
     """``fn`` over each Arrow batch; it yields batches of ``schema``."""
     def run(batches):

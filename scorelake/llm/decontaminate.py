@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import sha256, table, written
+from scorelake.llm.common import apart, sha256, table, written
 from scorelake.llm.registry import register
 
 #: Bytes of UTF-8: every byte of a character outside ASCII belongs to a word.
@@ -155,6 +155,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+@apart("doc_id", "text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated."""
     found = search(docs, table(spark, sf_dir, "benchmark"))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import table, written
+from scorelake.llm.common import apart, table, written
 from scorelake.llm.registry import register
 
 #: Production setting: as flat as possible, while no document is used more than three times.
@@ -140,6 +140,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _place(F.col("epoch")).alias("place"), F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"))
 
 
+@apart("doc_id", "source", "text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents, one row for each use: the columns of ``docs``, ``epoch`` and ``place``."""
     units, _ = mix_sources(docs)

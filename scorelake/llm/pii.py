@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import sha256, table
+from scorelake.llm.common import apart, sha256, table
 from scorelake.llm.registry import register
 
 KINDS = ("email", "ip", "card", "phone")
@@ -346,6 +346,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
+@apart("doc_id", "text", "n_chars")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by tags; ``n_chars`` follows the new text."""
     found = find(docs, with_masked=True)

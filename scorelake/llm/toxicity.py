@@ -27,7 +27,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import in_arrow, table, written
+from scorelake.llm.common import apart, in_arrow, table, written
 from scorelake.llm.registry import register
 
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
@@ -234,6 +234,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@apart("doc_id", "text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
     model = train(docs, table(spark, sf_dir, "labels"))

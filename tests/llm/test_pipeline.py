@@ -102,3 +102,21 @@ def test_each_stage_equals_brute_force(spark, tmp_path):
         longest = max(len((stages[3][i] or "").split()) for i in mine)
         assert p.goal - longest < given <= p.goal + 1e-6
         assert max(copies.values()) - min(copies.values()) <= 1
+
+
+def test_stages_hand_other_columns_through(spark, tmp_path):
+    """Columns named like those that the stages use themselves keep their values."""
+    texts, toxic, items = corpus()
+    names = ["spans", "items", "hits", "score", "copies", "epoch", "place", "source_key", "n_words", "masked", "component_id", "Tokens", "with space", "a.b"]
+    rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t), *[f"{n}{i}" for n in names]) for i, t in texts.items()]
+    sf = str(tmp_path)
+    extra = ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    spark.createDataFrame([(i, 0, int(i in toxic)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns + (["mix_epoch", "mix_place"] if k == 4 else [])
+        found = got.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+        assert all(r.lang == "en" and r.source == f"s{r.doc_id % 3}" for r in found)
