@@ -187,6 +187,13 @@ pairs AS (SELECT ins.*, COALESCE(out_count, 0) AS out_count FROM ins LEFT JOIN o
 register("count_tally", lambda s, d: ln.count_tally(ln.count_pairs(notes(s, d), out_notes(s, d))), with_sql(OUT_SQL, COUNT_SQL, """
 SELECT piece_id, in_count, out_count, COUNT(*) AS n FROM pairs GROUP BY ALL"""))
 register("count_regression", lambda s, d: _R(ln.count_regression(ln.count_pairs(notes(s, d), out_notes(s, d))),
-                                             ["intercept", "coef_inverse", "coef_log_dur", "r2"]))
+                                             ["intercept", "coef_inverse", "coef_log_dur", "r2"]), with_sql(OUT_SQL, COUNT_SQL, """
+xy AS (SELECT piece_id, out_count::DOUBLE AS y, 1.0::DOUBLE / in_count AS a, LOG2(min_dur) AS b FROM pairs),
+sums AS (SELECT piece_id, AVG(y) AS my, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab,
+                COVAR_POP(a, y) AS ay, COVAR_POP(b, y) AS yb FROM xy GROUP BY 1),
+fit AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ka, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM sums)""", """
+SELECT piece_id, ROUND(ANY_VALUE(my - ka * ma - kb * mb), 6) + 0.0 AS intercept, ROUND(ANY_VALUE(ka), 6) + 0.0 AS coef_inverse,
+       ROUND(ANY_VALUE(kb), 6) + 0.0 AS coef_log_dur, ROUND(1 - SUM((y - (my + ka * (a - ma) + kb * (b - mb))) ** 2) / (VAR_POP(y) * COUNT(*)), 6) + 0.0 AS r2
+FROM xy JOIN fit USING (piece_id) GROUP BY piece_id"""))
 register("median_filter", lambda s, d: ln.median_filter(ft.onset_rates(notes(s, d)), 8.0).withColumn("median_rate", rounded("median_rate")))
 register("flow_weight_training", lambda s, d: ln.flow_weight_training(training(s, d).where(F.col("mode") == "Major")))

@@ -222,8 +222,20 @@ c AS (SELECT *, string_split(chord, ',') AS t, COALESCE(list_position(string_spl
       FROM first_chord WHERE chord IS NOT NULL)""", """
 SELECT piece_id, measure_idx, event_tick, CASE p WHEN 1 THEN 'root' WHEN 2 THEN 'first' WHEN 3 THEN 'second' WHEN 4 THEN 'third' ELSE 'undecided' END AS inversion,
   array_to_string(CASE WHEN p >= 1 THEN list_concat(t[p:], t[:p - 1]) ELSE t END, ',') AS spelled FROM c"""))
+#: The profiles again, as values of their own: (mode, step above the tonic, weight).
+KEY_SQL = """
+profile AS (SELECT mode, UNNEST(range(12)) AS step, UNNEST(w) AS w FROM (VALUES
+  ('major', [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]),
+  ('minor', [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17])) v(mode, w)),
+counted AS (SELECT piece_id, measure_idx, k.pc, COUNT(h.pc) AS n
+            FROM (SELECT DISTINCT piece_id, measure_idx, UNNEST(range(12)) AS pc FROM heard) k
+            LEFT JOIN heard h USING (piece_id, measure_idx, pc) GROUP BY ALL),
+fits AS (SELECT piece_id, measure_idx, t.tonic_pc, mode, CASE WHEN VAR_POP(n) = 0 THEN 0.0 ELSE CORR(n, w::DOUBLE) END AS r
+         FROM counted JOIN (SELECT UNNEST(range(12)) AS tonic_pc) t ON TRUE JOIN profile ON step = (pc - t.tonic_pc + 12) % 12 GROUP BY ALL)"""
 register("key_estimate", lambda s, d: tn.key_estimate(ft.bar_histogram(notes(s, d))).withColumn(
-    "correlation", rounded("correlation")))
+    "correlation", rounded("correlation")), with_sql(KEY_SQL, """
+SELECT piece_id, measure_idx, tonic_pc::INT AS tonic_pc, mode, ROUND(r, 6) + 0.0 AS correlation
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx ORDER BY ROUND(r, 9) DESC, tonic_pc, mode DESC) AS best FROM fits) WHERE best = 1"""))
 
 # --- numerals -------------------------------------------------------------
 
