@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
-
+from scorelake.operators import tonal as tn
 from scorelake.plans.registry import joined, register, with_sql
 from scorelake.plans.tonal_queries import CORPUS_SQL, GRAM_SQL, SLICE_SQL, TRAIN_SQL, corpus, events, training
 from scorelake.sources import runs, scores, texts
@@ -45,6 +45,53 @@ SELECT concat_ws('/', piece_id, measure_idx, part_idx, event_id // 256) AS piece
   ROW_NUMBER() OVER (PARTITION BY piece_id, measure_idx, part_idx, event_id // 256 ORDER BY event_id) - 1 AS note_idx, voice,
   (offset_ql * 1024)::BIGINT AS onset_tick, dur_tick, is_rest, ps, pc, octave, name, tie FROM notes"""))
 
+FILE_BARS, FILE_PARTS = 8, 4
+
+
+def score_documents(s, d):
+    """Files of eight measures in four parts; the second part is written an octave higher and transposed back."""
+    n = notes(s, d).withColumn("at", (F.col("offset_ql") * 4).cast("int")).withColumn("len", (F.col("dur_ql") * 4).cast("int"))
+    octave = F.col("octave") + (F.col("part_idx") == 1).cast("int")
+    pitch = F.concat(F.lit("<pitch><step>"), F.substring("name", 1, 1), F.lit("</step>"), F.when(F.col("name").contains("#"), "<alter>1</alter>").otherwise(""),
+                     F.lit("<octave>"), octave.cast("string"), F.lit("</octave></pitch>"))
+    moved = lambda way, by: F.concat(F.lit(f"<{way}><duration>"), by.cast("string"), F.lit(f"</duration></{way}>"))
+    xml = F.concat(moved("forward", F.col("at")), F.lit("<note>"), F.when(F.col("is_rest"), "<rest/>").otherwise(pitch), F.lit("<duration>"),
+                   F.col("len").cast("string"), F.lit("</duration><voice>"), F.col("voice"), F.lit("</voice></note>"), moved("backup", F.col("at") + F.col("len")))
+    bars = n.groupBy("piece_id", F.floor(F.col("measure_idx") / FILE_BARS).alias("file"), "part_idx", "measure_idx").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", xml.alias("x")))).alias("x"))
+    place = (F.col("part_idx") * FILE_BARS + F.col("measure_idx") % FILE_BARS).cast("int")
+    files = bars.groupBy("piece_id", "file").agg(F.map_from_entries(F.collect_list(F.struct(
+        place, F.array_join(F.transform("x", lambda e: e["x"]), "")))).alias("bars"))
+
+    def measure(p, m):
+        octaves = F.when(p == 1, "<transpose><chromatic>0</chromatic><octave-change>-1</octave-change></transpose>").otherwise("")
+        first = F.when(m == 0, F.concat(F.lit("<attributes><divisions>4</divisions><time><beats>4</beats><beat-type>4</beat-type></time>"), octaves,
+                                        F.lit("</attributes>"))).otherwise("")
+        return F.concat(F.lit("<measure>"), first, F.coalesce(F.element_at("bars", (p * FILE_BARS + m).cast("int")), F.lit("")), F.lit("</measure>"))
+    upto = lambda k: F.sequence(F.lit(0), F.lit(k - 1))
+    parts = F.transform(upto(FILE_PARTS), lambda p: F.concat(F.lit("<part>"), F.array_join(F.transform(upto(FILE_BARS), lambda m: measure(p, m)), ""), F.lit("</part>")))
+    return files.select(F.concat_ws("/", "piece_id", "file").alias("path"), F.concat(F.lit("<score-partwise>"), F.array_join(parts, ""), F.lit("</score-partwise>")).alias("text"))
+
+
+def read_files(s, d):
+    return scores.parse_scores(score_documents(s, d))
+
+
+FILES_SQL = f"""
+filed AS (SELECT concat_ws('/', piece_id, measure_idx // {FILE_BARS}) AS piece, part_idx, measure_idx % {FILE_BARS} AS bar, n.* EXCLUDE (part_idx) FROM notes n)"""
+
+register("read_score_files", lambda s, d: read_files(s, d).select(
+    "piece", "part_idx", "voice", "measure_idx", "note_idx", "onset_tick", "dur_tick", "is_rest", "ps", "pc", "octave", "name"), with_sql(FILES_SQL, """
+SELECT piece, part_idx, voice, bar::INT AS measure_idx, ROW_NUMBER() OVER (PARTITION BY piece ORDER BY part_idx, bar, event_id) - 1 AS note_idx,
+  ((bar * 4 + offset_ql) * 1024)::BIGINT AS onset_tick, dur_tick, is_rest, ps, pc, octave, name FROM filed"""))
+# An operator on rows that were read: pitch-class slices at every onset.
+register("chordify_files", lambda s, d: tn.chordify(read_files(s, d)).join(
+    score_documents(s, d).select("path", F.xxhash64("path").alias("piece_id")), "piece_id").select(
+    F.col("path").alias("piece"), "measure_idx", "event_tick", F.array_join("pcs", ",").alias("pcs")), with_sql(FILES_SQL, """
+spans AS (SELECT piece, bar, (offset_ql * 1024)::BIGINT AS s, (offset_ql * 1024)::BIGINT + dur_tick AS e, pc FROM filed WHERE NOT is_rest)""", """
+SELECT t.piece, t.bar::INT AS measure_idx, t.s AS event_tick, array_to_string(list_sort(list(DISTINCT n.pc)), ',') AS pcs
+FROM (SELECT DISTINCT piece, bar, s FROM spans) t JOIN spans n ON n.piece = t.piece AND n.bar = t.bar AND n.s <= t.s AND t.s < n.e GROUP BY ALL"""))
+
 register("read_pairs", lambda s, d: scores.read_pairs(s.read.parquet(f"{d}/events.parquet").select(F.concat(
     F.col("event_type"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit(":"), F.col("user_id").cast("string"))).otherwise("")
 ).alias("value"))).groupBy("in_path", "out_path").agg(F.count(F.lit(1)).alias("n")), """

@@ -92,7 +92,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_scores(texts: DataFrame) -> DataFrame:
     """Notes and rests of all score texts, with positions, at sounding pitch and
     without empty lengths. Files that are not single scores give no rows.
-    ``piece`` is the path."""
+    ``piece`` is the path, ``piece_id`` its number (a hash), ``event_id`` that of the note, so
+    the rows have all columns of the note table and every operator takes them."""
     rows = texts.select("path", "text").mapInPandas(_parse_batches, ELEMENTS)
     bar = ["path", "part_idx", "measure_idx"]
     timed = F.col("kind").isin("note", "forward") & ~F.col("chord")
@@ -115,7 +116,7 @@ def parse_scores(texts: DataFrame) -> DataFrame:
     kept = with_row_number(kept, ["path"], ["part_idx", "measure_idx"], ["doc_pos"], "note_idx")
     onset = F.col("measure_onset_ql") + F.col("offset_ql")
     return kept.select(
-        F.col("path").alias("piece"), "part_idx", F.coalesce("voice", F.lit("1")).alias("voice"), "measure_idx", "note_idx",
+        F.col("path").alias("piece"), F.xxhash64("path").alias("piece_id"), F.xxhash64("path", "note_idx").alias("event_id"), "part_idx", F.coalesce("voice", F.lit("1")).alias("voice"), "measure_idx", "note_idx",
         "measure_onset_ql", "offset_ql", onset.alias("onset_ql"), "dur_ql", quantise(onset).alias("onset_tick"),
         quantise(F.col("dur_ql")).alias("dur_tick"), "is_rest", "ps", (F.col("ps") % 12).alias("pc"), "octave", "name", "tie")
 
