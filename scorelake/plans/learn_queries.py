@@ -13,6 +13,7 @@ from scorelake.operators import metrics as mt
 from scorelake.plans.align_queries import (ADJ_SQL, ALIGN_SQL, HAND_SQL, contract_sql, mapping)
 from scorelake.plans.feature_queries import COUNTS, ITEMS
 from scorelake.plans.registry import OUT_SQL, joined, register, rounded, with_sql
+from scorelake.plans.source_queries import both_modes
 from scorelake.plans.tonal_queries import training
 from scorelake.session import cut_lineage
 from scorelake.sources.views import ONSET, notes, out_notes, sounding
@@ -196,4 +197,4 @@ SELECT piece_id, ROUND(ANY_VALUE(my - ka * ma - kb * mb), 6) + 0.0 AS intercept,
        ROUND(ANY_VALUE(kb), 6) + 0.0 AS coef_log_dur, ROUND(1 - SUM((y - (my + ka * (a - ma) + kb * (b - mb))) ** 2) / (VAR_POP(y) * COUNT(*)), 6) + 0.0 AS r2
 FROM xy JOIN fit USING (piece_id) GROUP BY piece_id"""))
 register("median_filter", lambda s, d: ln.median_filter(ft.onset_rates(notes(s, d)), 8.0).withColumn("median_rate", rounded("median_rate")))
-register("flow_weight_training", lambda s, d: ln.flow_weight_training(training(s, d).where(F.col("mode") == "Major")))
+register("flow_weight_training", lambda s, d: both_modes(lambda m: ln.flow_weight_training(training(s, d).where(F.col("mode") == m))))

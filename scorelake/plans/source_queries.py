@@ -114,9 +114,9 @@ SELECT concat_ws('/', piece_id, part_idx, measure_idx, event_id // 256) AS path,
   tonic, mode, root, quality, inversion FROM corp"""))
 
 
-def weight_lines(s, d):
-    """Counts of the home-key transitions as the text of a weight model."""
-    t = training(s, d).where((F.col("mode") == "Major") & (F.col("match") == "Yes"))
+def weight_lines(s, d, mode):
+    """Counts of the home-key transitions of a mode as the text of a weight model."""
+    t = training(s, d).where((F.col("mode") == mode) & (F.col("match") == "Yes"))
     def lines(attribute, column):
         return t.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.concat(
             F.lit(" +      "), (F.col("n") / 64).cast("string"), F.lit(f" (normalized) {attribute}="), F.col("v")).alias("value"))
@@ -124,21 +124,35 @@ def weight_lines(s, d):
     return lines("1", "from_numeral").unionByName(lines("2", "to_numeral")).unionByName(lines("Trans", "trans")).unionByName(intercept)
 
 
-def _flow(s, d):
-    return texts.flow_weights(texts.read_flow_weights(weight_lines(s, d)), "Major")
+def _flow(s, d, mode):
+    return texts.flow_weights(texts.read_flow_weights(weight_lines(s, d, mode)), mode)
 
 
-_IX = ", ".join(f"('{n}')" for n in hm.numeral_names("Major"))
-WEIGHT_SQL = f"""
-ix AS (SELECT * FROM (VALUES {_IX}) v(name)),
-home AS (SELECT * FROM train WHERE mode = 'Major' AND match = 'Yes' AND from_numeral <> 'N/A' AND to_numeral <> 'N/A'),
-w AS (SELECT a.name AS from_numeral, b.name AS to_numeral,
-        (SELECT COUNT(*) FROM home WHERE from_numeral = a.name) / 64 + (SELECT COUNT(*) FROM home WHERE to_numeral = b.name) / 64
-        + (SELECT COUNT(*) FROM home WHERE from_numeral = a.name AND to_numeral = b.name) / 64 AS weight FROM ix a CROSS JOIN ix b),
-scaled AS (SELECT *, ROUND(100 * (weight - MIN(weight) OVER ()) / (MAX(weight) OVER () - MIN(weight) OVER ()), 3) AS percent FROM w)"""
-register("read_flow_weights", _flow, with_sql(CORPUS_SQL, GRAM_SQL, TRAIN_SQL, WEIGHT_SQL, "SELECT from_numeral, to_numeral, weight FROM w"))
-register("flow_matrix", lambda s, d: texts.flow_matrix(_flow(s, d), "Major"), with_sql(CORPUS_SQL, GRAM_SQL, TRAIN_SQL, WEIGHT_SQL,
-    "SELECT from_numeral, " + ", ".join(f"MAX(percent) FILTER (to_numeral = '{n}') AS \"{n}\"" for n in hm.numeral_names("Major")) + " FROM scaled GROUP BY from_numeral"))
+def weight_sql(mode):
+    """The weights of a mode's numerals, and these between 0 and 100; tables named after the mode."""
+    names, m = ", ".join(f"('{n}')" for n in hm.numeral_names(mode)), mode.lower()
+    return f"""
+ix_{m} AS (SELECT * FROM (VALUES {names}) v(name)),
+home_{m} AS (SELECT * FROM train WHERE mode = '{mode}' AND match = 'Yes' AND from_numeral <> 'N/A' AND to_numeral <> 'N/A'),
+w_{m} AS (SELECT a.name AS from_numeral, b.name AS to_numeral,
+        (SELECT COUNT(*) FROM home_{m} WHERE from_numeral = a.name) / 64 + (SELECT COUNT(*) FROM home_{m} WHERE to_numeral = b.name) / 64
+        + (SELECT COUNT(*) FROM home_{m} WHERE from_numeral = a.name AND to_numeral = b.name) / 64 AS weight FROM ix_{m} a CROSS JOIN ix_{m} b),
+scaled_{m} AS (SELECT *, ROUND(100 * (weight - MIN(weight) OVER ()) / (MAX(weight) OVER () - MIN(weight) OVER ()), 3) AS percent FROM w_{m})"""
+
+
+def both_modes(one):
+    """A query over each mode, with its name as ``mode``."""
+    major, minor = (one(m).withColumn("mode", F.lit(m)) for m in hm.NUMERALS)
+    return major.unionByName(minor)
+
+
+register("read_flow_weights", lambda s, d: both_modes(lambda m: _flow(s, d, m)), with_sql(
+    CORPUS_SQL, GRAM_SQL, TRAIN_SQL, *[weight_sql(m) for m in hm.NUMERALS], " UNION ALL ".join(
+        f"SELECT from_numeral, to_numeral, weight, '{m}' AS mode FROM w_{m.lower()}" for m in hm.NUMERALS)))
+for _name, _mode in (("flow_matrix", "Major"), ("flow_matrix_minor", "Minor")):
+    register(_name, lambda s, d, mode=_mode: texts.flow_matrix(_flow(s, d, mode), mode), with_sql(
+        CORPUS_SQL, GRAM_SQL, TRAIN_SQL, weight_sql(_mode), "SELECT from_numeral, " + ", ".join(
+            f"MAX(percent) FILTER (to_numeral = '{n}') AS \"{n}\"" for n in hm.numeral_names(_mode)) + f" FROM scaled_{_mode.lower()} GROUP BY from_numeral"))
 
 
 def gold_documents(s, d):

@@ -320,7 +320,7 @@ WHERE from_numeral <> 'N/A' AND to_numeral <> 'N/A' GROUP BY ALL"""))
 
 
 def judged(s, d):
-    gold = events(s, d).where(F.size("pitches") >= 3).select(*tn.EVENT, F.slice("pitches", 1, 3).alias("gold"))
+    gold = events(s, d).where(F.size("pitches") >= 3).select(*tn.EVENT, F.col("pitches").alias("gold"))
     out = out_notes(s, d).withColumn("is_rest", F.lit(False))
     said = tn.sonority_events(out).select(*tn.EVENT, F.when(F.size("pitches").isin(3, 4), F.col("pitches")).alias("recognised"),
                                           F.col("pitches").alias("heard"))
@@ -338,7 +338,7 @@ def _slice_sql(source, p):
 
 
 JUDGE_SQL = """
-pairs AS (SELECT g.piece_id, g.pitches[1:3] AS gold, CASE WHEN len(o.pitches) IN (3, 4) THEN o.pitches END AS rec, o.pitches AS hrd
+pairs AS (SELECT g.piece_id, g.pitches AS gold, CASE WHEN len(o.pitches) IN (3, 4) THEN o.pitches END AS rec, o.pitches AS hrd
           FROM son g JOIN o_son o USING (piece_id, measure_idx, event_tick) WHERE len(g.pitches) >= 3),
 judge AS (SELECT *, CASE WHEN rec IS NULL THEN NULL
     WHEN len(list_intersect(rec, gold)) = len(rec) AND rec[1] = gold[1] THEN 'exact'

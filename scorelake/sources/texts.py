@@ -63,9 +63,9 @@ def flow_weights(weights: DataFrame, mode: str) -> DataFrame:
 
 def flow_percent(weights: DataFrame) -> DataFrame:
     """Weights scaled so that the least is 0 and the greatest 100."""
-    ends = weights.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
-    low, high = ends.first()
-    return weights.withColumn("percent", F.round(100 * (F.col("weight") - F.lit(low)) / F.lit(high - low), 3))
+    ends = weights.agg(F.min("weight").alias("__lo"), F.max("weight").alias("__hi"))  # one row
+    return weights.join(F.broadcast(ends)).withColumn(
+        "percent", F.round(100 * (F.col("weight") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")), 3)).drop("__lo", "__hi")
 
 
 def flow_matrix(weights: DataFrame, mode: str) -> DataFrame:
