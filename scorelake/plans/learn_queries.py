@@ -26,21 +26,23 @@ def labelled(s, d):
     return feats.join(hands, "event_id").withColumn("align", F.col("hand") > 0)
 
 
-register("note_features", lambda s, d: ln.note_features(notes(s, d)).select("event_id", *ln.FEATURES), with_sql(COUNTS, ITEMS, """
-near AS (SELECT *, LAG(is_rest) OVER v AS p_rest, LAG(dur) OVER v AS p_dur, LEAD(is_rest) OVER v AS n_rest, LEAD(dur) OVER v AS n_dur,
+FEATURE_SQL = """
+f_near AS (SELECT *, LAG(is_rest) OVER v AS p_rest, LAG(dur) OVER v AS p_dur, LEAD(is_rest) OVER v AS n_rest, LEAD(dur) OVER v AS n_dur,
            COALESCE(LAG(is_rest) OVER (PARTITION BY piece_id, part_idx ORDER BY voice, onset_tick, NOT is_rest), TRUE) AS after_rest
          FROM items WINDOW v AS (PARTITION BY piece_id, part_idx, voice ORDER BY onset_tick, NOT is_rest)),
-flow AS (SELECT *, MAX(CASE WHEN NOT is_rest AND COALESCE(p_rest, TRUE) THEN onset_ql END) OVER
-           (PARTITION BY piece_id, part_idx, voice ORDER BY onset_tick, NOT is_rest ROWS UNBOUNDED PRECEDING) AS entry FROM near),
-freq AS (SELECT piece_id, part_idx, voice, measure_idx, name, COUNT(*) AS k FROM heard GROUP BY ALL),
-tops AS (SELECT *, k > 1 AND k = MAX(k) OVER (PARTITION BY piece_id, part_idx, voice, measure_idx) AS occurrence FROM freq)""", """
+f_flow AS (SELECT *, MAX(CASE WHEN NOT is_rest AND COALESCE(p_rest, TRUE) THEN onset_ql END) OVER
+           (PARTITION BY piece_id, part_idx, voice ORDER BY onset_tick, NOT is_rest ROWS UNBOUNDED PRECEDING) AS entry FROM f_near),
+f_freq AS (SELECT piece_id, part_idx, voice, measure_idx, name, COUNT(*) AS k FROM heard GROUP BY ALL),
+f_tops AS (SELECT *, k > 1 AND k = MAX(k) OVER (PARTITION BY piece_id, part_idx, voice, measure_idx) AS occurrence FROM f_freq)"""
+FEATURE_BODY = """
 SELECT event_id, active_rhythm, sustained_rhythm, bass_line, h.onset_ql - entry AS entrance_effect, after_rest AS onset_after_rest,
   (p_rest IS NULL OR p_rest OR p_dur <> dur OR COALESCE(n_rest OR n_dur <> dur, FALSE)) AS rhythm_variety,
   offset_ql % 0.5 < 1e-3 AS strong_beats, occurrence,
   COUNT(*) OVER (PARTITION BY piece_id, measure_idx, onset_tick, name) >= 2 AS vertical_doubling,
   ps = MAX(ps) OVER (PARTITION BY piece_id, measure_idx, onset_tick) AS highest_pitch, ABS(ps - 60) AS pitch_distance
-FROM heard h JOIN flags USING (piece_id, measure_idx, part_idx) JOIN flow USING (piece_id, part_idx, voice, onset_tick, is_rest)
-JOIN tops USING (piece_id, part_idx, voice, measure_idx, name)"""))
+FROM heard h JOIN flags USING (piece_id, measure_idx, part_idx) JOIN f_flow USING (piece_id, part_idx, voice, onset_tick, is_rest)
+JOIN f_tops USING (piece_id, part_idx, voice, measure_idx, name)"""
+register("note_features", lambda s, d: ln.note_features(notes(s, d)).select("event_id", *ln.FEATURES), with_sql(COUNTS, ITEMS, FEATURE_SQL, FEATURE_BODY))
 register("assemble", lambda s, d: ln.assemble(labelled(s, d), ln.FEATURES, "hand").select(
     "event_id", joined(vector_to_array("features")).alias("features"), "label"))
 
@@ -64,23 +66,26 @@ def _weights(s, d):
 
 register("describe_weights", _weights)
 
-_LOO = ["pitch_distance", "dur_ql", "ps"]
-register("leave_one_piece_out", lambda s, d: ln.leave_one_piece_out(
-    al.align_min_octave_hand(sounding(notes(s, d)), out_notes(s, d)).withColumn(
-        "pitch_distance", F.abs(F.col("ps") - 60)), _LOO, "hand").select("fold", rounded("accuracy").alias("accuracy")),
-    with_sql(OUT_SQL, HAND_SQL, """
-x AS (SELECT piece_id, event_id, hand, ABS(ps - 60)::DOUBLE AS a, dur_ql AS b, ps::DOUBLE AS c FROM labelled),
-own AS (SELECT piece_id, hand, COUNT(*) AS n, SUM(a) AS sa, SUM(b) AS sb, SUM(c) AS sc, SUM(a*a) AS qa, SUM(b*b) AS qb, SUM(c*c) AS qc FROM x GROUP BY ALL),
-tot AS (SELECT hand, SUM(n) AS n, SUM(sa) AS sa, SUM(sb) AS sb, SUM(sc) AS sc, SUM(qa) AS qa, SUM(qb) AS qb, SUM(qc) AS qc FROM own GROUP BY hand),
-fold AS (SELECT p.piece_id, t.hand, t.n - COALESCE(o.n, 0) AS n, t.sa - COALESCE(o.sa, 0) AS sa, t.sb - COALESCE(o.sb, 0) AS sb, t.sc - COALESCE(o.sc, 0) AS sc,
-           t.qa - COALESCE(o.qa, 0) AS qa, t.qb - COALESCE(o.qb, 0) AS qb, t.qc - COALESCE(o.qc, 0) AS qc
+def _bayes_sql(n):
+    """Gaussian naive Bayes per fold over the columns x0, x1 ...: sums of all pieces less those of the own one."""
+    each = lambda f, sep=", ": sep.join(f(i) for i in range(n))
+    return f"""
+own AS (SELECT piece_id, hand, COUNT(*) AS n, {each(lambda i: f"SUM(x{i}) AS s{i}, SUM(x{i} * x{i}) AS q{i}")} FROM x GROUP BY ALL),
+tot AS (SELECT hand, SUM(n) AS n, {each(lambda i: f"SUM(s{i}) AS s{i}, SUM(q{i}) AS q{i}")} FROM own GROUP BY hand),
+fold AS (SELECT p.piece_id, t.hand, t.n - COALESCE(o.n, 0) AS n, {each(lambda i: f"t.s{i} - COALESCE(o.s{i}, 0) AS s{i}, t.q{i} - COALESCE(o.q{i}, 0) AS q{i}")}
          FROM (SELECT DISTINCT piece_id FROM own) p CROSS JOIN tot t LEFT JOIN own o ON o.piece_id = p.piece_id AND o.hand = t.hand),
-par AS (SELECT piece_id, hand, LN(n) AS prior, sa/n AS ma, sb/n AS mb, sc/n AS mc, GREATEST(qa/n - (sa/n)*(sa/n), 1e-9) AS va,
-          GREATEST(qb/n - (sb/n)*(sb/n), 1e-9) AS vb, GREATEST(qc/n - (sc/n)*(sc/n), 1e-9) AS vc FROM fold WHERE n > 0),
-scored AS (SELECT x.*, p.hand AS guess, ROW_NUMBER() OVER (PARTITION BY x.event_id ORDER BY prior
-             - 0.5 * (LN(va) + (a-ma)*(a-ma)/va) - 0.5 * (LN(vb) + (b-mb)*(b-mb)/vb) - 0.5 * (LN(vc) + (c-mc)*(c-mc)/vc) DESC, p.hand) AS k
+par AS (SELECT piece_id, hand, LN(n) AS prior, {each(lambda i: f"s{i} / n AS m{i}, GREATEST(q{i} / n - (s{i} / n) * (s{i} / n), 1e-9) AS v{i}")} FROM fold WHERE n > 0),
+scored AS (SELECT x.piece_id, x.hand, p.hand AS guess, ROW_NUMBER() OVER (PARTITION BY x.event_id ORDER BY
+             prior - {each(lambda i: f"0.5 * (LN(v{i}) + (x{i} - m{i}) * (x{i} - m{i}) / v{i})", " - ")} DESC, p.hand) AS k
            FROM x JOIN par p ON p.piece_id = x.piece_id),
-per AS (SELECT piece_id, AVG((guess = hand)::INT) AS accuracy FROM scored WHERE k = 1 GROUP BY piece_id)""", """
+per AS (SELECT piece_id, AVG((guess = hand)::INT) AS accuracy FROM scored WHERE k = 1 GROUP BY piece_id)"""
+
+
+register("leave_one_piece_out", lambda s, d: ln.leave_one_piece_out(cut_lineage(labelled(s, d).select("piece_id", "hand", *ln.FEATURES)), ln.FEATURES, "hand").select(
+    "fold", rounded("accuracy").alias("accuracy")), with_sql(COUNTS, ITEMS, FEATURE_SQL, OUT_SQL, HAND_SQL, f"""
+told AS ({FEATURE_BODY}),
+x AS (SELECT l.piece_id, event_id, hand, {", ".join(f"COALESCE(told.{c}::DOUBLE, 0.0) AS x{i}" for i, c in enumerate(ln.FEATURES))}
+      FROM labelled l JOIN told USING (event_id))""", _bayes_sql(len(ln.FEATURES)), """
 SELECT piece_id::VARCHAR AS fold, ROUND(accuracy, 6) AS accuracy FROM per
 UNION ALL SELECT 'average', ROUND(AVG(accuracy), 6) FROM per"""))
 
