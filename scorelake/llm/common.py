@@ -164,13 +164,19 @@ class Frequent:
     def count(self) -> None:
         if not self.size:
             return
-        new = np.sort(np.concatenate(self.held))
+        new = np.concatenate(self.held)
         self.seen += self.size
         self.held, self.size = [], 0
-        at = np.flatnonzero(np.append(True, new[1:] != new[:-1]))
+        new.sort()
+        # Most hashes occur once and are left out before anything else is made of them.
+        twice = np.zeros(len(new), bool)
+        twice[1:] = new[1:] == new[:-1]
+        twice[:-1] |= twice[1:]
+        new = new[twice]
+        at = np.flatnonzero(np.append(True, new[1:] != new[:-1])) if len(new) else np.zeros(0, np.int64)
         n = np.diff(np.append(at, len(new)))
-        keys, where = np.unique(np.concatenate([self.keys, new[at][n > 1]]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([self.counts, n[n > 1]]), len(keys)).astype(np.int64)
+        keys, where = np.unique(np.concatenate([self.keys, new[at]]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([self.counts, n]), len(keys)).astype(np.int64)
         if len(keys) > self.keep:
             floor = np.partition(counts, len(counts) - self.keep - 1)[len(counts) - self.keep - 1]
             counts = counts - floor
