@@ -108,6 +108,17 @@ def chord_sets() -> list[tuple[str, int]]:
     return sorted({(set_key(t), len(t)) for *_, t in chord_dictionary()})
 
 
+@lru_cache
+def tone_bits() -> dict[str, int]:
+    """Tone of the dictionary -> its place in a bit mask (32 tones)."""
+    return {t: k for k, t in enumerate(sorted({t for chord, _ in chord_sets() for t in chord.split(",")}))}
+
+
+@lru_cache
+def chord_mask(chord: str) -> int:
+    return sum(1 << tone_bits()[t] for t in chord.split(","))
+
+
 @lru_cache
 def triads() -> list[str]:
     """Three-tone chords with at most one tone outside the spellings in use."""

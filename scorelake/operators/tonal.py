@@ -132,12 +132,26 @@ def bar_candidates(matches: DataFrame) -> DataFrame:
     return small.groupBy(*BAR).agg(F.array_sort(F.collect_set("chord")).alias("candidates"))
 
 
+def tone_mask(names: Column) -> Column:
+    """The tones of the dictionary among ``names`` as bits; other names are in no chord of it."""
+    bits = F.create_map(*[F.lit(x) for t, k in hm.tone_bits().items() for x in (t, 1 << k)])
+    return F.aggregate(names, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.coalesce(F.element_at(bits, t).cast("long"), F.lit(0).cast("long"))))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, not anew for each element of an inner lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def match_candidates(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """Adds ``fitting``: candidates of the bar that miss at most one tone of the
-    smeared event."""
-    fits = F.filter(F.coalesce("candidates", F.array().cast("array<string>")),
-                    lambda c: F.size(F.array_except(key_tones(c), F.col("smeared"))) <= 1)
-    return events.join(candidates, BAR, "left").withColumn("fitting", fits).drop("candidates")
+    smeared event. Their tones are read once a bar, and met as bits."""
+    masked = candidates.withColumn("candidates", F.transform("candidates", lambda c: F.struct(
+        c.alias("chord"), tone_mask(key_tones(c)).alias("mask"), F.size(F.array_distinct(key_tones(c))).alias("tones"))))
+    fits = F.when(F.col("candidates").isNull(), F.array().cast("array<string>")).otherwise(_bound(
+        tone_mask(F.col("smeared")), lambda heard: F.transform(
+            F.filter("candidates", lambda c: c["tones"] - F.bit_count(c["mask"].bitwiseAND(heard)) <= 1), lambda c: c["chord"])))
+    return events.join(masked, BAR, "left").withColumn("fitting", fits).drop("candidates")
 
 
 def bass_first(chord: Column, order: Column) -> Column:
@@ -148,8 +162,9 @@ def bass_first(chord: Column, order: Column) -> Column:
 
 def match_partial(smeared: Column) -> Column:
     """Triads of the dictionary that share at least two tones with the event."""
-    table = F.array(*[F.lit(t) for t in hm.triads()])
-    return F.filter(table, lambda c: F.size(F.array_intersect(key_tones(c), smeared)) >= 2)
+    table = F.array(*[F.struct(F.lit(t).alias("chord"), F.lit(hm.chord_mask(t)).cast("long").alias("mask")) for t in hm.triads()])
+    return _bound(tone_mask(smeared), lambda heard: F.transform(
+        F.filter(table, lambda c: F.bit_count(c["mask"].bitwiseAND(heard)) >= 2), lambda c: c["chord"]))
 
 
 def matched_events(events: DataFrame) -> DataFrame:
@@ -195,18 +210,29 @@ def chord_flow(spark: SparkSession, weights: DataFrame | None = None) -> DataFra
             .withColumn("weight", F.when(stay, 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))))
 
 
+def flow_ways(flow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The steps of each (from_chord, tonic, mode) as ``ways``, the best first (of equal weight in name order), and
+    one row with the chords ``known`` that they lead to; ``no`` is the place of a way's chord in these. Both have the size of the flow."""
+    known = flow.agg(F.array_sort(F.collect_set("to_chord")).alias("known"))
+    way = F.struct((-F.col("weight")).alias("cost"), "to_chord", (F.array_position("known", F.col("to_chord")) - 1).cast("int").alias("no"),
+                   "weight", "from_numeral", "to_numeral")
+    ways = flow.crossJoin(F.broadcast(known)).groupBy("from_chord", "tonic", "mode").agg(F.array_sort(F.collect_list(way)).alias("ways"))
+    return ways, known
+
+
 def best_flow(matched: DataFrame, flow: DataFrame) -> DataFrame:
     """For each chord of an event and each key, the chord of the next event with
-    the highest weight (the first in name order on a tie)."""
+    the highest weight (the first in name order on a tie): the first of the key's ways
+    that the next event has, so the rows of an event need not be sorted or grouped again."""
     linked = with_neighbours(matched.select(*EVENT, "matched"), ["piece_id"], ["measure_idx"], ["event_tick"],
                              ["matched"], next="__n")
-    pairs = (linked.select(*EVENT, F.explode("matched").alias("from_chord"), F.col("__n.matched").alias("__to"))
-             .select(*EVENT, "from_chord", F.explode("__to").alias("to_chord")))
-    scored = pairs.join(F.broadcast(flow), ["from_chord", "to_chord"])
-    pick = F.struct("weight", "to_chord", "from_numeral", "to_numeral")
-    return scored.groupBy(*EVENT, "from_chord", "tonic", "mode").agg(
-        F.min_by(pick, F.struct(-F.col("weight"), F.col("to_chord"))).alias("p")).select(
-        *EVENT, "from_chord", "tonic", "mode", "p.to_chord", "p.weight", "p.from_numeral", "p.to_numeral")
+    ways, known = flow_ways(flow)
+    there = F.transform("known", lambda c: F.array_contains("__n.matched", c)).alias("__there")
+    told = linked.where(F.size("__n.matched") > 0).crossJoin(F.broadcast(known)).select(*EVENT, "matched", there)
+    pairs = told.select(*EVENT, F.explode("matched").alias("from_chord"), "__there").join(F.broadcast(ways), "from_chord")
+    first = F.slice(F.filter("ways", lambda w: F.get("__there", w["no"])), 1, 1)
+    return pairs.select(*EVENT, "from_chord", "tonic", "mode", F.inline(first)).select(
+        *EVENT, "from_chord", "tonic", "mode", "to_chord", "weight", "from_numeral", "to_numeral")
 
 
 def sevenths_in_key(chords: DataFrame, flow: DataFrame) -> DataFrame:
