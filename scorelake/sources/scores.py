@@ -8,9 +8,7 @@ windows over bars and small per-measure tables.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from scorelake.functions.pitch import LETTER_PC, quantise
 
 ELEMENTS = ("path string, part_idx int, measure_idx int, doc_pos int, kind string, bar_ql double, partial boolean, "
             "dur_ql double, chord boolean, is_rest boolean, voice string, tie string, ps int, octave int, name string")
-_NAMES = [f.split()[0] for f in ELEMENTS.split(", ")]
+_FIELDS = ", ".join(f.replace(" ", ":") for f in ELEMENTS.split(", ")[1:])
 
 
 def read_score_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +80,8 @@ def parse_score(path: str, text: str) -> list[tuple]:
     return rows
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [row for path, text in zip(batch["path"], batch["text"]) for row in parse_score(path, text)]
-        out = pd.DataFrame(rows, columns=_NAMES)
-        yield out.astype({"ps": "Int32", "octave": "Int32"})
+def _elements(text: str) -> list[tuple]:
+    return [row[1:] for row in parse_score("", text)]
 
 
 def parse_scores(texts: DataFrame) -> DataFrame:
@@ -94,7 +89,9 @@ def parse_scores(texts: DataFrame) -> DataFrame:
     without empty lengths. Files that are not single scores give no rows.
     ``piece`` is the path, ``piece_id`` its number (a hash), ``event_id`` that of the note, so
     the rows have all columns of the note table and every operator takes them."""
-    rows = texts.select("path", "text").mapInPandas(_parse_batches, ELEMENTS)
+    # Without Arrow, whose batches would hold the texts of thousands of files and all their rows at once.
+    parse = F.udf(_elements, f"array<struct<{_FIELDS}>>", useArrow=False)
+    rows = texts.select("path", F.inline(parse("text")))
     bar = ["path", "part_idx", "measure_idx"]
     timed = F.col("kind").isin("note", "forward") & ~F.col("chord")
     move = F.when(F.col("kind") == "backup", -F.col("dur_ql")).when(timed, F.col("dur_ql")).otherwise(0.0)

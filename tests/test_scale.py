@@ -1,9 +1,12 @@
 """Steps that were mended for size: same results, and no work that outgrows the input."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
 from scorelake.operators import tonal as tn
+from scorelake.sources import scores
 
 EVENTS = "piece_id int, measure_idx int, event_tick long, matched array<string>"
 
@@ -39,3 +42,14 @@ def test_chords_are_met_as_bits(spark):
         assert r.partial == [c for c in hm.triads() if len(set(c.split(",")) & set(r.smeared)) >= 2]
     plan = events.select(tn.match_partial(F.col("smeared")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split" not in plan
+
+
+def test_scores_are_parsed_file_by_file(spark):
+    """No Arrow batch, which would hold the texts and rows of thousands of files."""
+    note = "<note><pitch><step>C</step><octave>4</octave></pitch><duration>1</duration><voice>1</voice></note>"
+    good = f"<score-partwise><part><measure>{note * 3}</measure></part></score-partwise>"
+    texts = spark.createDataFrame([("a", good), ("b", "<broken"), ("c", "<other/>"), ("d", good)], "path string, text string")
+    got = scores.parse_scores(texts)
+    assert Counter(r.piece for r in got.collect()) == {"a": 3, "d": 3}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInPandas" not in plan and "BatchEvalPython" in plan
