@@ -7,9 +7,10 @@ passes on is a set of keys, so an event, a block of bars, and any run of blocks
 keys to sets of keys; it keeps unions, so its values on the single keys tell it all. Blocks are composed
 pairwise, with twice the reach in each round.
 
-*Modulations.* A node is (entry, key, chord); within a key its best flow leads to one node of the next entry. Jumps over 1, 2, 4 ...
-nodes carry the sum of the weights and its least partial sum. A stretch in one key goes on to the last node of its path, or
-to the first whose sum falls below the tolerance; from the jumps its end is found bit by bit, for all nodes at
+*Modulations.* A node is (entry, key, chord); within a key its best flow leads to one node of the next entry. The nodes of a bar and
+key are a row, folded backwards: each gets its run, which leads out of the bar or ends in it, with the sum of the weights and its least partial
+sum. Only nodes at the first entry of a bar, the gates, are joined along jumps over 1, 2, 4 ... bars. A stretch in one key goes on to the last node of its
+path, or to the first whose sum falls below the tolerance; its whole bars are found bit by bit from the jumps, the rest in the row of its last bar, for all nodes at
 which a stretch may begin. Stretches lead to stretches, and doubling these links marks those that the first one reaches.
 """
 
@@ -132,7 +133,7 @@ def _chord(node: str) -> Column:
     return F.col(node).bitwiseAND((1 << CHORD_BITS) - 1)
 
 
-def _key(node: str) -> Column:
+def _key(node: Column) -> Column:
     return F.shiftright(node, CHORD_BITS).bitwiseAND((1 << KEY_BITS) - 1)
 
 
@@ -154,9 +155,26 @@ def flow_entries(matched: DataFrame, flow: DataFrame) -> tuple[DataFrame, DataFr
         _node(F.col("i"), F.col("key"), F.col("chord")).alias("at"), _node(F.col("i") + 1, F.col("key"), F.col("next")).alias("to")))
 
 
-def _jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Jumps over 1, 2, 4 ... nodes: (at, to, sum, low). ``low`` is the least sum on the way. As long as there are any."""
-    jump = cut_lineage(nodes.select(*PIECE, "at", "to", F.col("weight").alias("sum"), F.col("weight").alias("low")))
+def _bars(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each bar and key ``k``: its entries ``first`` to ``last``, the measures to the next bar (``gap``), and its ``nodes``
+    in order. A node has its step (``next``, ``weight``) and its run: where its path leaves the bar or ends (``to``), with sum and least sum."""
+    span = entries.groupBy(*PIECE, "measure_idx").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    span = span.withColumn("gap", F.lead("measure_idx").over(Window.partitionBy(*PIECE).orderBy("measure_idx")) - F.col("measure_idx"))
+    rows = nodes.groupBy(*PIECE, "measure_idx", _key(F.col("at")).alias("k")).agg(F.array_sort(F.collect_list(F.struct("at", "to", "weight"))).alias("nodes"))
+
+    def step(s: Column, x: Column) -> Column:  # backwards: what follows in the bar is known
+        after = F.array(F.get(F.filter(s, lambda d: d["at"] == x["to"]), 0))
+        return F.concat(s, F.transform(after, lambda d: F.struct(
+            x["at"].alias("at"), x["to"].alias("next"), x["weight"].alias("weight"), F.coalesce(d["to"], x["to"]).alias("to"),
+            (x["weight"] + F.coalesce(d["sum"], F.lit(0.0))).alias("sum"), F.least(x["weight"], x["weight"] + d["low"]).alias("low"))))
+    none = F.array().cast("array<struct<at:bigint,next:bigint,weight:double,to:bigint,sum:double,low:double>>")
+    return cut_lineage(rows.withColumn("nodes", F.reverse(F.aggregate(F.reverse("nodes"), none, step))).join(span, [*PIECE, "measure_idx"]))
+
+
+def _jumps(gates: DataFrame) -> list[DataFrame]:
+    """Jumps over 1, 2, 4 ... bars: (at, to, sum, low), from the nodes at the first entry of a bar. ``low`` is the least
+    sum on the way. As long as there are any."""
+    jump = cut_lineage(gates.select(*PIECE, "at", "to", "sum", "low"))
     out = []
     while not jump.isEmpty():
         out.append(jump)
@@ -173,41 +191,58 @@ def _looked_up(rows: DataFrame, table: DataFrame, at: str, when: Column | None =
     return rows.withColumn("j_at", asked).join(there, [*PIECE, "j_at"], "left").drop("j_at")
 
 
-def _ahead(entries: DataFrame, nodes: DataFrame, jumps: list[DataFrame], reach: int) -> DataFrame:
-    """Nodes whose path lasts to the end of their measure: ``lasts`` more measures (below ``reach``) that it
-    lasts, and its weight over these."""
-    bars = entries.groupBy(*PIECE, "measure_idx").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    here = nodes.select(*PIECE, "at", "i", "measure_idx").join(bars.select(*PIECE, "measure_idx", "last"), [*PIECE, "measure_idx"])
-    rows = here.select(*PIECE, "at", F.col("measure_idx").alias("m"), (F.col("last") - F.col("i") + 1).alias("left"),
-                       F.col("at").alias("to"), F.lit(0.0).alias("sum"))
-    for k, jump in enumerate(jumps):  # to the end of the measure, bit by bit
-        bit = F.getbit("left", F.lit(k)) == 1
-        rows = _looked_up(rows, jump, "to", bit).where(~bit | F.col("j_to").isNotNull()).select(
-            *PIECE, "at", "m", "left", F.coalesce("j_to", "to").alias("to"), (F.col("sum") + F.coalesce("j_sum", F.lit(0.0))).alias("sum"))
-    rows = rows.where(F.col("left") < (1 << len(jumps)))
-    own = cut_lineage(rows.select(*PIECE, "at", "to", "sum", F.lit(0.0).alias("low"), "m"))
-    state = own.select(*PIECE, "at", "m", "to", "sum", F.lit(0).alias("lasts"), F.lit(True).alias("open"))
-    starts = bars.select(*PIECE, F.col("first").alias("e"), F.col("measure_idx").alias("next_m"))
-    for far in range(1, reach):  # one measure more: passed over if it has no entry
-        state = state.withColumn("e", _entry("to")).join(starts, [*PIECE, "e"], "left")
-        goes = F.col("open") & F.coalesce(F.col("next_m") <= F.col("m") + far, F.lit(False))
-        state = _looked_up(state, own, "to", goes).withColumn("open", F.col("open") & (~goes | F.col("j_to").isNotNull()))
-        state = state.select(*PIECE, "at", "m", F.coalesce("j_to", "to").alias("to"), (F.col("sum") + F.coalesce("j_sum", F.lit(0.0))).alias("sum"),
-                             F.when(F.col("open"), far).otherwise(F.col("lasts")).alias("lasts"), "open")
-    return cut_lineage(state.select(*PIECE, "at", "lasts", "sum"))
-
-
-def _stretches(starts: DataFrame, jumps: list[DataFrame], tolerance: float) -> DataFrame:
-    """For each start the number of nodes of its stretch, and the node that it wants next."""
-    rows = starts.select(*PIECE, "at", F.col("at").alias("to"), F.lit(0.0).alias("sum"))
-    for jump in reversed(jumps):
-        rows = _looked_up(rows, jump, "to")
+def _rated(bars: DataFrame, ahead: DataFrame, budget: int) -> DataFrame:
+    """``bars`` with ``rates``: for each node of ``xs``, whose run lasts to the end of the bar, how many of ``budget`` more measures its path
+    lasts, and its sum over these. ``ahead`` has the rates of the first nodes of each bar (``gates``) for all lower budgets."""
+    there = ahead.select(*PIECE, "k", F.col("first").alias("__f"), F.col("gates").alias("__g"))
+    rows = bars.withColumn("__f", F.col("last") + 1).join(there, [*PIECE, "k", "__f"], "left")
+    gap = F.col("gap")
+
+    def rate(x: Column) -> Column:
+        beyond = F.array(F.get(F.get(F.filter("__g", lambda g: g["at"] == x["to"]), 0)["rates"], F.lit(budget) - gap))
+        return F.get(F.transform(beyond, lambda r: F.when(gap.isNull() | (gap > budget), F.struct(F.lit(budget).alias("lasts"), x["sum"].alias("sum")))
+                                 .when(r.isNull(), F.struct((gap - 1).alias("lasts"), x["sum"].alias("sum")))
+                                 .otherwise(F.struct((gap + r["lasts"]).alias("lasts"), (x["sum"] + r["sum"]).alias("sum")))), 0)
+    return rows.withColumn("rates", F.transform("xs", rate)).drop("__f", "__g")
+
+
+def _ahead(bars: DataFrame, reach: int) -> DataFrame:
+    """Nodes whose path lasts to the end of their measure, with their run: ``lasts`` more measures (below ``reach``)
+    that it lasts, and its weight over these (``total``)."""
+    whole = bars.withColumn("xs", F.filter("nodes", lambda x: F.shiftright(x["to"], ENTRY) > F.col("last"))).where(F.size("xs") > 0)
+    doors = whole.withColumn("xs", F.filter("xs", lambda x: F.shiftright(x["at"], ENTRY) == F.col("first"))).where(F.size("xs") > 0)
+    doors = cut_lineage(doors.select(*PIECE, "k", "first", "last", "gap", "xs"))
+    none = F.lit(0)
+    gates = doors.withColumn("gates", F.transform("xs", lambda x: F.struct(x["at"].alias("at"), F.array(F.struct(none.alias("lasts"), x["sum"].alias("sum"))).alias("rates"))))
+    for budget in range(1, reach - 1):
+        gates = cut_lineage(_rated(gates, gates, budget).withColumn("gates", F.zip_with("gates", "rates", lambda g, r: F.struct(
+            g["at"].alias("at"), F.concat(g["rates"], F.array(r)).alias("rates")))).drop("rates"))
+    rated = _rated(whole.select(*PIECE, "k", "first", "last", "gap", "xs"), gates, reach - 1)
+    return rated.select(*PIECE, "first", F.inline(F.zip_with("xs", "rates", lambda x, r: F.struct(
+        x["at"].alias("at"), x["to"].alias("to"), x["sum"].alias("sum"), x["low"].alias("low"), r["lasts"].alias("lasts"), r["sum"].alias("total")))))
+
+
+def _at_bar(rows: DataFrame, bars: DataFrame, node: str, how: str) -> DataFrame:
+    """``rows`` with the nodes of the bar that begins at entry ``first``, in the key of ``node``."""
+    return rows.withColumn("k", _key(F.col(node))).join(bars.select(*PIECE, "k", "first", "nodes"), [*PIECE, "k", "first"], how).drop("k")
+
+
+def _stretches(starts: DataFrame, bars: DataFrame, jumps: list[DataFrame], tolerance: float) -> DataFrame:
+    """For each start its stretch: run out of its bar (if ``moved``: to ``gate``, weighing ``own``), ``n_bars`` whole bars more, then from node
+    ``x`` of the bar at ``first``, with ``sum`` before it, to the node ``want`` that it wants next."""
+    moved = F.col("low") >= tolerance
+    rows = starts.select(*PIECE, "at", F.col("first").alias("begin"), moved.alias("moved"), F.col("to").alias("gate"), F.col("sum").alias("own"),
+                         F.when(moved, F.col("to")).otherwise(F.col("at")).alias("x"), F.when(moved, F.col("sum")).otherwise(0.0).alias("sum"), F.lit(0).cast("long").alias("n_bars"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        rows = _looked_up(rows, jump, "x", F.col("moved"))
         goes = F.coalesce(F.col("sum") + F.col("j_low") >= tolerance, F.lit(False))
-        rows = rows.select(*PIECE, "at", F.when(goes, F.col("j_to")).otherwise(F.col("to")).alias("to"),
-                           F.when(goes, F.col("sum") + F.col("j_sum")).otherwise(F.col("sum")).alias("sum"))
+        rows = rows.withColumns({"x": F.when(goes, F.col("j_to")).otherwise(F.col("x")), "n_bars": F.when(goes, F.col("n_bars") + (1 << k)).otherwise(F.col("n_bars")),
+                                 "sum": F.when(goes, F.col("sum") + F.col("j_sum")).otherwise(F.col("sum"))}).drop("j_to", "j_sum", "j_low")
+    rows = _at_bar(rows.withColumn("first", F.when(F.col("moved"), _entry("x")).otherwise(F.col("begin"))), bars, "x", "left")
     # The node at which the sum falls below the tolerance still belongs to the stretch.
-    rows = _looked_up(rows, jumps[0], "to").withColumn("want", F.coalesce("j_to", "to"))
-    return cut_lineage(rows.select(*PIECE, "at", (_entry("want") - _entry("at")).alias("n"), "want"))
+    walk = F.aggregate("nodes", F.struct(F.col("x").alias("x"), F.col("sum").alias("sum"), F.lit(False).alias("hit")), lambda s, d: F.when(
+        ~s["hit"] & (d["at"] == s["x"]), F.struct(d["next"].alias("x"), (s["sum"] + d["weight"]).alias("sum"), (s["sum"] + d["weight"] < tolerance).alias("hit"))).otherwise(s))
+    return cut_lineage(rows.withColumn("want", F.coalesce(walk["x"], F.col("x"))).drop("nodes"))
 
 
 def _reached(links: DataFrame, first: DataFrame) -> DataFrame:
@@ -221,16 +256,26 @@ def _reached(links: DataFrame, first: DataFrame) -> DataFrame:
     return seen
 
 
-def _walked(stretches: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """All nodes of the stretches (``at``, ``n``) with the sum before each: stretches are halved along the jumps."""
-    rows = stretches.select(*PIECE, "at", "n", F.lit(0.0).alias("before"))
+def _walked(stretches: DataFrame, bars: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """All nodes of the stretches with ``next`` and the sum after each: whole bars are halved along the jumps, each bar is walked by itself."""
+    rows = stretches.where(F.col("moved") & (F.col("n_bars") > 0)).select(
+        *PIECE, "want", F.col("gate").alias("at"), F.col("n_bars").alias("n"), F.col("own").alias("before"))
     for k, jump in reversed(list(enumerate(jumps))):
         long = F.col("n") > (1 << k)
         cut = _looked_up(rows, jump, "at", long)
         parts = F.when(long, F.array(F.struct("at", F.lit(1 << k).cast("long").alias("n"), "before"),
                                      F.struct(F.col("j_to").alias("at"), (F.col("n") - (1 << k)).alias("n"), (F.col("before") + F.col("j_sum")).alias("before"))))
-        rows = cut.select(*PIECE, F.explode(F.coalesce(parts, F.array(F.struct("at", F.col("n").cast("long").alias("n"), "before")))).alias("p")).select(*PIECE, "p.*")
-    return rows
+        rows = cut.select(*PIECE, "want", F.explode(F.coalesce(parts, F.array(F.struct("at", F.col("n").cast("long").alias("n"), "before")))).alias("p")).select(
+            *PIECE, "want", "p.*")
+    runs = rows.select(*PIECE, "want", F.col("at").alias("x"), "before", _entry("at").alias("first"))
+    runs = runs.unionByName(stretches.where("moved").select(*PIECE, "want", "x", F.col("sum").alias("before"), "first"))
+    runs = runs.unionByName(stretches.select(*PIECE, "want", F.col("at").alias("x"), F.lit(0.0).alias("before"), F.col("begin").alias("first")))
+    none = F.array().cast("array<struct<at:bigint,next:bigint,sum:double>>")
+    out = F.aggregate("nodes", F.struct(F.col("x").alias("x"), F.col("before").alias("sum"), none.alias("out")), lambda s, d: F.when(
+        (d["at"] == s["x"]) & (F.shiftright(s["x"], ENTRY) < _entry("want")), F.struct(
+            d["next"].alias("x"), (s["sum"] + d["weight"]).alias("sum"),
+            F.concat(s["out"], F.array(F.struct(d["at"].alias("at"), d["next"].alias("next"), (s["sum"] + d["weight"]).alias("sum")))).alias("out"))).otherwise(s), lambda s: s["out"])
+    return _at_bar(runs, bars, "x", "inner").select(*PIECE, F.inline(out))
 
 
 def modulations(entries: DataFrame, nodes: DataFrame, reach: int = 4, tolerance: float = -0.5) -> DataFrame:
@@ -239,23 +284,29 @@ def modulations(entries: DataFrame, nodes: DataFrame, reach: int = 4, tolerance:
     A piece begins at the chord and key whose path lasts longest, up to ``reach`` measures, and weighs most over these
     (first in name order on a tie). Where the key has no flow on, or the weight falls below the tolerance, the chord
     keeps its place and the best key for it is searched; if it has none, the search begins afresh at the next entry that gives one."""
-    jumps = _jumps(nodes)
-    if not jumps:
-        return nodes.limit(0).select(*tn.EVENT, "key", "from_chord", "to_chord", "from_numeral", "to_numeral", "weight")
-    ahead = _ahead(entries, nodes, jumps, reach).withColumn("i", _entry("at")).withColumn("chord", _chord("at"))
-    rank = F.struct("lasts", "sum", (-F.col("chord")).alias("c"), (-_key("at")).alias("k"))
-    best = lambda *by: cut_lineage(ahead.groupBy(*PIECE, *by).agg(F.max_by("at", rank).alias("at")))
-    afresh, kept = best("i"), best("i", "chord")
+    told = [*tn.EVENT, "key", "from_chord", "to_chord", "from_numeral", "to_numeral"]
+    if nodes.isEmpty():
+        return nodes.limit(0).select(*told, "weight")
+    bars = _bars(entries, nodes)
+    ahead = _ahead(bars, reach).withColumn("i", _entry("at")).withColumn("chord", _chord("at"))
+    rank = F.struct("lasts", "total", (-F.col("chord")).alias("c"), (-_key(F.col("at"))).alias("k"), "at", "first", "to", "sum", "low")
+    kept = cut_lineage(ahead.groupBy(*PIECE, "i", "chord").agg(F.max(rank).alias("best")))  # the best of each chord
+    afresh = cut_lineage(kept.groupBy(*PIECE, "i").agg(F.max("best").alias("best")).select(*PIECE, "i", F.col("best.at").alias("at")))
     # The next entry, itself included, at which a search gives something.
     marks = entries.join(afresh, [*PIECE, "i"], "left").select(*PIECE, "i", "at", (-F.col("measure_idx")).alias("__m"), (-F.col("i")).alias("__i"))
     marks = with_running_max(marks, PIECE, ["__m"], ["__i"], {"__next": F.when(F.col("at").isNotNull(), F.struct(F.col("__i").alias("n"), "at"))})
     fresh = cut_lineage(marks.select(*PIECE, (F.col("i") - 1).alias("i"), F.col("__next.at").alias("fresh")))
-    starts = afresh.select(*PIECE, "at").union(kept.select(*PIECE, "at")).distinct()
-    stretches = _stretches(starts, jumps, tolerance)
+    gates = bars.select(*PIECE, "first", F.inline("nodes")).where(_entry("at") == F.col("first"))
+    jumps = _jumps(gates)
+    stretches = _stretches(kept.select(*PIECE, "best.*"), bars, jumps, tolerance)
     links = (stretches.select(*PIECE, "at", _entry("want").alias("i"), _chord("want").alias("chord"))
-             .join(kept.withColumnRenamed("at", "again"), [*PIECE, "i", "chord"], "left").join(fresh, [*PIECE, "i"], "left")
+             .join(kept.select(*PIECE, "i", "chord", F.col("best.at").alias("again")), [*PIECE, "i", "chord"], "left").join(fresh, [*PIECE, "i"], "left")
              .select(*PIECE, "at", F.coalesce("again", "fresh").alias("next")))
     found = _reached(cut_lineage(links), afresh.where("i = 0"))
-    steps = _walked(stretches.join(found, [*PIECE, "at"]), jumps)
-    told = steps.join(nodes, [*PIECE, "at"])
-    return told.select(*tn.EVENT, "key", "from_chord", "to_chord", "from_numeral", "to_numeral", (F.col("before") + F.col("weight")).alias("weight"))
+    steps = _walked(cut_lineage(stretches.join(found, [*PIECE, "at"])), bars, jumps)
+    name = lambda names, no: F.get(F.array(*[F.lit(n) for n in names]), no.cast("int"))
+    steps = steps.select(*PIECE, _entry("at").alias("i"), name(key_list(), _key(F.col("at"))).alias("key"), name(chord_list(), _chord("at")).alias("from_chord"),
+                         name(chord_list(), _chord("next")).alias("to_chord"), F.col("sum").alias("weight"))
+    # At most a row for each step of the flow.
+    numerals = nodes.select("key", "from_chord", "to_chord", "from_numeral", "to_numeral").distinct()
+    return steps.join(entries, [*PIECE, "i"]).join(F.broadcast(numerals), ["key", "from_chord", "to_chord"]).select(*told, "weight")

@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
+from scorelake.operators import routes as rt
 from scorelake.operators import tonal as tn
 from scorelake.sources import scores
 
@@ -53,3 +54,13 @@ def test_scores_are_parsed_file_by_file(spark):
     assert Counter(r.piece for r in got.collect()) == {"a": 3, "d": 3}
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "MapInPandas" not in plan and "BatchEvalPython" in plan
+
+
+def test_jumps_only_from_bar_to_bar(spark, monkeypatch):
+    """Of the nodes of a piece only those at the first entry of a bar are joined along jumps."""
+    rows = [(0, k // 8, 128 * (k % 8), ["C,E,G", "A,C,E", "C,F,A"][k % 3:] + ["B,D,G"]) for k in range(64)]
+    entries, nodes = rt.flow_entries(spark.createDataFrame(rows, EVENTS), tn.chord_flow(spark))
+    seen, jumps = [], rt._jumps
+    monkeypatch.setattr(rt, "_jumps", lambda given: seen.extend(jumps(given)) or seen)
+    assert rt.modulations(entries, nodes).count() == entries.count()
+    assert seen and sum(j.count() for j in seen) < nodes.count() / 2
