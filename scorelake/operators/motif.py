@@ -264,13 +264,16 @@ def align_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def dissimilarity(left: pd.DataFrame, right: pd.DataFrame, grid: bool) -> np.ndarray:
     """Smoothed harmonic mean of the weighted distances of all encodings, row by
-    row or, with ``grid``, every left row against every right row."""
+    row or, with ``grid``, every left row against every right row. A grid aligns each pair of
+    different sequences once, as groups share most of theirs."""
     total: np.ndarray | float = 0.0
     for name, weight in WEIGHTS.items():
         a, b = _numbered(left[name], right[name])
         if grid:
+            (a, rows), (b, cols) = (np.unique(x, axis=0, return_inverse=True) for x in (a, b))
             a, b = a[:, None, :], b[None, :, :]
-        total = total + 1.0 / (align_distance(a, b) * weight + 0.1)
+        terms = 1.0 / (align_distance(a, b) * weight + 0.1)
+        total = total + (terms[np.ix_(rows.ravel(), cols.ravel())] if grid else terms)
     return np.asarray(1.0 / total)
 
 

@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scorelake.functions import harmony as hm
+from scorelake.operators import motif as mo
 from scorelake.operators import routes as rt
 from scorelake.operators import tonal as tn
 from scorelake.sources import scores
@@ -64,3 +67,16 @@ def test_jumps_only_from_bar_to_bar(spark, monkeypatch):
     monkeypatch.setattr(rt, "_jumps", lambda given: seen.extend(jumps(given)) or seen)
     assert rt.modulations(entries, nodes).count() == entries.count()
     assert seen and sum(j.count() for j in seen) < nodes.count() / 2
+
+
+def test_grid_aligns_different_sequences_once(monkeypatch):
+    """The same matrix as from all pairs, bit by bit, and work that goes by the different sequences."""
+    r = np.random.default_rng(5)
+    frame = pd.DataFrame({n: [[str(x) for x in r.integers(0, 2, 3 + k % 2)] for k in range(60)] for n in mo.WEIGHTS})
+    cells, align = [], mo.align_distance
+    monkeypatch.setattr(mo, "align_distance", lambda a, b: cells.append(np.broadcast_shapes(a.shape[:-1], b.shape[:-1])) or align(a, b))
+    grid = mo.dissimilarity(frame, frame[:40], grid=True)
+    assert all(x <= 24 and y <= 24 for x, y in cells)
+    left, right = frame.loc[np.repeat(np.arange(60), 40)].reset_index(drop=True), pd.concat([frame[:40]] * 60, ignore_index=True)
+    assert np.array_equal(grid.ravel(), mo.dissimilarity(left, right, grid=False))
+    assert mo.dissimilarity(frame[:0], frame[:0], grid=True).shape == (0, 0)
