@@ -162,6 +162,36 @@ def test_jaccard_repeated_ids_with_different_texts(spark):
     assert all(got[1000 + k] == got[2000 + k] == got[3000 + k] == 1000 + k for k in range(40))
 
 
+def test_jaccard_marks_tell_long_texts_apart_and_never_too_much():
+    r = np.random.default_rng(5)
+    for size in (30, 300, 1500):
+        one, two = (np.unique(r.integers(0, 1 << 63, size).astype(np.uint64)) for _ in "ab")
+        near = np.unique(np.concatenate([one[size // 8:], two[:size // 8]]))
+        for x, y, alike in ((one, two, False), (one, near, True)):
+            apart = len(np.setxor1d(x, y))
+            seen = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(jaccard.marks(x), jaccard.marks(y), strict=True))
+            least = jaccard.fewest_differences(jaccard.bitmap(x), jaccard.bitmap(y))
+            assert seen <= apart and least <= apart
+            assert (7 * seen <= len(x) + len(y)) == (7 * least <= len(x) + len(y)) == alike
+
+
+def test_jaccard_turns_leave_out_buckets_of_one_class(spark):
+    buckets = spark.createDataFrame([(t, g, 0, 9) for t, g in ((1, 10), (1, 11), (2, 10), (2, 12), (3, 11), (3, 12))], "token long, g long, pos int, size int")
+    of_group = spark.createDataFrame([(k, 10 + k, 1) for k in range(3)], "node long, g long, members long")
+    label = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    assert {r.token for r in jaccard._drawn(1, buckets, of_group, label).collect()} == {2, 3}
+    assert {r.token for r in jaccard._drawn(0, buckets, of_group, None).collect()} == {1, 2, 3}
+
+
+def test_jaccard_frequent_shingles_are_few_enough_and_the_most_frequent(spark):
+    texts = spark.createDataFrame([(i, f"{words(7, 20)} {words(8 + i % 2, 20) if i % 4 else ''}") for i in range(400)], "id long, text string")
+    keys, counts = jaccard.frequent_shingles(texts, 5, 1000)
+    assert len(keys) > 20 and (np.diff(keys.astype(object)) > 0).all()
+    some, few = jaccard.frequent_shingles(texts, 5, 20)
+    assert 0 < len(some) <= 20 and few.min() > np.sort(counts)[-len(some) - 1]
+    assert len(jaccard.frequent_shingles(texts.limit(0), 5, 20)[0]) == 0
+
+
 def test_substring_edges(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, ODD), keep=64).collect())
     assert (3, 60, 60) in got and (4, 120, 60) in got and (1, 0, 0) in got and (-1, 60, 0) in got
