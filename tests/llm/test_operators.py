@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,15 @@ def test_jaccard_frequent_shingles_are_few_enough_and_the_most_frequent(spark):
     assert len(jaccard.frequent_shingles(texts.limit(0), 5, 20)[0]) == 0
 
 
+def test_jaccard_sets_are_made_in_small_steps():
+    column = pa.array([f"{words(k, 150)} end{k}" for k in range(60)] * 60)
+    tracemalloc.start()
+    sets = sum(len(s) for s in jaccard.shingle_sets(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sets and column.nbytes > 2 << 20 and peak < 24 << 20
+
+
 def test_substring_edges(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, ODD), keep=64).collect())
     assert (3, 60, 60) in got and (4, 120, 60) in got and (1, 0, 0) in got and (-1, 60, 0) in got
