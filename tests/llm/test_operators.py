@@ -203,6 +203,29 @@ def test_jaccard_sets_are_made_in_small_steps():
     assert sets and column.nbytes > 2 << 20 and peak < 24 << 20
 
 
+def test_jaccard_reads_the_prefixes_from_the_sketches(spark):
+    texts = [(0, A), (1, A.upper()), (2, None), (None, B), (3, ""), (4, B), (5, "one two"), (6, words(9, 300))]
+    sets = {i: s for (i, _), s in zip(texts, jaccard.shingle_sets(pa.array([t for _, t in texts])), strict=True)}
+    keys = np.sort(np.concatenate([sets[0][:7], sets[6][::9]]))
+    rank = np.arange(len(keys))[::-1].copy()
+    order = spark.sparkContext.broadcast((keys, rank, jaccard._bits_of(keys)))
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    rows = jaccard.sketches(df, order, 5, 3, 4).collect()
+    assert [(r.id, r.size) for r in rows] == [(i, len(s)) for (i, _), s in zip(texts, jaccard.shingle_sets(pa.array([t for _, t in texts])), strict=True)]
+    assert [r.prefix is not None for r in rows] == [True, False, False, False, False, True, True, True]
+    assert rows[0].g == rows[1].g and rows[3].g == rows[5].g
+    place = dict(zip(keys.tolist(), rank.tolist(), strict=True))
+    got = {}
+    for r in jaccard._entries(spark.createDataFrame(rows, jaccard.SKETCH)).collect():
+        got.setdefault(r.g, []).append((r.at & 0xFFFFFFFF, r.at >> 32, r.token))
+    for r in rows:
+        if r.prefix is not None:
+            full = sorted(sets[r.id].tolist(), key=lambda t: (t in place, place.get(t, t)))
+            first = np.array(full[:jaccard.prefix_length(len(full))], np.uint64).view(np.int64).tolist()
+            assert sorted(got.pop(r.g)) == [(k, len(full), t) for k, t in enumerate(first)]
+    assert not got
+
+
 def test_substring_edges(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.remove_repeats(docs(spark, ODD), keep=64).collect())
     assert (3, 60, 60) in got and (4, 120, 60) in got and (1, 0, 0) in got and (-1, 60, 0) in got
