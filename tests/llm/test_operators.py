@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from check import TABLES, _norm
 from scorelake.llm import decontaminate, jaccard, mixing, nndescent, pii, secrets, substring, toxicity, urls, webtext
+from scorelake.llm.common import BATCH_BYTES
 
 SQL = oracle_sql()
 TWINS = sorted(n for n in SQL if re.match(r"op\d+_", n))
@@ -203,6 +204,19 @@ def test_jaccard_sets_are_made_in_small_steps():
     assert sets and column.nbytes > 2 << 20 and peak < 24 << 20
 
 
+def test_jaccard_sends_texts_to_python_by_their_bytes(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 4000) AS text")
+    widest = lambda: max(r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect())
+    sketches = jaccard.sketches
+    monkeypatch.setattr(jaccard, "sketches", lambda *a: seen.append(widest()) or sketches(*a))
+    before = spark.conf.get(key, None)
+    assert widest() > 10_000_000
+    jaccard.jaccard_classes(docs(spark, ODD[:5]))
+    assert seen and seen[0] <= BATCH_BYTES + 10_000
+    assert spark.conf.get(key, None) == before
+
+
 def test_jaccard_reads_the_prefixes_from_the_sketches(spark):
     texts = [(0, A), (1, A.upper()), (2, None), (None, B), (3, ""), (4, B), (5, "one two"), (6, words(9, 300))]
     sets = {i: s for (i, _), s in zip(texts, jaccard.shingle_sets(pa.array([t for _, t in texts])), strict=True)}
