@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from check import TABLES, _norm
-from scorelake.llm import decontaminate, jaccard, mixing, nndescent, pii, secrets, substring, toxicity, urls, webtext
-from scorelake.llm.common import BATCH_BYTES
+from scorelake.llm import components, decontaminate, jaccard, mixing, nndescent, pii, secrets, substring, toxicity, urls, webtext
+from scorelake.llm.common import BATCH_BYTES, LEAST_TASKS, written
 
 SQL = oracle_sql()
 TWINS = sorted(n for n in SQL if re.match(r"op\d+_", n))
@@ -217,6 +217,21 @@ def test_jaccard_sends_texts_to_python_by_their_bytes(spark, monkeypatch):
     assert spark.conf.get(key, None) == before
 
 
+def test_small_links_stay_in_few_files(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df: tables.append(written(df)) or tables[-1])
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        links = spark.range(4000).selectExpr("id * 10 AS a", "id * 10 + 1 + id % 9 AS b").union(spark.range(4000).selectExpr("id * 10 + 1 + id % 9", "id * 10 + 20"))
+        got = {r.node: r.component for r in components.components(links, 8000).collect()}
+        assert {got[k] for k in range(0, 40_000, 10)} == {0, 10}
+        assert all(c == k // 10 * 10 % 20 for k, c in got.items())
+        assert max(len(t.inputFiles()) for t in tables) <= LEAST_TASKS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def test_jaccard_reads_the_prefixes_from_the_sketches(spark):
     texts = [(0, A), (1, A.upper()), (2, None), (None, B), (3, ""), (4, B), (5, "one two"), (6, words(9, 300))]
     sets = {i: s for (i, _), s in zip(texts, jaccard.shingle_sets(pa.array([t for _, t in texts])), strict=True)}
