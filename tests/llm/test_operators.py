@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -195,6 +196,15 @@ def test_jaccard_frequent_shingles_are_few_enough_and_the_most_frequent(spark):
     assert len(jaccard.frequent_shingles(texts.limit(0), 5, 20)[0]) == 0
 
 
+@pytest.mark.parametrize("run,hot", [(1 << 20, 1), (64, 400)])
+def test_jaccard_counts_shingles_in_every_document(spark, monkeypatch, run, hot):
+    monkeypatch.setattr(jaccard, "RUN", run)
+    texts = [(i, f"{words(1000 + i // 2, 12)} {words(1, 8)}" if i < hot * 2 else words(2000 + i // 3, 12)) for i in range(1000)]
+    want = Counter(int(s) >> 32 for one in jaccard.shingle_sets(pa.array([t for _, t in texts])) for s in one)
+    keys, counts = jaccard.frequent_shingles(spark.createDataFrame([*texts, (None, texts[0][1])], "id long, text string"), 5, 1 << 20)
+    assert dict(zip((int(k) >> 32 for k in keys), counts.tolist(), strict=True)) == {k: c for k, c in want.items() if c > 1}
+
+
 def test_jaccard_sets_are_made_in_small_steps():
     column = pa.array([f"{words(k, 150)} end{k}" for k in range(60)] * 60)
     tracemalloc.start()
