@@ -2,7 +2,8 @@
 
 A bar is a row that holds its events as an array, and is folded by column functions: the state is the chord before, or the
 event before as far as the next may still repair it. What a bar takes from the bar before is one chord. All bars are
-folded at once from no chord; then those whose chord before has become another are folded again, until none has.
+folded at once from no chord; then those whose first choice becomes another by the chord before are folded again, until none does.
+Tones are met as bits; what is asked for more than once is bound, as column functions work out anew what they name twice.
 """
 
 from __future__ import annotations
@@ -67,11 +68,22 @@ def _outside(pitches: Column, chord: Column) -> Column:
     return F.array_except(pitches, tn.key_tones(chord))
 
 
+def _masked(chord: Column) -> Column:
+    """A chord of the dictionary (or no chord, as text or null) with its tones as bits."""
+    return F.struct(chord.alias("chord"), F.coalesce(tn.tone_mask(tn.key_tones(chord)), F.lit(0).cast("long")).alias("mask"))
+
+
+def _within(heard: Column, mask: Column) -> Column:
+    """How many of the tones heard a chord has; the others are outside, names that no chord has among them."""
+    return F.bit_count(heard.bitwiseAND(mask))
+
+
 def _choose(e: Column, before: Column) -> Column:
-    """The option with fewest tones outside; the last on a tie."""
-    options = F.when(e.follows, F.concat(e.options, F.array(before))).otherwise(e.options)
-    fewest = F.aggregate(options, F.struct(F.lit(None).cast("string").alias("c"), (F.size(e.pitches) + 1).alias("n")), lambda s, c: F.when(
-        F.size(_outside(e.pitches, c)) <= s.n, F.struct(c.alias("c"), F.size(_outside(e.pitches, c)).alias("n"))).otherwise(s))
+    """The option with fewest tones outside, the last on a tie, as chord and mask; ``before`` is such a pair."""
+    options = F.when(e["follows"], F.concat(e["options"], F.array(before))).otherwise(e["options"])
+    none = F.struct(F.lit(None).cast("string").alias("chord"), F.lit(0).cast("long").alias("mask"))
+    fewest = F.aggregate(options, F.struct(none.alias("c"), F.lit(-1).alias("n")), lambda s, c: F.when(
+        _within(e["heard"], c["mask"]) >= s["n"], F.struct(c.alias("c"), _within(e["heard"], c["mask"]).alias("n"))).otherwise(s))
     return fewest["c"]
 
 
@@ -84,47 +96,57 @@ def _extended(chord: Column, pitches: Column, key_no: Column, table: Column) ->
 def _repaired(bar: str, pool: Column) -> Column:
     """Chord and dissonance of each event of the array: a dissonance shared with the event before is repaired there
     from the pool, then the chord before is borrowed if that is no worse. The event before stays open until then."""
-    none = F.array().cast("array<string>")
-    told = lambda chord, out, e: F.struct(chord.alias("chord"), out.alias("out"), e.event_tick.alias("event_tick"), e.pitches.alias("pitches"),
-                                          e.key_no.alias("key_no"))
-
-    def step(s: Column, e: Column) -> Column:
-        own = F.when(e.chord.isNotNull(), _outside(e.pitches, e.chord)).otherwise(none)
+    names = F.array(*[F.lit(t) for t in hm.tone_bits()])
+    events = F.transform(bar, lambda e: F.struct(_masked(e["chord"]).alias("c"), tn.tone_mask(e["pitches"]).alias("heard"),
+                                                 F.array_except(e["pitches"], names).alias("odd")))
+
+    def fixed(last: Column, e: Column, meets: Column, masked: Column) -> Column:
+        # A name that no chord has can't be repaired.
+        shared = F.when(F.size(F.array_intersect(last["odd"], e["odd"])) > 0, F.lit(0).cast("long")).otherwise(
+            e["heard"].bitwiseAND(last["heard"]).bitwiseAND(F.bitwise_not(e["c"]["mask"].bitwiseOR(last["c"]["mask"]))))
+        start = F.struct(last["c"].alias("c"), _within(last["heard"], last["c"]["mask"]).alias("n"))
+        better = lambda both, t, c: (both.bitwiseAND(F.bitwise_not(c["mask"])) == 0) & (_within(last["heard"], c["mask"]) >= t["n"])
+        return F.when(meets, tn.bound(shared, lambda both: F.when(both != 0, F.aggregate(masked, start, lambda t, c: F.when(
+            better(both, t, c), F.struct(c.alias("c"), _within(last["heard"], c["mask"]).alias("n"))).otherwise(t))["c"]))).otherwise(F.lit(None))
+
+    def step(s: Column, e: Column, masked: Column) -> Column:
         last = s["last"]
-        meets = last.isNotNull() & last["chord"].isNotNull() & e.chord.isNotNull()
-        shared = F.array_intersect(own, last["out"])
-        better = lambda t, c: (F.size(F.array_except(shared, tn.key_tones(c))) == 0) & (F.size(_outside(last["pitches"], c)) <= t.n)
-        fixed = F.aggregate(F.when(meets & (F.size(shared) > 0), pool).otherwise(none),
-                            F.struct(last["chord"].alias("c"), F.size(last["out"]).alias("n")),
-                            lambda t, c: F.when(better(t, c), F.struct(c.alias("c"), F.size(_outside(last["pitches"], c)).alias("n"))).otherwise(t))["c"]
-        done = F.when(last.isNull(), s.done).otherwise(F.concat(s.done, F.array(told(fixed, F.when(
-            fixed.isNotNull(), _outside(last["pitches"], fixed)).otherwise(last["out"]), last))))
-        borrows = meets & (F.size(_outside(e.pitches, fixed)) <= F.size(own))
-        chord = F.when(borrows, fixed).otherwise(e.chord)
-        return F.struct(done.alias("done"), told(chord, F.when(borrows, _outside(e.pitches, fixed)).otherwise(own), e).alias("last"))
-    kind = "struct<chord:string,out:array<string>,event_tick:bigint,pitches:array<string>,key_no:int>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("last"))
-    return F.aggregate(bar, start, step, lambda s: F.concat(s.done, F.array(s["last"])))
+        meets = last.isNotNull() & last["c"]["chord"].isNotNull() & e["c"]["chord"].isNotNull()
+
+        def then(f: Column) -> Column:
+            borrows = meets & (_within(e["heard"], f["mask"]) >= _within(e["heard"], e["c"]["mask"]))
+            done = F.when(last.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(f["chord"])))
+            return F.struct(done.alias("done"), F.struct(F.when(borrows, f).otherwise(e["c"]).alias("c"), e["heard"].alias("heard"), e["odd"].alias("odd")).alias("last"))
+        return tn.bound(F.coalesce(fixed(last, e, meets, masked), last["c"]), then)
+    kind = "struct<c:struct<chord:string,mask:bigint>,heard:bigint,odd:array<string>>"
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast(kind).alias("last"))
+    chords = tn.bound(F.transform(pool, _masked), lambda masked: F.aggregate(
+        events, start, lambda s, e: step(s, e, masked), lambda s: F.concat(s["done"], F.array(s["last"]["c"]["chord"]))))
+    return F.zip_with(bar, chords, lambda e, c: F.struct(
+        c.alias("chord"), F.when(c.isNotNull(), _outside(e["pitches"], c)).otherwise(F.array().cast("array<string>")).alias("out"),
+        e["event_tick"].alias("event_tick"), e["pitches"].alias("pitches"), e["key_no"].alias("key_no")))
 
 
 def _folded(bars: DataFrame) -> DataFrame:
-    """``bars`` (with the chord before as ``before``) with ``told``, the chord and dissonance of each event, and ``final``."""
+    """``bars`` (with the chord before as ``before``) with ``told``, the chord and dissonance of each event, ``final``, and the
+    first event (``opens``) with its choice (``opening``), on which alone the chord before bears."""
     table = F.create_map(*[x for base, rows in _sevenths().items() for x in (F.lit(base), _literal(rows))])
-    chosen = F.aggregate("events", F.struct(F.array().cast("array<string>").alias("out"), F.col("before").alias("b")), lambda s, e: F.struct(
-        F.concat(s.out, F.array(_choose(e, s.b))).alias("out"), F.coalesce(_choose(e, s.b), F.lit("")).alias("b")), lambda s: s.out)
-    df = bars.withColumn("chosen", chosen)
-    with_chord = F.zip_with("events", "chosen", lambda e, c: F.struct(
-        e.event_tick.alias("event_tick"), e.pitches.alias("pitches"), e.key_no.alias("key_no"), c.alias("chord"),
-        _extended(c, e.pitches, e.key_no, table).alias("longer")))
-    df = df.withColumn("chosen", with_chord)
-    found = F.array_except(F.filter(F.transform("chosen", lambda e: e.longer), lambda x: x.isNotNull()), F.col("pool"))
-    df = df.withColumn("all", F.concat("pool", found)).withColumn("chosen", F.transform(
-        "chosen", lambda e: e.withField("chord", F.coalesce(e.longer, e.chord))))
-    df = df.withColumn("told", _repaired("chosen", F.col("all")))
-    last = lambda e, longer: F.struct(e.event_tick.alias("event_tick"), F.coalesce(longer, F.when(e.chord != "", e.chord)).alias("chord"),
-                                      F.when(longer.isNotNull(), _outside(e.pitches, longer)).otherwise(e.out).alias("dissonance"))
-    df = df.withColumn("told", F.transform("told", lambda e: last(e, _extended(e.chord, e.pitches, e.key_no, table))))
-    return df.select(*BAR, "before", F.coalesce(F.element_at("told", -1)["chord"], F.lit("")).alias("final"), "told")
+    state = lambda out, c: F.struct(F.concat(out, F.array(c["chord"])).alias("out"), F.struct(
+        F.coalesce(c["chord"], F.lit("")).alias("chord"), F.coalesce(c["mask"], F.lit(0).cast("long")).alias("mask")).alias("b"))
+    chosen = F.aggregate("events", F.struct(F.array().cast("array<string>").alias("out"), _masked(F.col("before")).alias("b")),
+                         lambda s, e: tn.bound(_choose(e, s["b"]), lambda c: state(s["out"], c)), lambda s: s["out"])
+    told = lambda e, c, longer: F.struct(e["event_tick"].alias("event_tick"), e["pitches"].alias("pitches"), e["key_no"].alias("key_no"),
+                                         F.coalesce(longer, c).alias("chord"), longer.alias("longer"))
+    with_chord = F.zip_with("events", chosen, lambda e, c: tn.bound(_extended(c, e["pitches"], e["key_no"], table), lambda longer: F.struct(
+        c.alias("own"), told(e, c, longer).alias("e"))))
+    df = bars.withColumn("both", with_chord)
+    df = df.withColumn("opening", F.get("both", 0)["own"]).withColumn("chosen", F.transform("both", lambda x: x["e"]))
+    found = F.array_except(F.filter(F.transform("chosen", lambda e: e["longer"]), lambda x: x.isNotNull()), F.col("pool"))
+    repaired = _repaired("chosen", F.concat("pool", found))
+    last = lambda e, longer: F.struct(e["event_tick"].alias("event_tick"), F.coalesce(longer, F.when(e["chord"] != "", e["chord"])).alias("chord"),
+                                      F.when(longer.isNotNull(), _outside(e["pitches"], longer)).otherwise(e["out"]).alias("dissonance"))
+    df = df.withColumn("told", F.transform(repaired, lambda e: tn.bound(_extended(e["chord"], e["pitches"], e["key_no"], table), lambda longer: last(e, longer))))
+    return df.select(*BAR, F.get("events", 0).alias("opens"), "opening", F.coalesce(F.element_at("told", -1)["chord"], F.lit("")).alias("final"), "told")
 
 
 def choose_chords(events: DataFrame) -> DataFrame:
@@ -132,13 +154,15 @@ def choose_chords(events: DataFrame) -> DataFrame:
     here = F.struct(F.col("now.measure_idx"), F.col("now.event_tick")) == F.struct("measure_idx", "event_tick")
     options, follows = _options(F.col("matched"), F.col("now"), here)
     key_no = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in rt.key_list()]), F.col("now.key")).cast("int") - 1, F.lit(63))  # 63: of no chord
-    event = F.struct("event_tick", "pitches", options.alias("options"), follows.alias("follows"), key_no.alias("key_no"))
+    event = F.struct("event_tick", "pitches", F.transform(options, _masked).alias("options"), follows.alias("follows"), key_no.alias("key_no"),
+                     tn.tone_mask(F.col("pitches")).alias("heard"))
     bars = cut_lineage(events.groupBy(*BAR).agg(F.array_sort(F.collect_list(event)).alias("events"), F.first("pool").alias("pool")))
     told = cut_lineage(_folded(bars.withColumn("before", F.lit(""))))
     while True:
         comes = F.coalesce(F.lag("final").over(Window.partitionBy(*KEYS).orderBy("measure_idx")), F.lit(""))  # a row for each bar
         told = told.withColumn("comes", comes)
-        late = cut_lineage(told.where(F.col("comes") != F.col("before")).select(*BAR, F.col("comes").alias("before")))
+        other = ~_choose(F.col("opens"), _masked(F.col("comes")))["chord"].eqNullSafe(F.col("opening"))
+        late = cut_lineage(told.where(other).select(*BAR, F.col("comes").alias("before")))
         if late.isEmpty():
             break
         again = _folded(bars.join(late, BAR))

@@ -138,7 +138,7 @@ def tone_mask(names: Column) -> Column:
     return F.aggregate(names, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.coalesce(F.element_at(bits, t).cast("long"), F.lit(0).cast("long"))))
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once, not anew for each element of an inner lambda."""
     return F.get(F.transform(F.array(value), body), 0)
 
@@ -148,7 +148,7 @@ def match_candidates(events: DataFrame, candidates: DataFrame) -> DataFrame:
     smeared event. Their tones are read once a bar, and met as bits."""
     masked = candidates.withColumn("candidates", F.transform("candidates", lambda c: F.struct(
         c.alias("chord"), tone_mask(key_tones(c)).alias("mask"), F.size(F.array_distinct(key_tones(c))).alias("tones"))))
-    fits = F.when(F.col("candidates").isNull(), F.array().cast("array<string>")).otherwise(_bound(
+    fits = F.when(F.col("candidates").isNull(), F.array().cast("array<string>")).otherwise(bound(
         tone_mask(F.col("smeared")), lambda heard: F.transform(
             F.filter("candidates", lambda c: c["tones"] - F.bit_count(c["mask"].bitwiseAND(heard)) <= 1), lambda c: c["chord"])))
     return events.join(masked, BAR, "left").withColumn("fitting", fits).drop("candidates")
@@ -163,7 +163,7 @@ def bass_first(chord: Column, order: Column) -> Column:
 def match_partial(smeared: Column) -> Column:
     """Triads of the dictionary that share at least two tones with the event."""
     table = F.array(*[F.struct(F.lit(t).alias("chord"), F.lit(hm.chord_mask(t)).cast("long").alias("mask")) for t in hm.triads()])
-    return _bound(tone_mask(smeared), lambda heard: F.transform(
+    return bound(tone_mask(smeared), lambda heard: F.transform(
         F.filter(table, lambda c: F.bit_count(c["mask"].bitwiseAND(heard)) >= 2), lambda c: c["chord"]))
 
 

@@ -138,3 +138,18 @@ def test_analysis_of_a_piece(spark, sf):
     steps = an.chosen_modulations(told, flow).collect()
     chosen = {(r.measure_idx, r.event_tick): ",".join(sorted(r.chord)) for r in rows if r.chord}
     assert all(chosen[s.measure_idx, s.event_tick] == s.from_chord for s in steps)
+
+
+def test_bars_are_folded_again_only_if_their_choice_changes(spark, monkeypatch):
+    """A chord before that is never chosen folds no bar again, and names that no chord has are outside of all."""
+    now = "struct<measure_idx:int,event_tick:bigint,key:string,from_chord:string,to_chord:string,then:struct<from_chord:string,to_chord:string>>"
+    step = (0, 0, "C,Major", "C,E,G", "C,E,G", None)
+    rows = [(0, m, 0, ["C", "E", "G"] if m % 2 else ["B", "D", "Q#"], ["C"], ["C,E,G"] if m % 2 else ["B,D,G"], [], (*step[:3], c, c, None))
+            for m in range(9) for c in ["C,E,G" if m % 2 else "B,D,G"]]
+    events = spark.createDataFrame(rows, f"piece_id int, measure_idx int, event_tick long, pitches array<string>, smeared array<string>, "
+                                         f"matched array<string>, pool array<string>, now {now}")
+    folded, fold = [], an._folded
+    monkeypatch.setattr(an, "_folded", lambda bars: folded.append(bars.count()) or fold(bars))
+    told = {r.measure_idx: (set(r.chord), r.dissonance) for r in an.choose_chords(events).collect()}
+    assert folded == [9]
+    assert all(told[m] == ((set("CEG"), []) if m % 2 else (set("BDG"), ["Q#"])) for m in range(9))
