@@ -80,3 +80,20 @@ def test_grid_aligns_different_sequences_once(monkeypatch):
     left, right = frame.loc[np.repeat(np.arange(60), 40)].reset_index(drop=True), pd.concat([frame[:40]] * 60, ignore_index=True)
     assert np.array_equal(grid.ravel(), mo.dissimilarity(left, right, grid=False))
     assert mo.dissimilarity(frame[:0], frame[:0], grid=True).shape == (0, 0)
+
+
+def test_nodes_are_held_by_bar(spark):
+    """A row for each bar that is sent on, in four bytes a node; each node is the best flow of its entry, with chords the dictionary lacks."""
+    chords = sorted({hm.set_key(c) for t, m, _, root, c in hm.chord_dictionary() if root and t in ("C", "G")})
+    rows = [(p, k // 3, 256 * (k % 3), [*chords[k:k + 9], "X,Y,Z"] if k % 5 else ["X,Y,Z"]) for p in range(2) for k in range(14)]
+    rows += [(0, 9, 0, ["X,Y,Q"]), (0, 9, 256, ["X,Y,Z"]), (0, 9, 512, ["X,Y,Z"]), (0, 9, 768, ["C,E,G"])]
+    matched, flow = spark.createDataFrame(rows, EVENTS), tn.chord_flow(spark)
+    entries, nodes = rt.flow_entries(matched, flow)
+    held = nodes.bars.collect()
+    assert len(held) == len({r[:2] for r in rows}) and nodes.bars.schema["nodes"].dataType.simpleString() == "array<array<int>>"
+    got = Counter((r.piece_id, r.measure_idx, r.event_tick, r.from_chord, r.key, r.to_chord, r.weight, r.from_numeral, r.to_numeral) for r in nodes.collect())
+    asked = {(r.piece_id, r.measure_idx, r.event_tick): r.i for r in entries.collect()}
+    want = Counter((r.piece_id, r.measure_idx, r.event_tick, r.from_chord, f"{r.tonic},{r.mode}", r.to_chord, r.weight, r.from_numeral, r.to_numeral)
+                   for r in tn.best_flow(matched, flow).collect() if (r.piece_id, r.measure_idx, r.event_tick) in asked)
+    assert want and got == want and sum(len(x) for r in held for x in r.nodes) == len(list(want.elements()))
+    assert sorted(asked.values()) == sorted([*range(16), *range(13)]) and (0, 9, 256) not in asked and (0, 9, 0) in asked
