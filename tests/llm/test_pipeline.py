@@ -2,9 +2,11 @@
 
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
-from scorelake.llm import mixing
+import pyarrow as pa
+from scorelake.llm import jaccard, mixing
 from scorelake.llm.common import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,6 +38,17 @@ def corpus():
     return texts, toxic, items
 
 
+def test_near_copies_count_the_shingles_of_every_document(spark, tmp_path, monkeypatch):
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in corpus()[0].items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counted, count = [], jaccard.frequent_shingles
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda *a: counted.append(count(*a)) or counted[-1])
+    corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    want = Counter(int(s) >> 32 for one in jaccard.shingle_sets(pa.array([r[1] for r in rows])) for s in one)
+    (keys, counts), = counted
+    assert dict(zip((int(k) >> 32 for k in keys), counts.tolist(), strict=True)) == {k: c for k, c in want.items() if c > 1}
+
+
 def test_each_stage_equals_brute_force(spark, tmp_path):
     texts, toxic, items = corpus()
     rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3 == 0}", None if t is None else len(t)) for i, t in texts.items()]
